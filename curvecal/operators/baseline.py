@@ -28,15 +28,11 @@ def baseline_subtract(df: DataFrame, grid: list[float] | None = None, at: float
     return df.withColumn("cur", moved)
 
 
-def describe(df: DataFrame, value: str, by: list[str] = ()) -> DataFrame:
-    """count, mean, sample std, min, exact quartiles, max."""
-    by = list(by)
+def describe(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """count, mean, sample std, min, exact quartiles, max per group."""
     basic = df.groupBy(*by).agg(
         F.count(value).alias("count"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"),
         F.min(value).alias("min"), F.max(value).alias("max"))
     quart = exact_quantiles(df, value, [0.25, 0.5, 0.75], by)
-    quart = quart.withColumnsRenamed({"q0": "q25", "q1": "q50", "q2": "q75"})
-    if by:
-        return basic.join(quart, by, "left")
-    row = quart.first()
-    return basic.withColumns({c: F.lit(row[c]) for c in ("q25", "q50", "q75")})
+    return basic.join(quart.select(
+        *by, F.col("q0").alias("q25"), F.col("q1").alias("q50"), F.col("q2").alias("q75")), by, "left")

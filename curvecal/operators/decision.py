@@ -102,13 +102,13 @@ def error_hist(df: DataFrame, by: list[str] = (), bins: int = HIST_BINS) -> Data
             .select(*by, "bin", (F.col("err_min") + F.col("bin") * step).alias("bin_low"), "n"))
 
 
-def error_centre(df: DataFrame, by: list[str] = ()) -> DataFrame:
+def error_centre(df: DataFrame, by: list[str]) -> DataFrame:
     """Exact median and mean of the absolute errors."""
     by = list(by)
     err = df.select(*by, F.abs(y_pred() - y_true()).alias("err"))
-    median = exact_quantiles(err, "err", [0.5], by).withColumnRenamed("q0", "median")
     means = err.groupBy(*by).agg(F.avg("err").alias("mean"))
-    return median.join(means, by) if by else median.withColumn("mean", F.lit(means.first()["mean"]))
+    median = exact_quantiles(err, "err", [0.5], by).select(*by, F.col("q0").alias("median"))
+    return median.join(means, by)
 
 
 def pred_obs_limits(df: DataFrame, by: list[str] = ()) -> DataFrame:

@@ -4,13 +4,14 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from curvecal.constants import BOOST, FOREST, SEED
 from curvecal.functions import solvers as S
+from curvecal.functions.features import list_matrix
 
 
 @dataclass
@@ -21,19 +22,24 @@ class FourierMap:
     mean: np.ndarray
     scale: np.ndarray
 
-    def column(self, x: str) -> Column:
-        """Array of cosine features of the standardised array column ``x``."""
+    def apply(self, rows: DataFrame, keep: list[str]) -> DataFrame:
+        """Rows (keep, x) with ``x`` replaced by its cosine features, one matrix per batch."""
         amp = math.sqrt(2.0 / len(self.phase))
-        p = len(self.mean)
         unit = self.weights / self.scale[:, None]
         start = self.phase - self.mean @ unit
-        terms = []
-        for k in range(len(self.phase)):
-            angle = F.lit(float(start[k]))
-            for j in range(p):
-                angle = angle + F.lit(float(unit[j, k])) * F.get(x, F.lit(j))
-            terms.append(F.cos(angle) * F.lit(amp))
-        return F.array(*terms)
+        source = rows.select(*keep, "x")
+
+        def run(batches):
+            for batch in batches:
+                if batch.num_rows == 0:
+                    continue
+                x = list_matrix(batch.column(len(keep)), len(self.mean))
+                z = np.cos(x @ unit + start) * amp
+                cells = pa.ListArray.from_arrays(
+                    pa.array(np.arange(0, z.size + 1, z.shape[1], dtype=np.int32)), pa.array(z.ravel()))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(i) for i in range(len(keep))] + [cells], names=list(keep) + ["x"])
+        return source.mapInArrow(run, source.schema)
 
 
 def kernel_width(mom: S.Moments, gamma) -> float:

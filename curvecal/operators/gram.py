@@ -30,11 +30,16 @@ def design(df: DataFrame, features: list[str] | str, y: str, keep: list[str] = (
     return df.select(*keep, F.col(y).cast("double").alias("y"), x.alias("x"))
 
 
-def column_means(rows: DataFrame, width: int) -> np.ndarray:
-    """Mean of every x and of y (a single JVM pass)."""
-    row = rows.agg(*[F.avg(F.get("x", F.lit(j))).alias(f"m{j}") for j in range(width)],
-                   F.avg("y").alias("my")).first()
-    return np.array([0.0 if v is None else v for v in row], dtype=float)
+def location(rows: DataFrame, width: int) -> np.ndarray:
+    """Rough centre of x and y from the first rows.
+
+    Moments about any point give the same fits; a point inside the data only keeps the
+    cross products small, so the first rows do as well as a full pass.
+    """
+    head = rows.select("x", "y").limit(256).collect()
+    if not head:
+        return np.zeros(width + 1)
+    return np.array([list(r["x"]) + [r["y"]] for r in head], dtype=float).mean(axis=0)
 
 
 def gram_partials(rows: DataFrame, width: int, shift: np.ndarray, group: str = "g") -> DataFrame:
@@ -106,7 +111,7 @@ def gram_by_group(rows: DataFrame, width: int, group: str = "g",
                   shift: np.ndarray | None = None) -> dict[str, Moments]:
     """Moments per group on the driver: (width + 2)^2 numbers each, whatever the rows."""
     if shift is None:
-        shift = column_means(rows, width)
+        shift = location(rows, width)
     size = width + 2
     mats: dict[str, np.ndarray] = {}
     for row in gram_partials(rows, width, shift, group).collect():

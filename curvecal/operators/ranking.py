@@ -6,37 +6,62 @@ slice totals are added as offsets. The cuts only balance the work: results are e
 for any cuts, and a value that repeats is counted before anything is shuffled.
 """
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-COARSE = 32
+from curvecal.functions.arrays import let
+
+GROUP = 64
+MAX_SLICES = GROUP * GROUP
+ROWS_PER_SLICE = 250_000
 
 
-def value_cuts(df: DataFrame, value: str, slices: int) -> list[float]:
-    """Distinct ascending cut values; at most ``slices`` - 1 numbers reach the driver."""
-    probs = [i / slices for i in range(1, slices)]
-    row = df.agg(F.percentile_approx(value, probs, 10_000).alias("cuts")).first()
-    return sorted({float(v) for v in (row["cuts"] or [])})
+def probe(df: DataFrame, value: Column, rows_per_slice: int = ROWS_PER_SLICE,
+          **extra: Column) -> tuple[list[float], Row]:
+    """(cut values, row of ``extra`` aggregates) from one aggregate over the data.
+
+    Small inputs get no cuts. Beyond ``GROUP`` slices a second aggregate refines them;
+    at most ``MAX_SLICES`` numbers ever reach the driver.
+    """
+    def quantiles(count):
+        probs = [i / count for i in range(1, count)]
+        return F.percentile_approx(value, probs, 10_000).alias("cuts")
+    row = df.agg(F.count(value).alias("rows"), quantiles(GROUP),
+                 *[c.alias(k) for k, c in extra.items()]).first()
+    slices = min(MAX_SLICES, math.ceil(row["rows"] / rows_per_slice))
+    if slices <= 1:
+        return [], row
+    cuts = row["cuts"] if slices <= GROUP else df.agg(quantiles(slices)).first()["cuts"]
+    return sorted({float(v) for v in cuts}), row
 
 
 def slice_of(value: Column, cuts: list[float]) -> Column:
-    """Slice number, ascending in ``value``; a two-step lookup of literal cuts."""
+    """Slice number, ascending in ``value``; a two-step lookup of literal cuts.
+
+    Never null, so that no null check of it is pushed below an aggregate.
+    """
     if not cuts:
         return F.lit(0)
-    groups = [cuts[i:i + COARSE] for i in range(0, len(cuts), COARSE)]
-    heads = F.lit([g[-1] for g in groups[:-1]]) if len(groups) > 1 else None
 
     def below(edges):
         return F.size(F.filter(edges, lambda e: e < value))
-    if heads is None:
-        return below(F.lit(groups[0]))
-    coarse = below(heads)
-    fine = F.get(F.array(*[F.lit(g) for g in groups]), coarse)
-    return coarse * F.lit(COARSE + 1) + below(fine)
+    groups = [cuts[i:i + GROUP] for i in range(0, len(cuts), GROUP)]
+    if len(groups) == 1:
+        return F.coalesce(below(F.lit(groups[0])), F.lit(0))
+    fine = F.array(*[F.lit(g) for g in groups])
+    place = let(below(F.lit([g[-1] for g in groups[:-1]])),
+                lambda k: k * F.lit(GROUP + 1) + below(F.get(fine, k)))
+    return F.coalesce(place, F.lit(0))
+
+
+def comparable(value: Column) -> Column:
+    return value.isNotNull() & ~F.isnan(value.cast("double"))
 
 
 def running_counts(df: DataFrame, value: str, by: list[str] = (), sums: dict[str, Column] | None = None,
-                   slices: int = 1024) -> DataFrame:
+                   cuts: list[float] | None = None, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """One row per (by, value), NaN and null left out, ascending running totals.
 
     Columns: ``n`` rows with the value, ``cum_n`` rows up to it, ``all_n`` rows of the
@@ -44,11 +69,17 @@ def running_counts(df: DataFrame, value: str, by: list[str] = (), sums: dict[str
     """
     by = list(by)
     sums = {"n": F.count(F.lit(1)), **{k: F.sum(v) for k, v in (sums or {}).items()}}
-    rows = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-    cuts = value_cuts(rows, value, slices)
+    rows = df.where(comparable(F.col(value)))
+    if cuts is None:
+        cuts, _ = probe(rows, F.col(value), rows_per_slice)
     counts = rows.groupBy(*by, value).agg(*[agg.alias(name) for name, agg in sums.items()])
+    if not cuts:
+        upto = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+        whole = Window.partitionBy(*by)
+        return counts.select(*by, value, *sums, *[F.sum(k).over(upto).alias(f"cum_{k}") for k in sums],
+                             *[F.sum(k).over(whole).alias(f"all_{k}") for k in sums])
     counts = counts.withColumn("slice", slice_of(F.col(value), cuts))
-    # At most (slices * 33/32 + 1) rows per group; the windows over them stay small.
+    # At most len(cuts) * 65 / 64 + 1 rows per group; the windows over them stay small.
     parts = counts.groupBy(*by, "slice").agg(*[F.sum(k).alias(f"part_{k}") for k in sums])
     before = Window.partitionBy(*by).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*by)
@@ -56,10 +87,10 @@ def running_counts(df: DataFrame, value: str, by: list[str] = (), sums: dict[str
         *[F.col(c).alias(f"o_{c}") for c in by], F.col("slice").alias("o_slice"),
         *[F.coalesce(F.sum(f"part_{k}").over(before), F.lit(0)).alias(f"off_{k}") for k in sums],
         *[F.sum(f"part_{k}").over(whole).alias(f"all_{k}") for k in sums])
-    keys = [F.col(c).eqNullSafe(F.col(f"o_{c}")) for c in by] + [F.col("slice") == F.col("o_slice")]
-    cond = keys[0]
-    for k in keys[1:]:
-        cond = cond & k
+    # The join and the window below share one partitioning by (by, slice).
+    cond = F.col("slice") == F.col("o_slice")
+    for c in by:
+        cond = cond & F.col(c).eqNullSafe(F.col(f"o_{c}"))
     upto = Window.partitionBy(*by, "slice").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     return counts.join(offsets, cond).select(
         *by, value, *sums,
@@ -67,22 +98,50 @@ def running_counts(df: DataFrame, value: str, by: list[str] = (), sums: dict[str
         *[f"all_{k}" for k in sums])
 
 
-def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: list[str] = ()) -> DataFrame:
-    """Linearly interpolated quantiles, one row per group, columns ``q0, q1, ...``."""
-    runs = running_counts(df, value, by)
-    v, lo_n, hi_n = F.col(value).cast("double"), F.col("cum_n") - F.col("n"), F.col("cum_n")
+def lerp(lo, hi, t):
+    return hi - (hi - lo) * (1 - t) if t >= 0.5 else lo + (hi - lo) * t
+
+
+def quantile_values(df: DataFrame, value: str, probs: list[float], total: int,
+                    cuts: list[float]) -> list[tuple[float, int]]:
+    """(linearly interpolated quantile, rows not above it) of a column of ``total`` values.
+
+    ``total`` and ``cuts`` come from ``probe``. Only the order statistics next to the
+    wanted ranks leave the executors.
+    """
+    at = [p * (total - 1) for p in probs]
+    ranks = sorted({f(r) for r in at for f in (math.floor, math.ceil)})
+    first, last = F.col("cum_n") - F.col("n"), F.col("cum_n")
+    hit = F.lit(False)
+    for r in ranks:
+        hit = hit | ((first <= r) & (last > r))
+    rows = running_counts(df, value, cuts=cuts).where(hit).select(value, "n", "cum_n").collect()
+    where = {r: (float(row[0]), row["cum_n"]) for row in rows for r in ranks
+             if row["cum_n"] - row["n"] <= r < row["cum_n"]}
+    out = []
+    for r in at:
+        (lo, lo_n), (hi, hi_n) = where[math.floor(r)], where[math.ceil(r)]
+        q = lerp(lo, hi, r - math.floor(r))
+        out.append((q, hi_n if q >= hi else lo_n))
+    return out
+
+
+def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: list[str],
+                    rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+    """Linearly interpolated quantiles ``q0, q1, ...``, one row per group."""
+    runs = running_counts(df, value, by, rows_per_slice=rows_per_slice)
+    v, first, last = F.col(value).cast("double"), F.col("cum_n") - F.col("n"), F.col("cum_n")
+    at = [F.lit(float(p)) * (F.col("all_n") - 1) for p in probs]
     picks = []
-    for k, p in enumerate(probs):
-        at = F.lit(float(p)) * (F.col("all_n") - 1)
-        for name, rank in ((f"lo{k}", F.floor(at)), (f"hi{k}", F.ceil(at))):
-            picks.append(F.max(F.when((lo_n <= rank) & (rank < hi_n), v)).alias(name))
+    for k, r in enumerate(at):
+        for name, rank in (("lo", F.floor(r)), ("hi", F.ceil(r))):
+            picks.append(F.max(F.when((first <= rank) & (rank < last), v)).alias(f"{name}{k}"))
     found = runs.groupBy(*by).agg(F.max("all_n").alias("all_n"), *picks)
 
-    def blend(k, p):
-        at = F.lit(float(p)) * (F.col("all_n") - 1)
-        t, lo, hi = at - F.floor(at), F.col(f"lo{k}"), F.col(f"hi{k}")
+    def blend(k):
+        t, lo, hi = at[k] - F.floor(at[k]), F.col(f"lo{k}"), F.col(f"hi{k}")
         return F.when(t >= 0.5, hi - (hi - lo) * (1 - t)).otherwise(lo + (hi - lo) * t)
-    return found.select(*by, *[blend(k, p).alias(f"q{k}") for k, p in enumerate(probs)])
+    return found.select(*by, *[blend(k).alias(f"q{k}") for k in range(len(probs))])
 
 
 def hash_order(seed: int, key: Column) -> Column:
@@ -91,13 +150,16 @@ def hash_order(seed: int, key: Column) -> Column:
 
 
 def hash_cuts(df: DataFrame, group: str, order: str, ranks: dict[int, list[int]],
-              digits: int = 5) -> dict[int, list[str | None]]:
+              digits: int | None = None) -> dict[int, list[str | None]]:
     """For each group, the hash at each 1-based rank in hash order.
 
     ``order`` is a hexadecimal hash column. Rows are counted per (group, hash prefix)
     first, so only one prefix in 16^digits per wanted rank is ever sorted. Rank 0
     gives None (nothing below). The result holds one string per wanted rank.
+    Groups below a million rows use a long prefix, which mostly settles the rank at once.
     """
+    if digits is None:
+        digits = 5 if sum(max(rs, default=0) for rs in ranks.values()) > 16 ** 5 else 12
     wanted = {g: sorted({r for r in rs if r > 0}) for g, rs in ranks.items()}
     pairs = [(g, r) for g, rs in wanted.items() for r in rs]
     if not pairs:
@@ -105,7 +167,7 @@ def hash_cuts(df: DataFrame, group: str, order: str, ranks: dict[int, list[int]]
     rows = df.select(F.col(group).cast("int").alias("g"), F.col(order).alias("h"))
     rows = rows.withColumn("prefix", F.substring("h", 1, digits))
     run = Window.partitionBy("g").orderBy("prefix").rowsBetween(Window.unboundedPreceding, 0)
-    tally = (rows.groupBy("g", "prefix").agg(F.count(F.lit(1)).alias("n"))
+    tally = (rows.groupBy("g", "prefix").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("h"))
              .withColumn("cum", F.sum("n").over(run)))
     hit = F.lit(False)
     for g, rs in wanted.items():
@@ -113,6 +175,13 @@ def hash_cuts(df: DataFrame, group: str, order: str, ranks: dict[int, list[int]]
             hit = hit | ((F.col("g") == g) & (F.col("cum") >= r) & (F.col("cum") - F.col("n") < r))
     cells = tally.where(hit).collect()
     base = {(c["g"], c["prefix"]): c["cum"] - c["n"] for c in cells}
+    found = {}
+    for c in cells:
+        for r in wanted[c["g"]]:
+            if c["n"] == 1 and c["cum"] == r:
+                found[c["g"], r] = c["h"]
+    if len(found) == len(pairs):
+        return {g: [found.get((g, r)) for r in rs] for g, rs in ranks.items()}
     inside = F.concat_ws("/", "g", "prefix").isin([f"{g}/{p}" for g, p in base])
     run = Window.partitionBy("g", "prefix").orderBy("h").rowsBetween(Window.unboundedPreceding, 0)
     fine = (rows.where(inside).groupBy("g", "prefix", "h").agg(F.count(F.lit(1)).alias("n"))
@@ -124,7 +193,6 @@ def hash_cuts(df: DataFrame, group: str, order: str, ranks: dict[int, list[int]]
             if lo < r <= c["cum"]:
                 hit = hit | ((F.col("g") == c["g"]) & (F.col("prefix") == c["prefix"])
                              & (F.col("cum") >= r - lo) & (F.col("cum") - F.col("n") < r - lo))
-    found = {}
     for row in fine.where(hit).collect():
         lo = base[row["g"], row["prefix"]]
         for r in wanted[row["g"]]:

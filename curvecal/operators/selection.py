@@ -102,8 +102,9 @@ class Predictor:
         if self.trees is not None:
             return E.predict_trees(self.trees, rows)
         if self.cosines is not None:
-            mapped = rows.withColumn("__z", self.cosines.column("x"))
-            return mapped.withColumn("y_pred", predict_column(self.linear, "__z")).drop("__z")
+            keep = [c for c in rows.columns if c != "x"]
+            mapped = self.cosines.apply(rows, keep)
+            return mapped.withColumn("y_pred", predict_column(self.linear, "x"))
         return rows.withColumn("y_pred", predict_column(self.linear, "x"))
 
 
@@ -117,9 +118,10 @@ class Trainer:
         self.y0 = float(self.whole.mean[-1])
 
     def cosine_rows(self, gamma):
+        """(map, mapped rows, their width, a centre for their moments)."""
         cosines = E.fourier_map(self.whole, gamma)
-        mapped = self.rows.select("g", "y", cosines.column("x").alias("x"))
-        return cosines, mapped, len(cosines.phase)
+        size = len(cosines.phase)
+        return cosines, cosines.apply(self.rows, ["g", "y"]), size, np.append(np.zeros(size), self.y0)
 
     def moment_scores(self, rows, width, moments, candidates) -> list[tuple]:
         trains = train_moments(moments)
@@ -149,8 +151,8 @@ class Trainer:
             if c.kind == "rbf":
                 gammas.setdefault(c.params.get("gamma", "scale"), []).append(c)
         for gamma, group in gammas.items():
-            _, mapped, size = self.cosine_rows(gamma)
-            out += self.moment_scores(mapped, size, gram_by_group(mapped, size), group)
+            _, mapped, size, centre = self.cosine_rows(gamma)
+            out += self.moment_scores(mapped, size, gram_by_group(mapped, size, shift=centre), group)
         for c in candidates:
             if c.kind in ("forest", "boosted"):
                 out += self.tree_scores(c)
@@ -161,8 +163,9 @@ class Trainer:
         if candidate.kind == "linear":
             return Predictor(candidate, candidate.fit(self.whole))
         if candidate.kind == "rbf":
-            cosines, mapped, size = self.cosine_rows(candidate.params.get("gamma", "scale"))
-            return Predictor(candidate, candidate.fit(add(gram_by_group(mapped, size).values())), cosines)
+            cosines, mapped, size, centre = self.cosine_rows(candidate.params.get("gamma", "scale"))
+            moments = gram_by_group(mapped, size, shift=centre)
+            return Predictor(candidate, candidate.fit(add(moments.values())), cosines)
         return Predictor(candidate, trees=candidate.estimator().fit(E.vectors(self.rows)))
 
     def choose(self, zoo: list[Candidate], grids: dict = GRIDS):

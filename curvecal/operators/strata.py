@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from curvecal.constants import (
     HOLDOUT_FRACTION, MIN_PER_BIN, N_BINS, N_FOLDS, SEED,
 )
-from curvecal.operators.ranking import exact_quantiles, hash_cuts, hash_order
+from curvecal.operators.ranking import comparable, hash_cuts, hash_order, probe, quantile_values
 
 
 @dataclass
@@ -41,32 +41,29 @@ def fit_bins(df: DataFrame, y: str, n_bins: int = N_BINS, min_per_bin: int = MIN
 
     Falls back to one bin (k = 0) when no number of bins satisfies that.
     """
-    value = F.col(y).cast("double")
     top = max(1, n_bins - (1 if zero_bin else 0))
-    spread = df.select(value.alias("v")).where(F.col("v") != 0.0 if zero_bin else F.lit(True))
+    rows = df.select(F.col(y).cast("double").alias("v")).where(comparable(F.col("v")))
+    spread = F.when(F.col("v") != 0.0, F.col("v")) if zero_bin else F.col("v")
+    cuts, seen = probe(rows, spread, all=F.count("v"))
+    zeros, spread_n = seen["all"] - seen["rows"], seen["rows"]
     probs = sorted({i / k for k in range(1, top + 1) for i in range(k + 1)})
-    row = exact_quantiles(spread, "v", probs).first()
-    cut = {p: row[f"q{i}"] for i, p in enumerate(probs)} if row and row["q0"] is not None else {}
+    cut, upto = {}, {}
+    if spread_n:
+        found = quantile_values(rows.where(F.col("v") != 0.0) if zero_bin else rows, "v", probs, spread_n, cuts)
+        cut = {p: q for p, (q, _) in zip(probs, found)}
+        upto = dict(found)
     edges = {k: sorted({cut[i / k] for i in range(k + 1)}) for k in range(1, top + 1)} if cut else {}
-    inner = sorted({e for es in edges.values() for e in es[1:-1]})
-    zeros = F.count_if(F.col("v") == 0.0) if zero_bin else F.lit(0)
-    tally = df.select(value.alias("v")).agg(
-        zeros.alias("zeros"), F.count("v").alias("all"),
-        *[F.count_if((F.col("v") <= e) & ((F.col("v") != 0.0) if zero_bin else F.lit(True))).alias(f"le{i}")
-          for i, e in enumerate(inner)]).first()
-    upto = {e: tally[f"le{i}"] for i, e in enumerate(inner)}
-    spread_n = tally["all"] - tally["zeros"]
     first = 1 if zero_bin else 0
     for k in range(top, 0, -1):
         if k not in edges or len(edges[k]) < 2:
             continue
         marks = [0] + [upto[e] for e in edges[k][1:-1]] + [spread_n]
         counts = {first + j: b - a for j, (a, b) in enumerate(zip(marks, marks[1:])) if b > a}
-        if zero_bin and tally["zeros"]:
-            counts[0] = tally["zeros"]
+        if zeros:
+            counts[0] = zeros
         if counts and min(counts.values()) >= min_per_bin:
             return Bins(k, edges[k], zero_bin, dict(sorted(counts.items())))
-    return Bins(0, [], zero_bin, {0: tally["all"]})
+    return Bins(0, [], zero_bin, {0: seen["all"]})
 
 
 def holdout_quotas(counts: dict[int, int], fraction: float) -> dict[int, int]:
@@ -118,25 +115,23 @@ class Split:
     def assign(self, df: DataFrame) -> DataFrame:
         y = F.col(self.y).cast("double")
         out = df.withColumn("__h", hash_order(self.seed, F.col(self.key)))
-        held_bin = self.held_bins.column(y)
-        held = F.lit(False)
-        for s, limit in self.hold_limits.items():
-            if limit is not None:
-                held = held | ((held_bin == s) & (F.col("__h") <= limit))
-        held = (F.col(self.group) == self.held_group) & held
+        out = out.withColumn("__b", F.when(F.col(self.group) == self.held_group, self.held_bins.column(y)))
+        held = F.coalesce(F.col("__h") <= per_stratum(self.hold_limits, F.col("__b")), F.lit(False))
         out = out.withColumn("part", F.when(held, "hold").otherwise("train"))
         if self.train_bins is None:
-            return out.withColumn("stratum", held_bin).drop("__h")
-        out = out.withColumn("stratum", F.when(F.col("part") == "hold", held_bin)
+            return out.withColumnRenamed("__b", "stratum").drop("__h")
+        out = out.withColumn("stratum", F.when(F.col("part") == "hold", F.col("__b"))
                              .otherwise(self.train_bins.column(y)))
         fold = F.lit(0)
-        for s, limits in self.fold_limits.items():
-            past = F.lit(0)
-            for limit in limits:
-                past = past + (F.lit(1) if limit is None else F.when(F.col("__h") > limit, 1).otherwise(0))
-            fold = F.when(F.col("stratum") == s, past).otherwise(fold)
-        fold = F.when(F.col("part") == "train", fold.cast("int"))
-        return out.withColumn("fold", fold).drop("__h")
+        for j in range(self.folds - 1):
+            limit = per_stratum({s: v[j] for s, v in self.fold_limits.items()}, F.col("stratum"))
+            fold = fold + F.when(F.col("__h") > limit, 1).otherwise(0)
+        return out.withColumn("fold", F.when(F.col("part") == "train", fold)).drop("__h", "__b")
+
+
+def per_stratum(limits: dict[int, str | None], stratum: Column) -> Column:
+    """The hash limit of a row's stratum; no limit sorts before every hash."""
+    return F.get(F.lit([limits.get(s) or "" for s in range(max(limits) + 1)]), stratum)
 
 
 def fit_holdout(df: DataFrame, y: str, key: str = "sample_id", group: str = "dataset",

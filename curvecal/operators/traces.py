@@ -9,14 +9,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curvecal.functions.arrays import nan
-from curvecal.operators.ranking import slice_of, value_cuts
+from curvecal.operators.ranking import ROWS_PER_SLICE, probe, slice_of
 
 
-def with_neighbours(df: DataFrame, slices: int = 1024) -> DataFrame:
+def with_neighbours(df: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """Add ``prev`` and ``next`` structs (e, row_id, i); null at the ends of a sample."""
-    cuts = value_cuts(df, "e", slices)
-    rows = df.withColumn("slice", slice_of(F.col("e"), cuts))
+    cuts, _ = probe(df, F.col("e"), rows_per_slice)
     point = F.struct("e", "row_id", "i")
+    if not cuts:
+        inside = Window.partitionBy("sample_id").orderBy("e", "row_id")
+        return df.withColumn("prev", F.lag(point).over(inside)).withColumn("next", F.lead(point).over(inside))
+    rows = df.withColumn("slice", slice_of(F.col("e"), cuts))
     ends = rows.groupBy("sample_id", "slice").agg(F.min(point).alias("first"), F.max(point).alias("last"))
     order = Window.partitionBy("sample_id").orderBy("slice")
     context = ends.select("sample_id", "slice", F.lag("last").over(order).alias("before"),

@@ -30,7 +30,12 @@ def with_pot(df: DataFrame, grid=None) -> DataFrame:
 
 def traces(spark: SparkSession, folder: str) -> DataFrame:
     """Long readings of one user per event, on uneven time."""
-    micros = F.unix_micros(F.col("ts")) - F.unix_micros(F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    since = F.col("ts") - F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+
+    def part(unit):
+        return F.extract(F.lit(unit), since)
+    whole = part("DAY") * 86_400 + part("HOUR") * 3_600 + part("MINUTE") * 60
+    micros = whole.cast("bigint") * 1_000_000 + (part("SECOND") * 1_000_000).cast("bigint")
     return table(spark, folder, "events").select(
         F.col("user_id").alias("sample_id"),
         (micros.cast("double") / 1e6).alias("e"),
