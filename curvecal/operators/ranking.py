@@ -45,17 +45,24 @@ def slice_of(value: Column, cuts: list[float]) -> Column:
     if not cuts:
         return F.lit(0)
 
-    def below(edges):
-        return F.size(F.filter(edges, lambda e: e < value))
     groups = [cuts[i:i + GROUP] for i in range(0, len(cuts), GROUP)]
     if len(groups) == 1:
-        return F.coalesce(below(F.lit(groups[0])), F.lit(0))
+        return lookup(value, groups[0])
     fine = F.array(*[F.lit(g) for g in groups])
-    place = let(below(F.lit([g[-1] for g in groups[:-1]])),
-                lambda k: k * F.lit(GROUP + 1) + below(F.get(fine, k)))
+    place = let(lookup(value, [g[-1] for g in groups[:-1]]), lambda k: k * F.lit(GROUP + 1) + F.size(
+        F.filter(F.get(fine, k), lambda e: e < value)))
     return F.coalesce(place, F.lit(0))
 
 
+def lookup(value: Column, edges: list[float], base: int = 0) -> Column:
+    """Number of ``edges`` below ``value``, as a balanced tree of comparisons."""
+    if not edges:
+        return F.lit(base)
+    mid = len(edges) // 2
+    return F.when(value > edges[mid], lookup(value, edges[mid + 1:], base + mid + 1)).otherwise(
+        lookup(value, edges[:mid], base))
+
+
 def comparable(value: Column) -> Column:
     return value.isNotNull() & ~F.isnan(value.cast("double"))
 
@@ -111,13 +118,33 @@ def quantile_values(df: DataFrame, value: str, probs: list[float], total: int,
     """
     at = [p * (total - 1) for p in probs]
     ranks = sorted({f(r) for r in at for f in (math.floor, math.ceil)})
-    first, last = F.col("cum_n") - F.col("n"), F.col("cum_n")
+    rows = df.where(comparable(F.col(value))).select(F.col(value).alias("v"))
+    rows = rows.withColumn("slice", slice_of(F.col("v"), cuts))
+    inside = {0: (0, ranks)}
+    if cuts:
+        # Exact slice sizes say which slices hold a wanted rank; only those are ordered.
+        sizes = sorted((r["slice"], r["n"]) for r in
+                       rows.groupBy("slice").agg(F.count(F.lit(1)).alias("n")).collect())
+        below, inside = 0, {}
+        for name, n in sizes:
+            own = [r for r in ranks if below <= r < below + n]
+            if own:
+                inside[name] = (below, own)
+            below += n
+        rows = rows.where(F.col("slice").isin(list(inside)))
+    upto = Window.partitionBy("slice").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    runs = (rows.groupBy("slice", "v").agg(F.count(F.lit(1)).alias("n"))
+            .withColumn("last", F.sum("n").over(upto)))
     hit = F.lit(False)
-    for r in ranks:
-        hit = hit | ((first <= r) & (last > r))
-    rows = running_counts(df, value, cuts=cuts).where(hit).select(value, "n", "cum_n").collect()
-    where = {r: (float(row[0]), row["cum_n"]) for row in rows for r in ranks
-             if row["cum_n"] - row["n"] <= r < row["cum_n"]}
+    for name, (below, own) in inside.items():
+        for r in own:
+            hit = hit | ((F.col("slice") == name) & (F.col("last") - F.col("n") <= r - below)
+                         & (F.col("last") > r - below))
+    where = {}
+    for row in runs.where(hit).collect():
+        below, own = inside[row["slice"]]
+        last = below + row["last"]
+        where.update({r: (float(row["v"]), last) for r in own if last - row["n"] <= r < last})
     out = []
     for r in at:
         (lo, lo_n), (hi, hi_n) = where[math.floor(r)], where[math.ceil(r)]
@@ -156,10 +183,10 @@ def hash_cuts(df: DataFrame, group: str, order: str, ranks: dict[int, list[int]]
     ``order`` is a hexadecimal hash column. Rows are counted per (group, hash prefix)
     first, so only one prefix in 16^digits per wanted rank is ever sorted. Rank 0
     gives None (nothing below). The result holds one string per wanted rank.
-    Groups below a million rows use a long prefix, which mostly settles the rank at once.
+    A prefix of three digits serves up to 10^8 rows, one of five beyond.
     """
     if digits is None:
-        digits = 5 if sum(max(rs, default=0) for rs in ranks.values()) > 16 ** 5 else 12
+        digits = 3 if sum(max(rs, default=0) for rs in ranks.values()) < 10 ** 8 else 5
     wanted = {g: sorted({r for r in rs if r > 0}) for g, rs in ranks.items()}
     pairs = [(g, r) for g, rs in wanted.items() for r in rs]
     if not pairs:
@@ -167,7 +194,7 @@ def hash_cuts(df: DataFrame, group: str, order: str, ranks: dict[int, list[int]]
     rows = df.select(F.col(group).cast("int").alias("g"), F.col(order).alias("h"))
     rows = rows.withColumn("prefix", F.substring("h", 1, digits))
     run = Window.partitionBy("g").orderBy("prefix").rowsBetween(Window.unboundedPreceding, 0)
-    tally = (rows.groupBy("g", "prefix").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("h"))
+    tally = (rows.groupBy("g", "prefix").agg(F.count(F.lit(1)).alias("n"))
              .withColumn("cum", F.sum("n").over(run)))
     hit = F.lit(False)
     for g, rs in wanted.items():
@@ -175,13 +202,6 @@ def hash_cuts(df: DataFrame, group: str, order: str, ranks: dict[int, list[int]]
             hit = hit | ((F.col("g") == g) & (F.col("cum") >= r) & (F.col("cum") - F.col("n") < r))
     cells = tally.where(hit).collect()
     base = {(c["g"], c["prefix"]): c["cum"] - c["n"] for c in cells}
-    found = {}
-    for c in cells:
-        for r in wanted[c["g"]]:
-            if c["n"] == 1 and c["cum"] == r:
-                found[c["g"], r] = c["h"]
-    if len(found) == len(pairs):
-        return {g: [found.get((g, r)) for r in rs] for g, rs in ranks.items()}
     inside = F.concat_ws("/", "g", "prefix").isin([f"{g}/{p}" for g, p in base])
     run = Window.partitionBy("g", "prefix").orderBy("h").rowsBetween(Window.unboundedPreceding, 0)
     fine = (rows.where(inside).groupBy("g", "prefix", "h").agg(F.count(F.lit(1)).alias("n"))
@@ -193,6 +213,7 @@ def hash_cuts(df: DataFrame, group: str, order: str, ranks: dict[int, list[int]]
             if lo < r <= c["cum"]:
                 hit = hit | ((F.col("g") == c["g"]) & (F.col("prefix") == c["prefix"])
                              & (F.col("cum") >= r - lo) & (F.col("cum") - F.col("n") < r - lo))
+    found = {}
     for row in fine.where(hit).collect():
         lo = base[row["g"], row["prefix"]]
         for r in wanted[row["g"]]:

@@ -65,7 +65,8 @@ def features(source: str = "w", name: str = "f") -> str:
 
 
 KEY = ("concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, "
-       "CAST(round(l_extendedprice * 100) AS BIGINT), strftime(l_shipdate, '%Y%m%d'))")
+       "CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT), "
+       "date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)))")
 
 SCORES = f"""
 s AS (SELECT {KEY} AS sample_id, l_returnflag AS model, (l_quantity - 1) * CAST(0.65 AS DOUBLE) AS y_true,

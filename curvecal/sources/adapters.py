@@ -49,8 +49,8 @@ def line_key() -> "F.Column":
     return F.concat_ws(
         "-",
         F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey"),
-        F.round(F.col("l_extendedprice") * 100).cast("bigint"),
-        F.date_format("l_shipdate", "yyyyMMdd"),
+        (F.col("l_extendedprice") * 100 + 0.5).cast("bigint"),
+        F.datediff(F.col("l_shipdate").cast("date"), F.lit("1970-01-01").cast("date")),
     )
 
 
