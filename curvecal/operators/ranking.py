@@ -18,7 +18,7 @@ MAX_SLICES = GROUP * GROUP
 ROWS_PER_SLICE = 250_000
 
 
-def probe(df: DataFrame, value: Column, rows_per_slice: int = ROWS_PER_SLICE,
+def probe(df: DataFrame, value: Column, rows_per_slice: int | None = None,
           **extra: Column) -> tuple[list[float], Row]:
     """(cut values, row of ``extra`` aggregates) from one aggregate over the data.
 
@@ -30,7 +30,7 @@ def probe(df: DataFrame, value: Column, rows_per_slice: int = ROWS_PER_SLICE,
         return F.percentile_approx(value, probs, 10_000).alias("cuts")
     row = df.agg(F.count(value).alias("rows"), quantiles(GROUP),
                  *[c.alias(k) for k, c in extra.items()]).first()
-    slices = min(MAX_SLICES, math.ceil(row["rows"] / rows_per_slice))
+    slices = min(MAX_SLICES, math.ceil(row["rows"] / (rows_per_slice or ROWS_PER_SLICE)))
     if slices <= 1:
         return [], row
     cuts = row["cuts"] if slices <= GROUP else df.agg(quantiles(slices)).first()["cuts"]
@@ -68,7 +68,7 @@ def comparable(value: Column) -> Column:
 
 
 def running_counts(df: DataFrame, value: str, by: list[str] = (), sums: dict[str, Column] | None = None,
-                   cuts: list[float] | None = None, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+                   cuts: list[float] | None = None, rows_per_slice: int | None = None) -> DataFrame:
     """One row per (by, value), NaN and null left out, ascending running totals.
 
     Columns: ``n`` rows with the value, ``cum_n`` rows up to it, ``all_n`` rows of the
@@ -154,7 +154,7 @@ def quantile_values(df: DataFrame, value: str, probs: list[float], total: int,
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: list[str],
-                    rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+                    rows_per_slice: int | None = None) -> DataFrame:
     """Linearly interpolated quantiles ``q0, q1, ...``, one row per group."""
     runs = running_counts(df, value, by, rows_per_slice=rows_per_slice)
     v, first, last = F.col(value).cast("double"), F.col("cum_n") - F.col("n"), F.col("cum_n")

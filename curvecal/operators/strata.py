@@ -35,6 +35,11 @@ class Bins:
         return above.cast("int")
 
 
+def even_probs(k: int) -> list[float]:
+    """0, 1/k, ..., 1 as multiples of the step; a last-digit difference can move a tied value."""
+    return [i * (1.0 / k) for i in range(k)] + [1.0]
+
+
 def fit_bins(df: DataFrame, y: str, n_bins: int = N_BINS, min_per_bin: int = MIN_PER_BIN,
              zero_bin: bool = True) -> Bins:
     """Largest number of quantile bins whose smallest bin holds ``min_per_bin`` rows.
@@ -46,13 +51,13 @@ def fit_bins(df: DataFrame, y: str, n_bins: int = N_BINS, min_per_bin: int = MIN
     spread = F.when(F.col("v") != 0.0, F.col("v")) if zero_bin else F.col("v")
     cuts, seen = probe(rows, spread, all=F.count("v"))
     zeros, spread_n = seen["all"] - seen["rows"], seen["rows"]
-    probs = sorted({i / k for k in range(1, top + 1) for i in range(k + 1)})
+    probs = sorted({p for k in range(1, top + 1) for p in even_probs(k)})
     cut, upto = {}, {}
     if spread_n:
         found = quantile_values(rows.where(F.col("v") != 0.0) if zero_bin else rows, "v", probs, spread_n, cuts)
         cut = {p: q for p, (q, _) in zip(probs, found)}
         upto = dict(found)
-    edges = {k: sorted({cut[i / k] for i in range(k + 1)}) for k in range(1, top + 1)} if cut else {}
+    edges = {k: sorted({cut[p] for p in even_probs(k)}) for k in range(1, top + 1)} if cut else {}
     first = 1 if zero_bin else 0
     for k in range(top, 0, -1):
         if k not in edges or len(edges[k]) < 2:

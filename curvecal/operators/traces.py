@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curvecal.functions.arrays import nan
-from curvecal.operators.ranking import ROWS_PER_SLICE, probe, slice_of
+from curvecal.operators.ranking import probe, slice_of
 
 
-def with_neighbours(df: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+def with_neighbours(df: DataFrame, rows_per_slice: int | None = None) -> DataFrame:
     """Add ``prev`` and ``next`` structs (e, row_id, i); null at the ends of a sample."""
     cuts, _ = probe(df, F.col("e"), rows_per_slice)
     point = F.struct("e", "row_id", "i")

@@ -93,7 +93,7 @@ def bins(source: str, name: str, top: int = 6, least: int = 2) -> str:
     """CTEs ending in ``name``: rows of ``source`` (with y) plus ``bin`` and the chosen ``k``."""
     edges = " UNION ALL ".join(
         f"SELECT {k} AS k, list_sort(list_distinct(quantile_cont(y, ["
-        + ", ".join(f"CAST({i / k!r} AS DOUBLE)" for i in range(k + 1))
+        + ", ".join(f"CAST({p!r} AS DOUBLE)" for p in [i * (1.0 / k) for i in range(k)] + [1.0])
         + f"]))) AS ed FROM {source} WHERE y <> 0" for k in range(1, top + 1))
     return f"""
 {name}_e AS ({edges}),
