@@ -1,7 +1,7 @@
 """Dense solvers on p x p moments; everything here is bounded by the number of features.
 
-A ``Moments`` holds count, sums and cross products about a fixed shift. All linear
-models are fitted from it, so one distributed pass serves every fold and candidate.
+All linear models are fitted from ``Moments``, so one distributed pass serves every
+fold and candidate.
 """
 
 from dataclasses import dataclass, field
@@ -13,30 +13,59 @@ EIGEN_CUT = 1e-12
 
 @dataclass
 class Moments:
-    """Augmented second-moment matrix of z = (1, x - shift_x, y - shift_y)."""
-    gram: np.ndarray
-    shift: np.ndarray
+    """Count, means and centred cross products of rows (x..., y).
+
+    Two sets of rows combine without ever forming large raw sums, so no common origin
+    is needed and precision does not depend on where the data lies.
+    """
+    n: float
+    centre: np.ndarray
+    scatter: np.ndarray
+
+    @classmethod
+    def of(cls, rows: np.ndarray):
+        centre = rows.mean(axis=0)
+        dev = rows - centre
+        return cls(float(len(rows)), centre, dev.T @ dev)
+
+    @classmethod
+    def unpack(cls, flat: np.ndarray, size: int):
+        return cls(float(flat[0]), flat[1:size + 1], flat[size + 1:].reshape(size, size))
+
+    def pack(self) -> np.ndarray:
+        return np.concatenate([[self.n], self.centre, self.scatter.ravel()])
 
     def __add__(self, other):
-        return Moments(self.gram + other.gram, self.shift)
+        n = self.n + other.n
+        if other.n == 0 or n == 0:
+            return self
+        gap = other.centre - self.centre
+        return Moments(n, self.centre + gap * (other.n / n),
+                       self.scatter + other.scatter + np.outer(gap, gap) * (self.n * other.n / n))
 
     def __sub__(self, other):
-        return Moments(self.gram - other.gram, self.shift)
-
-    @property
-    def n(self):
-        return self.gram[0, 0]
+        """Moments of the rows left when ``other`` (a part of these rows) is taken out."""
+        n = self.n - other.n
+        if n <= 0:
+            return Moments(0.0, np.zeros_like(self.centre), np.zeros_like(self.scatter))
+        centre = self.centre + (self.centre - other.centre) * (other.n / n)
+        gap = other.centre - centre
+        return Moments(n, centre, self.scatter - other.scatter - np.outer(gap, gap) * (n * other.n / self.n))
 
     @property
     def mean(self):
-        return self.gram[0, 1:] / self.n + self.shift
+        return self.centre
 
     def centred(self):
         """(Sxx, Sxy, Syy) about the means."""
-        d = self.gram[0, 1:]
-        s = self.gram[1:, 1:] - np.outer(d, d) / self.n
+        s = self.scatter
         return s[:-1, :-1], s[:-1, -1], s[-1, -1]
 
+    def pick(self, features: list[int]):
+        """Moments of some features with the target."""
+        at = list(features) + [len(self.centre) - 1]
+        return Moments(self.n, self.centre[at], self.scatter[np.ix_(at, at)])
+
 
 @dataclass
 class LinearFit:
@@ -177,12 +206,3 @@ def pls(mom: Moments, components: int, name="pls") -> LinearFit:
         loadings.append(load)
         weights = weights + r * q
     return raw_fit(name, mom, weights * sy, sx, components=components)
-
-
-def fit_quality(mom: Moments, fit: LinearFit) -> tuple[float, float]:
-    """(sum of squared errors, total sum of squares) of ``fit`` on the rows behind ``mom``."""
-    shift = mom.shift
-    lead = fit.intercept + fit.coef @ shift[:-1] - shift[-1]
-    v = np.concatenate([[lead], fit.coef, [-1.0]])
-    _, _, syy = mom.centred()
-    return max(float(v @ mom.gram @ v), 0.0), float(syy)

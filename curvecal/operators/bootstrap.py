@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from curvecal.functions import solvers as S
 from curvecal.functions.features import list_matrix
-from curvecal.operators.gram import matrix_schema, pack_matrices, sum_matrices
+from curvecal.operators.gram import matrix_schema, merge_moments, pack_moments
 
 REPLICATES = 100
 LEVEL = 0.95
@@ -34,35 +34,42 @@ def poisson_weights(keys: np.ndarray, replicates: int, seed: int) -> np.ndarray:
     return np.searchsorted(CUMULATIVE, unit, side="right").astype(float)
 
 
-def bootstrap_moments(rows: DataFrame, key: str, width: int, shift: np.ndarray,
-                      replicates: int = REPLICATES, seed: int = 42) -> list[S.Moments]:
-    """Weighted moments per replicate from rows (key, y, x): one scan."""
-    size = width + 2
+def weighted_moments(block: np.ndarray, weights: np.ndarray) -> list[S.Moments]:
+    """Moments of one block of rows under each column of ``weights``."""
+    origin = block.mean(axis=0)
+    dev = block - origin
+    size = block.shape[1]
+    n, first = weights.sum(axis=0), weights.T @ dev
+    second = weights.T @ (dev[:, :, None] * dev[:, None, :]).reshape(len(dev), size * size)
+    out = []
+    for count, lean, raw in zip(n, first, second):
+        shift = lean / count if count else lean
+        out.append(S.Moments(float(count), origin + shift,
+                             raw.reshape(size, size) - np.outer(lean, shift)))
+    return out
+
 
+def bootstrap_moments(rows: DataFrame, key: str, width: int, replicates: int = REPLICATES,
+                      seed: int = 42) -> list[S.Moments]:
+    """Weighted moments per replicate from rows (key, y, x): one scan."""
     def accumulate(batches):
-        stack = None
+        total = None
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            z = np.empty((batch.num_rows, size))
-            z[:, 0] = 1.0
-            z[:, 1:-1] = list_matrix(batch.column(2), width) - shift[:-1]
-            z[:, -1] = batch.column(1).to_numpy(zero_copy_only=False) - shift[-1]
+            z = np.column_stack([list_matrix(batch.column(2), width),
+                                 batch.column(1).to_numpy(zero_copy_only=False)])
             keys = batch.column(0).to_numpy(zero_copy_only=False)
             for at in range(0, len(z), CHUNK):
-                part = z[at:at + CHUNK]
-                w = poisson_weights(keys[at:at + CHUNK], replicates, seed)
-                outer = (part[:, :, None] * part[:, None, :]).reshape(len(part), size * size)
-                stack = w.T @ outer if stack is None else stack + w.T @ outer
-        if stack is not None:
-            yield pack_matrices({str(b): m for b, m in enumerate(stack)}, "g")
+                part = weighted_moments(z[at:at + CHUNK], poisson_weights(keys[at:at + CHUNK], replicates, seed))
+                total = part if total is None else [a + b for a, b in zip(total, part)]
+        if total is not None:
+            yield pack_moments({str(b): m for b, m in enumerate(total)}, "g")
 
     hashed = rows.select(F.xxhash64(F.col(key)).alias("k"), "y", "x")
-    parts = hashed.mapInArrow(accumulate, matrix_schema("g"))
-    mats = np.zeros((replicates, size * size))
-    for row in sum_matrices(parts, "g").collect():
-        mats[int(row["g"]), row["pos"]] = row["v"]
-    return [S.Moments(m.reshape(size, size), shift) for m in mats]
+    merged = merge_moments(hashed.mapInArrow(accumulate, matrix_schema("g")), width + 1, "g")
+    found = {int(r["g"]): S.Moments.unpack(np.array(r["m"]), width + 1) for r in merged.collect()}
+    return [found[b] for b in sorted(found)]
 
 
 def bootstrap_interval(rows: DataFrame, fits: list[S.LinearFit], point: S.LinearFit, width: int,

@@ -55,7 +55,7 @@ def kernel_width(mom: S.Moments, gamma) -> float:
 
 def fourier_map(mom: S.Moments, gamma="scale", size: int = 48, seed: int = SEED) -> FourierMap:
     rng = np.random.default_rng(seed)
-    p = mom.gram.shape[0] - 2
+    p = len(mom.mean) - 1
     width = kernel_width(mom, gamma)
     return FourierMap(rng.normal(0.0, math.sqrt(2.0 * width), (p, size)),
                       rng.uniform(0.0, 2.0 * math.pi, size), mom.mean[:-1], S.population_scale(mom))

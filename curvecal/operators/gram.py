@@ -30,73 +30,57 @@ def design(df: DataFrame, features: list[str] | str, y: str, keep: list[str] = (
     return df.select(*keep, F.col(y).cast("double").alias("y"), x.alias("x"))
 
 
-def location(rows: DataFrame, width: int) -> np.ndarray:
-    """Rough centre of x and y from the first rows.
+def matrix_schema(group: str) -> str:
+    return f"{group} string, slot int, m array<double>"
 
-    Moments about any point give the same fits; a point inside the data only keeps the
-    cross products small, so the first rows do as well as a full pass.
-    """
-    head = rows.select("x", "y").limit(256).collect()
-    if not head:
-        return np.zeros(width + 1)
-    return np.array([list(r["x"]) + [r["y"]] for r in head], dtype=float).mean(axis=0)
 
+def pack_moments(parts: dict[str, Moments], group: str) -> pa.RecordBatch:
+    """One row per key with its packed moments, marked with the task's merge slot."""
+    slot = TaskContext.get().partitionId() % SLOTS
+    return pa.RecordBatch.from_arrays(
+        [pa.array(list(parts), pa.string()), pa.array([slot] * len(parts), pa.int32()),
+         pa.array([m.pack() for m in parts.values()], pa.list_(pa.float64()))],
+        names=[group, "slot", "m"])
 
-def gram_partials(rows: DataFrame, width: int, shift: np.ndarray, group: str = "g") -> DataFrame:
-    """(group, pos, value): moment matrices summed over all rows.
 
-    Each task folds its rows into one matrix per group before emitting. A second,
-    small merge over at most ``SLOTS`` tasks keeps the final sum short even when the
-    scan has very many tasks.
-    """
-    size = width + 2
-    out = matrix_schema(group)
+def gram_partials(rows: DataFrame, width: int, group: str = "g") -> DataFrame:
+    """One row per group: (group, slot, packed moments of x and y).
 
+    Each task folds its rows into one set of moments per group before emitting.
+    """
     def accumulate(batches):
-        sums = {}
+        parts: dict[str, Moments] = {}
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            z = np.empty((batch.num_rows, size))
-            z[:, 0] = 1.0
-            z[:, 1:-1] = list_matrix(batch.column(2), width) - shift[:-1]
-            z[:, -1] = batch.column(1).to_numpy(zero_copy_only=False) - shift[-1]
+            z = np.column_stack([list_matrix(batch.column(2), width),
+                                 batch.column(1).to_numpy(zero_copy_only=False)])
             for key, index in groups_of(batch.column(0)):
-                block = z[index]
-                sums[key] = sums.get(key, 0.0) + block.T @ block
-        if sums:
-            yield pack_matrices(sums, group)
-
-    parts = rows.select(F.col(group).cast("string").alias(group), "y", "x").mapInArrow(accumulate, out)
-    return sum_matrices(parts, group)
+                own = Moments.of(z[index])
+                parts[key] = parts[key] + own if key in parts else own
+        if parts:
+            yield pack_moments(parts, group)
 
+    source = rows.select(F.col(group).cast("string").alias(group), "y", "x")
+    return merge_moments(source.mapInArrow(accumulate, matrix_schema(group)), width + 1, group)
 
-def matrix_schema(group: str) -> str:
-    return f"{group} string, slot int, m array<double>"
 
+def merge_moments(parts: DataFrame, size: int, group: str) -> DataFrame:
+    """Combine per-task moments to one row per group, in two small steps.
 
-def pack_matrices(sums: dict, group: str) -> pa.RecordBatch:
-    """One row per key with its flattened matrix, marked with the task's merge slot."""
-    slot = TaskContext.get().partitionId() % SLOTS
-    return pa.RecordBatch.from_arrays(
-        [pa.array(list(sums), pa.string()), pa.array([slot] * len(sums), pa.int32()),
-         pa.array([m.ravel() for m in sums.values()], pa.list_(pa.float64()))],
-        names=[group, "slot", "m"])
-
-
-def sum_matrices(parts: DataFrame, group: str) -> DataFrame:
-    """(group, pos, v) from per-task matrices: merged per slot, then summed cell by cell."""
+    The first spreads tasks over at most ``SLOTS`` merges, so that the last step sees
+    at most ``SLOTS`` rows per group however many tasks read the data.
+    """
     def merge(batches):
-        sums = {}
+        parts: dict[str, Moments] = {}
         for batch in batches:
             for key, m in zip(batch.column(0).to_pylist(), batch.column(2)):
-                sums[key] = sums.get(key, 0.0) + np.asarray(m.values)
-        if sums:
-            yield pack_matrices(sums, group)
-
-    merged = parts.repartition("slot").mapInArrow(merge, matrix_schema(group))
-    return (merged.select(group, F.posexplode("m").alias("pos", "v"))
-            .groupBy(group, "pos").agg(F.sum("v").alias("v")))
+                own = Moments.unpack(np.array(m.values), size)
+                parts[key] = parts[key] + own if key in parts else own
+        if parts:
+            yield pack_moments(parts, group)
+    schema = matrix_schema(group)
+    return parts.repartition("slot").mapInArrow(merge, schema).repartition(group).mapInArrow(merge, schema)
 
 
 def groups_of(column):
@@ -107,24 +91,25 @@ def groups_of(column):
         yield key, np.flatnonzero(codes == code)
 
 
-def gram_by_group(rows: DataFrame, width: int, group: str = "g",
-                  shift: np.ndarray | None = None) -> dict[str, Moments]:
-    """Moments per group on the driver: (width + 2)^2 numbers each, whatever the rows."""
-    if shift is None:
-        shift = location(rows, width)
-    size = width + 2
-    mats: dict[str, np.ndarray] = {}
-    for row in gram_partials(rows, width, shift, group).collect():
-        mats.setdefault(row[group], np.zeros(size * size))[row["pos"]] = row["v"]
-    return {g: Moments(m.reshape(size, size), shift) for g, m in mats.items()}
+def gram_by_group(rows: DataFrame, width: int, group: str = "g") -> dict[str, Moments]:
+    """Moments per group on the driver: about (width + 1)^2 numbers each, whatever the rows."""
+    return {r[group]: Moments.unpack(np.array(r["m"]), width + 1)
+            for r in gram_partials(rows, width, group).collect()}
 
 
 def gram_table(rows: DataFrame, width: int, group: str = "g") -> DataFrame:
-    """Moments about zero as rows (group, i, j, v); index 0 is the constant, the last is y."""
-    size = width + 2
-    return gram_partials(rows, width, np.zeros(width + 1), group).select(
-        F.col(group), F.floor(F.col("pos") / size).cast("int").alias("i"),
-        (F.col("pos") % size).cast("int").alias("j"), "v")
+    """Raw cross products as rows (group, i, j, v); index 0 is the constant, the last is y."""
+    size = width + 1
+    n = F.get("m", F.lit(0))
+
+    def mean(k):
+        return F.when(k == 0, F.lit(1.0)).otherwise(F.get("m", k))
+    axes = F.sequence(F.lit(0), F.lit(size))
+    cells = (gram_partials(rows, width, group).select(group, "m", F.explode(axes).alias("i"))
+             .select(group, "m", "i", F.explode(axes).alias("j")))
+    i, j = F.col("i"), F.col("j")
+    spread = F.when((i > 0) & (j > 0), F.get("m", F.lit(size + 1) + (i - 1) * size + j - 1)).otherwise(F.lit(0.0))
+    return cells.select(group, "i", "j", (spread + n * mean(i) * mean(j)).alias("v"))
 
 
 def add(moments) -> Moments:

@@ -118,10 +118,8 @@ class Trainer:
         self.y0 = float(self.whole.mean[-1])
 
     def cosine_rows(self, gamma):
-        """(map, mapped rows, their width, a centre for their moments)."""
         cosines = E.fourier_map(self.whole, gamma)
-        size = len(cosines.phase)
-        return cosines, cosines.apply(self.rows, ["g", "y"]), size, np.append(np.zeros(size), self.y0)
+        return cosines, cosines.apply(self.rows, ["g", "y"]), len(cosines.phase)
 
     def moment_scores(self, rows, width, moments, candidates) -> list[tuple]:
         trains = train_moments(moments)
@@ -151,8 +149,8 @@ class Trainer:
             if c.kind == "rbf":
                 gammas.setdefault(c.params.get("gamma", "scale"), []).append(c)
         for gamma, group in gammas.items():
-            _, mapped, size, centre = self.cosine_rows(gamma)
-            out += self.moment_scores(mapped, size, gram_by_group(mapped, size, shift=centre), group)
+            _, mapped, size = self.cosine_rows(gamma)
+            out += self.moment_scores(mapped, size, gram_by_group(mapped, size), group)
         for c in candidates:
             if c.kind in ("forest", "boosted"):
                 out += self.tree_scores(c)
@@ -163,9 +161,8 @@ class Trainer:
         if candidate.kind == "linear":
             return Predictor(candidate, candidate.fit(self.whole))
         if candidate.kind == "rbf":
-            cosines, mapped, size, centre = self.cosine_rows(candidate.params.get("gamma", "scale"))
-            moments = gram_by_group(mapped, size, shift=centre)
-            return Predictor(candidate, candidate.fit(add(moments.values())), cosines)
+            cosines, mapped, size = self.cosine_rows(candidate.params.get("gamma", "scale"))
+            return Predictor(candidate, candidate.fit(add(gram_by_group(mapped, size).values())), cosines)
         return Predictor(candidate, trees=candidate.estimator().fit(E.vectors(self.rows)))
 
     def choose(self, zoo: list[Candidate], grids: dict = GRIDS):

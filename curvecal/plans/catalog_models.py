@@ -375,7 +375,6 @@ def bootstrap_interval(spark, folder):
     """95 % percentile band of a least-squares model over Poisson replicates."""
     rows = gram.design(AD.tabular(spark, folder), AD.TABULAR, "y", ["sample_id"])
     width = len(AD.TABULAR)
-    shift = gram.location(rows, width)
-    whole = gram.gram_by_group(rows.withColumn("g", F.lit("0")), width, shift=shift)["0"]
-    fits = [S.ols(m) for m in bootstrap.bootstrap_moments(rows, "sample_id", width, shift)]
+    whole = gram.gram_by_group(rows.withColumn("g", F.lit("0")), width)["0"]
+    fits = [S.ols(m) for m in bootstrap.bootstrap_moments(rows, "sample_id", width)]
     return bootstrap.bootstrap_interval(rows, fits, S.ols(whole), width, ["sample_id"])

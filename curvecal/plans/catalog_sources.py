@@ -18,17 +18,15 @@ PER_SCAN = 50
 def scan_folder(spark, folder):
     """Curves written out as scan files of at most ``PER_SCAN`` replicates."""
     path = new_path(spark, "scans")
-    run = F.floor(F.col("row_id") / PER_SCAN)
     named = AD.curves(spark, folder).select(
-        F.format_string("Ac TW run%d %dppb.csv", run, run % 7).alias("scan"),
-        (F.col("row_id") % PER_SCAN).alias("rep"), "cur")
-    scans.write_traces(named, GRID, "scan", "rep", path)
+        F.format_string("Ac TW %dppb.csv", F.floor(F.col("row_id") / PER_SCAN) % 7).alias("scan"), "row_id", "cur")
+    scans.write_traces(named, GRID, "scan", "row_id", path, PER_SCAN)
     return path
 
 
 SCANS = f"""
 WITH {Q.CURVES},
-sc AS (SELECT 'Ac TW run' || (vec_id // {PER_SCAN}) || ' ' || (vec_id // {PER_SCAN} % 7) || 'ppb.csv' AS source_file,
+sc AS (SELECT 'part' || (vec_id // {PER_SCAN}) || ' Ac TW ' || (vec_id // {PER_SCAN} % 7) || 'ppb.csv' AS source_file,
         vec_id // {PER_SCAN} % 7 AS n, row_number() OVER (PARTITION BY vec_id // {PER_SCAN}, k
         ORDER BY vec_id % {PER_SCAN}) AS replicate, k, e, i0 FROM pts)
 """

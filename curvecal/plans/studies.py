@@ -6,6 +6,7 @@ split fitting, one moment pass, one scoring pass, plus whatever trees need.
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -113,7 +114,7 @@ def study_baselines(features: DataFrame, curves: DataFrame, grid: list[float]) -
     members = {"Ip_corr": [0], "Ip_corr+Area_peak": [0, 1], "potentials": list(range(2, 2 + len(grid)))}
     held = None
     for name, picks in members.items():
-        fit = S.ols(sub_moments(whole, picks), name)
+        fit = S.ols(whole.pick(picks), name)
         wide = S.LinearFit(name, fit.intercept, spread(fit.coef, picks, data.width))
         part = as_predictions(data.hold.withColumn("y_pred", predict_column(wide, "x")), name)
         held = part if held is None else held.unionByName(part)
@@ -122,15 +123,8 @@ def study_baselines(features: DataFrame, curves: DataFrame, grid: list[float]) -
     return tables
 
 
-def sub_moments(mom: S.Moments, picks: list[int]) -> S.Moments:
-    """Moments of some features; no further pass over the data."""
-    at = [0] + [1 + p for p in picks] + [mom.gram.shape[0] - 1]
-    shift = mom.shift[[p for p in picks] + [len(mom.shift) - 1]]
-    return S.Moments(mom.gram[at][:, at], shift)
-
-
-def spread(coef, picks, width):
-    import numpy as np
+def spread(coef: np.ndarray, picks: list[int], width: int) -> np.ndarray:
+    """Coefficients put back at their places in the full design."""
     out = np.zeros(width)
     out[picks] = coef
     return out

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 100_000
+BROADCAST_ROWS = 10_000
 
 
 def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -59,17 +59,18 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def attach(left: DataFrame, small: DataFrame, on: list[str], how: str = "inner",
+def attach(left: DataFrame, summary: DataFrame, on: list[str], how: str = "inner",
            limit: int = BROADCAST_ROWS) -> DataFrame:
     """Join a per-group summary back to its rows.
 
-    ``small`` is counted first (never beyond ``limit`` + 1 rows): within the limit it
-    is broadcast so the large side is not shuffled, beyond it the join is left to the
-    optimizer.
+    At most ``limit`` + 1 rows of the summary are fetched. If that is all of it, those
+    rows are broadcast, so the large side is not shuffled and the summary is not
+    computed twice. Otherwise the join is left to the optimizer.
     """
-    if small.limit(limit + 1).count() <= limit:
-        small = F.broadcast(small)
-    return left.join(small, on, how)
+    rows = summary.limit(limit + 1).collect()
+    if len(rows) <= limit:
+        summary = F.broadcast(left.sparkSession.createDataFrame(rows, summary.schema))
+    return left.join(summary, on, how)
 
 
 def ship_package(spark: SparkSession) -> None:

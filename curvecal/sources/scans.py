@@ -69,17 +69,21 @@ def replicates_to_curves(points: DataFrame, decimals: bool = False) -> DataFrame
         "replicate", F.col("pts.e").alias("pot"), F.col("pts.i").alias("cur"))
 
 
-def write_traces(curves: DataFrame, grid: list[float], scan: str, replicate: str, path: str) -> None:
-    """Headerless matrices, one ``scan=<name>`` folder per scan; replicates ordered by ``replicate``.
+def write_traces(curves: DataFrame, grid: list[float], scan: str, number: str, path: str,
+                 per_file: int = 50) -> None:
+    """Headerless matrices, one ``scan=<name>`` folder per file, columns ordered by ``number``.
 
-    A scan must hold a bounded number of replicates: its line for one potential is one row.
+    A line holds one potential of all replicates of a file, so a scan with more than
+    ``per_file`` consecutive numbers is written as several files ('part<k> <scan>').
     """
-    points = curves.select(scan, replicate, F.posexplode(F.arrays_zip(
-        F.lit(grid).alias("e"), F.col("cur").alias("i"))).alias("k", "p"))
-    cells = F.transform(F.array_sort(F.collect_list(F.struct(F.col(replicate), F.col("p.i").alias("i")))),
+    block = F.floor(F.col(number) / per_file).cast("bigint")
+    points = curves.select(
+        F.format_string("part%d %s", block, F.col(scan)).alias("scan"), F.col(number).alias("number"),
+        F.posexplode(F.arrays_zip(F.lit(grid).alias("e"), F.col("cur").alias("i"))).alias("k", "p"))
+    cells = F.transform(F.array_sort(F.collect_list(F.struct("number", F.col("p.i").alias("i")))),
                         lambda c: c["i"].cast("string"))
-    lines = points.groupBy(scan, "k").agg(F.max("p.e").alias("e"), cells.alias("cells"))
+    lines = points.groupBy("scan", "k").agg(F.max("p.e").alias("e"), cells.alias("cells"))
     text = F.concat_ws(",", F.array_prepend(F.col("cells"), F.col("e").cast("string")))
-    (lines.select(F.col(scan).alias("scan"), "k", text.alias("value"))
+    (lines.select("scan", "k", text.alias("value"))
      .repartition("scan").sortWithinPartitions("scan", "k").select("scan", "value")
      .write.partitionBy("scan").text(path))

@@ -81,16 +81,33 @@ def data(spark):
     return x, y, rows, gram.gram_by_group(rows, 6)
 
 
-def test_gram(data):
-    x, y, _, per = data
-    z = np.column_stack([np.ones(300), x, y])
+def test_gram(spark, data):
+    x, y, rows, per = data
+    z = np.column_stack([x, y])
     for g, mom in per.items():
         part = z[np.arange(300) % 5 == int(g)]
-        part = np.column_stack([part[:, 0], part[:, 1:] - mom.shift])
-        np.testing.assert_allclose(mom.gram, part.T @ part, rtol=1e-10, atol=1e-8)
+        assert mom.n == len(part)
+        np.testing.assert_allclose(mom.mean, part.mean(axis=0))
+        dev = part - part.mean(axis=0)
+        np.testing.assert_allclose(mom.scatter, dev.T @ dev, rtol=1e-9, atol=1e-9)
     whole = gram.add(per.values())
-    np.testing.assert_allclose(whole.mean, np.append(x.mean(axis=0), y.mean()))
-    np.testing.assert_allclose((whole - per["0"]).gram, gram.add(per[g] for g in "1234").gram, atol=1e-7)
+    rest, direct = whole - per["0"], gram.add(per[g] for g in "1234")
+    np.testing.assert_allclose(rest.scatter, direct.scatter, atol=1e-8)
+    np.testing.assert_allclose(rest.mean, direct.mean)
+    assert (per["0"] - per["0"]).n == 0
+    raw = np.column_stack([np.ones(300), z])
+    table = gram.gram_table(rows.withColumn("g", F.lit("all")), 6).toPandas()
+    got = np.zeros((8, 8))
+    got[table["i"], table["j"]] = table["v"]
+    np.testing.assert_allclose(got, raw.T @ raw, rtol=1e-9)
+
+
+def test_moments_far_from_zero():
+    rng = np.random.default_rng(1)
+    z = rng.normal(size=(1000, 3))
+    parts = [S.Moments.of(z[k:k + 100] + 1e8) for k in range(0, 1000, 100)]
+    dev = z - z.mean(axis=0)
+    np.testing.assert_allclose(gram.add(parts).scatter, dev.T @ dev, rtol=1e-6, atol=1e-4)
 
 
 def lstsq(x, y):
@@ -151,8 +168,7 @@ def test_more_features_than_rows_and_constant_columns():
     rng = np.random.default_rng(8)
     x, y = rng.normal(size=(12, 30)), rng.normal(size=12)
     x[:, 4] = 3.0
-    z = np.column_stack([np.ones(12), x, y])
-    mom = S.Moments(z.T @ z, np.zeros(31))
+    mom = S.Moments.of(np.column_stack([x, y]))
     fit = S.ols(mom)
     np.testing.assert_allclose(x @ fit.coef + fit.intercept, y, atol=1e-6)
     for other in (S.pls(mom, 15), S.pcr(mom, 15), S.lasso(mom, 0.01), S.ridge(mom, 1.0)):
@@ -253,11 +269,10 @@ def test_scaler(spark):
 
 def test_bootstrap(data):
     x, y, rows, per = data
-    shift = gram.location(rows, 6)
-    moments = bootstrap.bootstrap_moments(rows, "sample_id", 6, shift, replicates=200)
+    moments = bootstrap.bootstrap_moments(rows, "sample_id", 6, replicates=200)
     n = np.array([m.n for m in moments])
     assert abs(n.mean() - 300) < 6 and 12 < n.std() < 23
-    again = bootstrap.bootstrap_moments(rows.repartition(9), "sample_id", 6, shift, replicates=200)
+    again = bootstrap.bootstrap_moments(rows.repartition(9), "sample_id", 6, replicates=200)
     np.testing.assert_allclose([m.n for m in again], n)
     whole = gram.add(per.values())
     fits = [S.ols(m) for m in moments]
