@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from curvecal.constants import BOOST, FOREST, SEED
 from curvecal.functions import solvers as S
 from curvecal.functions.features import list_matrix
+from curvecal.session import ensure_checkpoint_dir
 
 
 @dataclass
@@ -86,6 +87,12 @@ def boosted(rounds=BOOST["rounds"], depth=BOOST["depth"], rate=BOOST["rate"],
         maxMemoryInMB=1024, cacheNodeIds=True, checkpointInterval=10)
 
 
+def fit_trees(estimator, rows: DataFrame):
+    """Fit on rows (y, x); boosting checkpoints its running predictions every ten rounds."""
+    ensure_checkpoint_dir(rows.sparkSession)
+    return estimator.fit(vectors(rows))
+
+
 def predict_trees(model, rows: DataFrame) -> DataFrame:
     out = model.transform(vectors(rows))
     return out.withColumnRenamed("prediction", "y_pred").withColumnRenamed("label", "y").drop("features")

@@ -130,7 +130,7 @@ class Trainer:
     def tree_scores(self, candidate) -> list[tuple]:
         out = []
         for g in sorted(self.moments, key=int):
-            model = candidate.estimator().fit(E.vectors(self.rows.where(F.col("g") != g)))
+            model = E.fit_trees(candidate.estimator(), self.rows.where(F.col("g") != g))
             held = E.predict_trees(model, self.rows.where(F.col("g") == g))
             err, y = F.col("y_pred") - F.col("y"), F.col("y")
             row = held.agg(F.count(y), F.sqrt(F.avg(err * err)), F.avg(F.abs(err)),
@@ -163,7 +163,7 @@ class Trainer:
         if candidate.kind == "rbf":
             cosines, mapped, size = self.cosine_rows(candidate.params.get("gamma", "scale"))
             return Predictor(candidate, candidate.fit(add(gram_by_group(mapped, size).values())), cosines)
-        return Predictor(candidate, trees=candidate.estimator().fit(E.vectors(self.rows)))
+        return Predictor(candidate, trees=E.fit_trees(candidate.estimator(), self.rows))
 
     def choose(self, zoo: list[Candidate], grids: dict = GRIDS):
         """(winner of the zoo, best tuned setting, all fold scores)."""

@@ -359,14 +359,14 @@ def fit_rbf(spark, folder):
 @query("fit_forest")
 def fit_forest(spark, folder):
     rows = shaped(spark, folder)
-    model = ensembles.forest().fit(ensembles.vectors(rows))
+    model = ensembles.fit_trees(ensembles.forest(), rows)
     return ensembles.predict_trees(model, rows).select("sample_id", "y", "y_pred")
 
 
 @query("fit_gbt")
 def fit_gbt(spark, folder):
     rows = shaped(spark, folder)
-    model = ensembles.boosted().fit(ensembles.vectors(rows))
+    model = ensembles.fit_trees(ensembles.boosted(), rows)
     return ensembles.predict_trees(model, rows).select("sample_id", "y", "y_pred")
 
 

@@ -44,6 +44,13 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Let iterative fits cut their lineage; the cluster's own setting is kept."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(spark))
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 

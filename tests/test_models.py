@@ -250,7 +250,7 @@ def test_fourier_features_approach_the_kernel(spark, data):
 def test_trees_learn(data):
     _, _, rows, _ = data
     for est in (ensembles.forest(trees=10, depth=4), ensembles.boosted(rounds=5, depth=3)):
-        out = ensembles.predict_trees(est.fit(ensembles.vectors(rows)), rows)
+        out = ensembles.predict_trees(ensembles.fit_trees(est, rows), rows)
         row = out.agg(F.corr("y", "y_pred")).first()
         assert row[0] > 0.7
 
