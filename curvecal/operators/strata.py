@@ -4,6 +4,7 @@ Fitting reads the data a few times and keeps only edges, counts and hash limits.
 fitted split is a projection of literals: assigning parts and folds shuffles nothing.
 """
 
+import itertools
 import math
 from dataclasses import dataclass, field
 
@@ -14,6 +15,7 @@ from curvecal.constants import (
     HOLDOUT_FRACTION, MIN_PER_BIN, N_BINS, N_FOLDS, SEED,
 )
 from curvecal.operators.ranking import comparable, hash_cuts, hash_order, probe, quantile_values
+from curvecal.session import materialize
 
 
 @dataclass
@@ -110,28 +112,32 @@ class Split:
     group: str
     held_group: str
     seed: int
-    held_bins: Bins
-    quotas: dict[int, int]
-    hold_limits: dict[int, str | None]
+    held_bins: Bins | None = None
+    quotas: dict[int, int] = field(default_factory=dict)
+    hold_limits: dict[int, str | None] = field(default_factory=dict)
     train_bins: Bins | None = None
     folds: int = 0
     fold_limits: dict[int, list[str | None]] = field(default_factory=dict)
 
     def assign(self, df: DataFrame) -> DataFrame:
+        """Add ``part``, ``stratum`` and, once folds are fitted, ``fold`` (null when held out)."""
+        return self.place(df.withColumn("__h", hash_order(self.seed, F.col(self.key)))).drop("__h")
+
+    def place(self, out: DataFrame) -> DataFrame:
+        """``assign`` for rows that carry their hash as ``__h``."""
         y = F.col(self.y).cast("double")
-        out = df.withColumn("__h", hash_order(self.seed, F.col(self.key)))
         out = out.withColumn("__b", F.when(F.col(self.group) == self.held_group, self.held_bins.column(y)))
         held = F.coalesce(F.col("__h") <= per_stratum(self.hold_limits, F.col("__b")), F.lit(False))
         out = out.withColumn("part", F.when(held, "hold").otherwise("train"))
         if self.train_bins is None:
-            return out.withColumnRenamed("__b", "stratum").drop("__h")
+            return out.withColumnRenamed("__b", "stratum")
         out = out.withColumn("stratum", F.when(F.col("part") == "hold", F.col("__b"))
                              .otherwise(self.train_bins.column(y)))
         fold = F.lit(0)
         for j in range(self.folds - 1):
             limit = per_stratum({s: v[j] for s, v in self.fold_limits.items()}, F.col("stratum"))
             fold = fold + F.when(F.col("__h") > limit, 1).otherwise(0)
-        return out.withColumn("fold", F.when(F.col("part") == "train", fold)).drop("__h", "__b")
+        return out.withColumn("fold", F.when(F.col("part") == "train", fold)).drop("__b")
 
 
 def per_stratum(limits: dict[int, str | None], stratum: Column) -> Column:
@@ -139,42 +145,56 @@ def per_stratum(limits: dict[int, str | None], stratum: Column) -> Column:
     return F.get(F.lit([limits.get(s) or "" for s in range(max(limits) + 1)]), stratum)
 
 
-def fit_holdout(df: DataFrame, y: str, key: str = "sample_id", group: str = "dataset",
-                held_group: str = "unseen", fraction: float = HOLDOUT_FRACTION, n_bins: int = N_BINS,
-                min_per_bin: int = MIN_PER_BIN, zero_bin: bool = True, seed: int = SEED) -> Split:
-    """Stratified holdout drawn from one group only; every other row trains."""
-    pool = df.where(F.col(group) == held_group).select(key, y)
-    bins = fit_bins(pool, y, n_bins, min_per_bin, zero_bin)
-    quotas = holdout_quotas(bins.counts, fraction)
-    hashed = pool.select(bins.column(F.col(y).cast("double")).alias("s"),
-                         hash_order(seed, F.col(key)).alias("h"))
-    limits = hash_cuts(hashed, "s", "h", {s: [q] for s, q in quotas.items()})
-    return Split(y, key, group, held_group, seed, bins, quotas, {s: v[0] for s, v in limits.items()})
-
-
-def fit_folds(df: DataFrame, split: Split, folds: int = N_FOLDS, n_bins: int = N_BINS,
-              min_per_bin: int = MIN_PER_BIN, zero_bin: bool = True) -> Split:
-    """Add balanced folds over the training rows of ``split``."""
-    train = split.assign(df).where(F.col("part") == "train").select(split.key, split.y)
+def keyed(df: DataFrame, y: str, key: str, group: str, seed: int) -> DataFrame:
+    """The only columns split fitting reads: hash, target, group."""
+    return df.select(hash_order(seed, F.col(key)).alias("__h"), F.col(y), F.col(group))
+
+
+def hold_out(rows: DataFrame, split: Split, fraction: float, n_bins: int, min_per_bin: int,
+             zero_bin: bool) -> Split:
+    pool = rows.where(F.col(split.group) == split.held_group)
+    bins = fit_bins(pool, split.y, n_bins, min_per_bin, zero_bin)
+    split.held_bins, split.quotas = bins, holdout_quotas(bins.counts, fraction)
+    hashed = pool.select(bins.column(F.col(split.y).cast("double")).alias("s"), F.col("__h").alias("h"))
+    limits = hash_cuts(hashed, "s", "h", {s: [q] for s, q in split.quotas.items()})
+    split.hold_limits = {s: v[0] for s, v in limits.items()}
+    return split
+
+
+def fold_up(rows: DataFrame, split: Split, folds: int, n_bins: int, min_per_bin: int,
+            zero_bin: bool) -> Split:
+    """Balanced folds over the training rows: fold sizes per stratum become hash limits."""
+    train = split.place(rows).where(F.col("part") == "train").select("__h", split.y)
     bins = fit_bins(train, split.y, n_bins, min_per_bin, zero_bin)
     count = fold_count(bins.counts, folds)
-    sizes = fold_sizes(bins.counts, count)
-    ranks = {}
-    for s, per_fold in sizes.items():
-        ends, run = [], 0
-        for size in per_fold[:-1]:
-            run += size
-            ends.append(run)
-        ranks[s] = ends
-    hashed = train.select(bins.column(F.col(split.y).cast("double")).alias("s"),
-                          hash_order(split.seed, F.col(split.key)).alias("h"))
+    ranks = {s: list(itertools.accumulate(per_fold[:-1]))
+             for s, per_fold in fold_sizes(bins.counts, count).items()}
+    hashed = train.select(bins.column(F.col(split.y).cast("double")).alias("s"), F.col("__h").alias("h"))
     split.train_bins, split.folds = bins, count
     split.fold_limits = hash_cuts(hashed, "s", "h", ranks)
     return split
 
 
-def fit_split(df: DataFrame, y: str, key: str = "sample_id", **kwargs) -> Split:
-    return fit_folds(df, fit_holdout(df, y, key, **kwargs))
+def fit_holdout(df: DataFrame, y: str, key: str = "sample_id", group: str = "dataset",
+                held_group: str = "unseen", fraction: float = HOLDOUT_FRACTION, n_bins: int = N_BINS,
+                min_per_bin: int = MIN_PER_BIN, zero_bin: bool = True, seed: int = SEED) -> Split:
+    """Stratified holdout drawn from one group only; every other row trains."""
+    split = Split(y, key, group, held_group, seed)
+    return hold_out(keyed(df, y, key, group, seed), split, fraction, n_bins, min_per_bin, zero_bin)
+
+
+def fit_split(df: DataFrame, y: str, key: str = "sample_id", group: str = "dataset",
+              held_group: str = "unseen", fraction: float = HOLDOUT_FRACTION, folds: int = N_FOLDS,
+              n_bins: int = N_BINS, min_per_bin: int = MIN_PER_BIN, zero_bin: bool = True,
+              seed: int = SEED) -> Split:
+    """Holdout, then balanced folds of the rest.
+
+    Fitting reads hash, target and group about eight times; they are written once, so
+    that whatever produces ``df`` (a join, features) runs once for it.
+    """
+    rows = materialize(keyed(df, y, key, group, seed), "split")
+    split = hold_out(rows, Split(y, key, group, held_group, seed), fraction, n_bins, min_per_bin, zero_bin)
+    return fold_up(rows, split, folds, n_bins, min_per_bin, zero_bin)
 
 
 def split_report(assigned: DataFrame) -> DataFrame:
