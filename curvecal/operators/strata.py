@@ -192,7 +192,7 @@ def fit_split(df: DataFrame, y: str, key: str = "sample_id", group: str = "datas
     Fitting reads hash, target and group about eight times; they are written once, so
     that whatever produces ``df`` (a join, features) runs once for it.
     """
-    rows = materialize(keyed(df, y, key, group, seed), "split")
+    rows = materialize(keyed(df, y, key, group, seed), "split", row_group_mb=4)
     split = hold_out(rows, Split(y, key, group, held_group, seed), fraction, n_bins, min_per_bin, zero_bin)
     return fold_up(rows, split, folds, n_bins, min_per_bin, zero_bin)
 

@@ -55,14 +55,15 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, row_group_mb: int = 32) -> DataFrame:
     """Write a table several later passes read, and return a scan of it.
 
     The files outlive lost executors, later passes prune columns on them, and the
-    expensive upstream plan runs once.
+    expensive upstream plan runs once. Moderate row groups let a later scan split a file
+    that one upstream task wrote.
     """
     path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", row_group_mb << 20).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
