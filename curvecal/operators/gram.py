@@ -97,8 +97,11 @@ def gram_by_group(rows: DataFrame, width: int, group: str = "g") -> dict[str, Mo
             for r in gram_partials(rows, width, group).collect()}
 
 
-def gram_table(rows: DataFrame, width: int, group: str = "g") -> DataFrame:
-    """Raw cross products as rows (group, i, j, v); index 0 is the constant, the last is y."""
+def gram_table(rows: DataFrame, width: int, group: str = "g", per_row: bool = False) -> DataFrame:
+    """Raw cross products as rows (group, i, j, v); index 0 is the constant, the last is y.
+
+    ``per_row`` divides them by the number of rows.
+    """
     size = width + 1
     n = F.get("m", F.lit(0))
 
@@ -109,7 +112,9 @@ def gram_table(rows: DataFrame, width: int, group: str = "g") -> DataFrame:
              .select(group, "m", "i", F.explode(axes).alias("j")))
     i, j = F.col("i"), F.col("j")
     spread = F.when((i > 0) & (j > 0), F.get("m", F.lit(size + 1) + (i - 1) * size + j - 1)).otherwise(F.lit(0.0))
-    return cells.select(group, "i", "j", (spread + n * mean(i) * mean(j)).alias("v"))
+    means = mean(i) * mean(j)
+    value = spread / n + means if per_row else spread + n * means
+    return cells.select(group, "i", "j", value.alias("v"))
 
 
 def add(moments) -> Moments:

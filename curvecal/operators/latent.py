@@ -62,18 +62,6 @@ def component_correlation(spark: SparkSession, mom: Moments, pc: Components) ->
     return spark.createDataFrame(rows, "pc int, n bigint, r double, r2 double, p double")
 
 
-def pearson(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """Pearson r, r squared and two-sided p for column pairs, from one aggregate."""
-    rows = df.agg(*[F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)],
-                  F.count(F.lit(1)).alias("n")).first()
-    out = []
-    for i, (a, b) in enumerate(pairs):
-        r, n = rows[f"r{i}"], rows["n"]
-        out.append((a, b, n, r, None if r is None else r * r, correlation_p(r, n)))
-    return df.sparkSession.createDataFrame(
-        out, "left string, right string, n bigint, r double, r2 double, p double")
-
-
 def correlation_p(r: float | None, n: int) -> float | None:
     """Two-sided p-value of r under no correlation (Student t, n - 2 degrees)."""
     if r is None or n < 3:

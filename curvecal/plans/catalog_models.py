@@ -118,16 +118,14 @@ AXES = ["1"] + AD.TABULAR + ["y"]
 
 
 @query("gram_by_fold", TPOOL + f""",
-n AS (SELECT grp, count(*) AS n FROM t GROUP BY grp), m AS ("""
+m AS ("""
        + " UNION ALL ".join(f"SELECT CAST(grp AS VARCHAR) AS g, {i} AS i, {j} AS j, avg(CAST({a} AS DOUBLE) * {b}) AS v FROM t GROUP BY grp"
                             for i, a in enumerate(AXES) for j, b in enumerate(AXES))
        + f") SELECT g, CAST(i AS INT) AS i, CAST(j AS INT) AS j, {r6('v')} AS v FROM m")
 def gram_by_fold(spark, folder):
     """Mean cross products per group."""
     rows = gram.design(AD.tabular(spark, folder), AD.TABULAR, "y", ["grp"]).withColumnRenamed("grp", "g")
-    sums = gram.gram_table(rows, len(AD.TABULAR))
-    counts = sums.where("i = 0 AND j = 0").select("g", F.col("v").alias("n"))
-    return sums.join(counts, "g").select("g", "i", "j", (F.col("v") / F.col("n")).alias("v"))
+    return gram.gram_table(rows, len(AD.TABULAR), per_row=True)
 
 
 def pair_moments(spark, folder, group=None):
