@@ -7,6 +7,10 @@ WAND): items whose bound cannot reach the threshold are skipped block-wise. All
 above the threshold are retrieved, never a top few, then verified: word n-grams of the
 question (all sentences but the last) and of the answer (the last) must occur in the passage.
 
+Before that a vectorised bound drops passages that no item can owe the threshold to: the
+postings of an item's frequent words are not essential (they cannot reach half the threshold),
+and the essential ones are added up for all passages of a document at once.
+
 Passages are windows of twice the longest item's words with half a window's step, so any
 copy of an item lies whole in one of them. The index is broadcast and holds only the test
 items; a limit on its words is checked. Documents are never shuffled.
@@ -17,6 +21,7 @@ left out. Repeated documents give repeated rows; repeated items are separate ite
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from itertools import repeat
 
@@ -76,27 +81,46 @@ class ItemIndex:
                 lists[self.words[w]].append((d, v / own))
         self.docs = [np.array([d for d, _ in p], np.int32) for p in lists]
         self.impacts = [np.array([v for _, v in p]) for p in lists]
-        self.last = [p[BLOCK - 1::BLOCK] if len(p) % BLOCK == 0 else np.append(p[BLOCK - 1::BLOCK], p[-1]) for p in self.docs]
-        self.block_max = [np.maximum.reduceat(v, np.arange(0, len(v), BLOCK)) for v in self.impacts]
-        self.bound = np.array([v.max() for v in self.impacts]) if lists else np.zeros(0)
+        self.lists = [p.tolist() for p in self.docs]
+        self.last = [p[BLOCK - 1::BLOCK] if len(p) % BLOCK == 0 else [*p[BLOCK - 1::BLOCK], p[-1]] for p in self.lists]
+        self.block_max = [np.maximum.reduceat(v, np.arange(0, len(v), BLOCK)).tolist() for v in self.impacts]
+        self.bounds = [float(v.max()) for v in self.impacts]
+
+    def essential(self, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Postings without which an item stays under the threshold: (first posting of each word, items, shares).
+
+        Of each item the most frequent words with up to half the threshold's mass are left
+        out. What the rest must reach is one share; a passage that gives no item a whole
+        share cannot give any item the threshold.
+        """
+        listed: list[list[tuple[int, float]]] = [[] for _ in self.words]
+        by_item: list[list[tuple[int, int, float]]] = [[] for _ in self.ids]
+        for w, (docs, impacts) in enumerate(zip(self.docs, self.impacts)):
+            for d, v in zip(docs.tolist(), impacts.tolist()):
+                by_item[d].append((len(docs), w, v))
+        for d, terms in enumerate(by_item):
+            spent = 0.0
+            terms.sort(reverse=True)
+            while terms and spent + terms[0][2] <= threshold / 2:
+                spent += terms.pop(0)[2]
+            for _, w, v in terms:
+                listed[w].append((d, v / (threshold - spent)))
+        first = np.cumsum([0, *map(len, listed)])
+        return (first, np.array([d for p in listed for d, _ in p], np.int64), np.array([v for p in listed for _, v in p]))
 
     def search(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
         """All items that score ``threshold`` or more for a set of words: block-max WAND."""
-        end = len(self.ids)
+        end, bound = len(self.ids), self.bounds
         at = {t: 0 for t in terms}
         found = []
         order = [t for t in terms if len(self.docs[t])]
 
-        def move(t, target):
-            d = self.docs[t]
-            at[t] += int(np.searchsorted(d[at[t]:], target))
-
-        current = {t: int(self.docs[t][0]) for t in order}
+        current = {t: self.lists[t][0] for t in order}
         while order:
             order.sort(key=current.__getitem__)
             total, pivot = 0.0, -1
             for k, t in enumerate(order):
-                total += self.bound[t]
+                total += bound[t]
                 if total >= threshold - 1e-9:
                     pivot = k
                     break
@@ -107,10 +131,10 @@ class ItemIndex:
                 pivot += 1
             near, beyond = 0.0, end
             for t in order[:pivot + 1]:  # shallow: only block bounds are looked at
-                b = int(np.searchsorted(self.last[t], doc))
+                b = bisect_left(self.last[t], doc)
                 if b < len(self.last[t]):
                     near += self.block_max[t][b]
-                    beyond = min(beyond, int(self.last[t][b]) + 1)
+                    beyond = min(beyond, self.last[t][b] + 1)
             if near >= threshold - 1e-9:
                 if current[order[0]] == doc:
                     score = sum(float(self.impacts[t][at[t]]) for t in order[:pivot + 1])
@@ -125,8 +149,9 @@ class ItemIndex:
                 target = max(beyond, doc + 1)
             for t in order[:pivot + 1]:
                 if current[t] < target:
-                    move(t, target)
-                    current[t] = int(self.docs[t][at[t]]) if at[t] < len(self.docs[t]) else end
+                    its = self.lists[t]
+                    at[t] = bisect_left(its, target, at[t])
+                    current[t] = its[at[t]] if at[t] < len(its) else end
             order = [t for t in order if current[t] < end]
         return found
 
@@ -136,9 +161,29 @@ class Matcher:
         self.index = ItemIndex(items)
         self.threshold, self.shares, self.n = threshold, (question_share, answer_share), n
         self.size = 2 * self.index.longest
+        self.essential = self.index.essential(threshold)
         self.grams = [(grams(q, n), grams(a, n)) for q, a in self.index.texts]
         self.lengths = [(min(n, len(q)), min(n, len(a))) for q, a in self.index.texts]
 
+    def hopeful(self, known: np.ndarray, half: int) -> np.ndarray:
+        """Numbers of the passages that can give some item the threshold."""
+        first, items, shares = self.essential
+        at = np.flatnonzero(known >= 0)
+        words_, part = known[at].astype(np.int64), at // half
+        pairs = np.unique(part * len(self.index.words) + words_)
+        part, words_ = pairs // len(self.index.words), pairs % len(self.index.words)
+        n = first[words_ + 1] - first[words_]
+        posting = np.repeat(first[words_] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        part = np.repeat(part, n)
+        last = max(0, (len(known) - 1) // half - 1)  # a passage has two parts; a short text has one passage
+        passage = np.concatenate([np.minimum(part, last), np.clip(part - 1, 0, last)])
+        twice = np.concatenate([posting, posting])
+        same = passage[: len(part)] == passage[len(part):]  # not counted twice for one passage
+        keep = np.concatenate([np.ones(len(part), bool), ~same])
+        cell, inverse = np.unique(passage[keep] * len(self.index.ids) + items[twice[keep]], return_inverse=True)
+        reached = np.bincount(inverse, shares[twice[keep]], len(cell)) >= 1 - 1e-9
+        return np.unique(cell[reached] // len(self.index.ids))
+
     def document(self, text: str | None) -> list[tuple]:
         """Best verified passage of every item: (item, score, question, answer, first word)."""
         index = self.index
@@ -146,17 +191,12 @@ class Matcher:
             return []
         tokens = words(text)
         known = np.fromiter(map(index.words.get, tokens, repeat(-1)), np.int32, len(tokens))
-        bound = np.append(index.bound, 0.0)[known]
-        sums = np.concatenate([[0.0], np.cumsum(bound)])
-        starts = np.arange(0, max(1, len(tokens) - self.size // 2), self.size // 2)
-        ends = np.minimum(starts + self.size, len(tokens))
+        half = self.size // 2
         best: dict[int, tuple] = {}
-        for k in np.flatnonzero(sums[ends] - sums[starts] >= self.threshold - 1e-9):
-            a, b = int(starts[k]), int(ends[k])
+        for k in self.hopeful(known, half).tolist():
+            a, b = k * half, min((k + 2) * half, len(tokens))
             terms = np.unique(known[a:b])
             terms = terms[terms >= 0]
-            if index.bound[terms].sum() < self.threshold - 1e-9:
-                continue
             for d, score in index.search(terms.tolist(), self.threshold):
                 passage = tokens[a:b]
                 shares = []

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curvecal.llm import decontaminate, piece_bpe, secrets, url_reputation
+from curvecal.llm import decontaminate, hamming, language, piece_bpe, quality, secrets, url_reputation
 from curvecal.llm.common import table, text_or_empty
 from curvecal.session import ship_package
 
@@ -81,3 +81,25 @@ def op7(spark, folder):
     return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark")).select(
         "doc_id", "item_id", F.round("score", 6).alias("score"), F.round("question_overlap", 6).alias("question_overlap"),
         F.round("answer_overlap", 6).alias("answer_overlap"), "first_word")
+
+
+@query("op8_language_codes")
+def op8(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang", language.held_out(F.col("doc_id")).alias("held_out"))
+    codes = language.fit(docs.where(F.col("doc_id").isNotNull() & ~F.col("held_out")))
+    return language.predict(docs.select("doc_id", "text", "held_out"), codes).select(
+        "doc_id", "held_out", "lang_pred", F.round("score", 6).alias("score"), "ambiguous")
+
+
+@query("op9_hamming_topk")
+def op9(spark, folder):
+    rows = table(spark, folder, "embeddings").select(
+        F.col("vec_id").alias("id"), hamming.sign_code("embedding").alias("code"))
+    return hamming.top_k(rows, rows.where("id % 20 = 0"))
+
+
+@query("op10_quality_classifier")
+def op10(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return quality.classify(docs, quality.fit(docs)).select(
+        "doc_id", F.round("quality_score", 6).alias("quality_score"), "keep")
