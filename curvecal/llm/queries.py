@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curvecal.llm import decontaminate, hamming, language, piece_bpe, quality, secrets, url_reputation
+from curvecal.llm import decontaminate, hamming, html_diff, jaccard_join, language, piece_bpe, quality, secrets, url_reputation
 from curvecal.llm.common import table, text_or_empty
 from curvecal.session import ship_package
 
@@ -76,6 +76,18 @@ def op4(spark, folder):
         listed("spans").alias("spans"))
 
 
+@query("op5_jaccard_join")
+def op5(spark, folder):
+    found = jaccard_join.link_components(table(spark, folder, "documents"), n=4, num=85, den=100)
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+
+
+@query("op6_page_difference")
+def op6(spark, folder):
+    pages = table(spark, folder, "pages").select("page_id", "url", "html")
+    return html_diff.extract(pages).select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
+
+
 @query("op7_decontaminate")
 def op7(spark, folder):
     return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark")).select(
