@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curvecal.llm import decontaminate, hamming, html_diff, jaccard_join, language, piece_bpe, quality, secrets, url_reputation
+from curvecal.llm import decontaminate, hamming, html_diff, jaccard_join, language, piece_bpe, quality, secrets, suffix_dedup, url_reputation
 from curvecal.llm.common import table, text_or_empty
 from curvecal.session import ship_package
 
@@ -59,6 +59,14 @@ def op2(spark, folder):
         F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
+@query("op3_suffix_dedup")
+def op3(spark, folder):
+    return suffix_dedup.remove_repeats(table(spark, folder, "documents")).select(
+        F.col("id").alias("doc_id"), "n_bytes",
+        F.expr("CAST(aggregate(spans, 0L, (a, x) -> a + x.end - x.start) AS bigint)").alias("n_removed"),
+        F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op4_secret_scan")
 def op4(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
