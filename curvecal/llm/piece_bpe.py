@@ -17,16 +17,18 @@ repeated rows give repeated results and other columns pass through.
 """
 
 import re
+from array import array
 from itertools import chain
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6  # fixed values of the model format
-CACHE = 300_000
+CACHE = 150_000
 LONG = 48
 
 
@@ -49,9 +51,12 @@ class PieceModel:
             raise ValueError("a piece holds a space mark behind other characters")
         self.score = {p.piece: p.score for p in model.pieces if p.type == NORMAL}
         self.byte = {int(p.piece[3:5], 16): i for i, p in enumerate(model.pieces) if p.type == BYTE}
-        self.byte_of = {i: b for b, i in self.byte.items()}
+        self.high = {i: b for b, i in self.byte.items() if b > 127}  # need their neighbours to become text
         self.text = [{NORMAL: p.piece.replace(SPACE, " "), UNKNOWN: model.trainer_spec.unk_surface}.get(p.type, "")
                      for p in model.pieces]
+        for b in range(128):
+            self.text[self.byte[b]] = chr(b)
+        self.spaced = {i for p, i in self.id.items() if p[0] == SPACE}
         self.finder = ahocorasick.Automaton()
         for piece in self.id:
             self.finder.add_word(piece, piece)
@@ -169,12 +174,12 @@ class PieceModel:
 
     def decode(self, ids: list[int]) -> str:
         """Text of any ids; bytes that are no UTF-8 become one replacement mark each."""
-        if self.byte_of.keys().isdisjoint(ids):
+        if self.high.keys().isdisjoint(ids):
             out = "".join(map(self.text.__getitem__, ids))
         else:
             parts, raw = [], bytearray()
             for i in ids:
-                b = self.byte_of.get(i)
+                b = self.high.get(i)
                 if b is not None:
                     raw.append(b)
                     continue
@@ -186,15 +191,8 @@ class PieceModel:
                 parts.append(_utf8(bytes(raw)))
             out = "".join(parts)
         # the space put before every text goes again, also behind control ids, which have no text
-        first = next((i for i in ids if self.text[i] or i in self.byte_of), None)
-        return out[1:] if first is not None and first not in self.byte_of and out[:1] == " " and self.text[first][:1] == " " \
-            and self.text[first] in self.spaced else out
-
-    @property
-    def spaced(self):
-        if not hasattr(self, "_spaced"):
-            self._spaced = {p.replace(SPACE, " ") for p in self.id if p[0] == SPACE}
-        return self._spaced
+        first = next((i for i in ids if self.text[i] or i in self.high), None)
+        return out[1:] if first in self.spaced else out
 
 
 class Recent:
@@ -256,17 +254,11 @@ def encode(df: DataFrame, model: str, text: str = "text", out: str = "ids") -> D
     def run(batches):
         coder = load(model)
         for b in batches:
-            ids, offsets = [], [0]
-            flat = []
+            ids, offsets = array("i"), [0]
             for value in b.column(text):
-                row = coder.encode(value.as_py())
-                offsets.append(offsets[-1] + len(row))
-                ids += row
-                if len(ids) > 1_000_000:  # packed now and then: a list takes eight times the space
-                    flat.append(pa.array(ids, pa.int32()))
-                    ids = []
-            flat.append(pa.array(ids, pa.int32()))
-            values = pa.concat_arrays(flat)
+                ids.extend(coder.encode(value.as_py()))
+                offsets.append(len(ids))
+            values = pa.array(np.frombuffer(ids, np.int32))
             yield _with(b, out, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values))
 
     return df.mapInArrow(run, _extended(df, out, T.ArrayType(T.IntegerType())))
@@ -277,7 +269,12 @@ def decode(df: DataFrame, model: str, ids: str = "ids", out: str = "decoded") ->
     def run(batches):
         coder = load(model)
         for b in batches:
-            yield _with(b, out, pa.array([coder.decode(v.as_py() or []) for v in b.column(ids)], pa.string()))
+            column = b.column(ids)
+            size = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            flat = column.flatten().to_numpy(zero_copy_only=False)
+            end = size.cumsum()
+            texts = [coder.decode(flat[e - n:e].tolist()) for e, n in zip(end.tolist(), size.tolist())]
+            yield _with(b, out, pa.array(texts, pa.string()))
 
     return df.mapInArrow(run, _extended(df, out, T.StringType()))
 
