@@ -13,7 +13,7 @@ and the essential ones are added up for all passages of a document at once.
 
 Passages are windows of twice the longest item's words with half a window's step, so any
 copy of an item lies whole in one of them. The index is broadcast and holds only the test
-items; a limit on its words is checked. Documents are never shuffled.
+items; a limit on their size is checked. Documents are never shuffled.
 
 Null and empty texts and items have no words and match nothing. Items without words are
 left out. Repeated documents give repeated rows; repeated items are separate items.
@@ -26,21 +26,17 @@ from collections import Counter
 from itertools import repeat
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 K1, B = 1.2, 0.75
 BLOCK = 32
-MOST_WORDS = 20_000_000
+MOST_CHARS = 50_000_000
 WORD = re.compile(r"\w+")
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 
-SCHEMA = T.StructType([
-    T.StructField("doc_id", T.LongType()), T.StructField("item_id", T.LongType()), T.StructField("score", T.DoubleType()),
-    T.StructField("question_overlap", T.DoubleType()), T.StructField("answer_overlap", T.DoubleType()),
-    T.StructField("first_word", T.IntegerType())])
-
 
 def words(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
@@ -210,26 +206,39 @@ class Matcher:
         return [(index.ids[d], *row) for d, row in sorted(best.items())]
 
 
-def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
-                 item_text: str = "text", threshold: float = 0.5, question_share: float = 0.7, answer_share: float = 0.5,
-                 n: int = 4) -> DataFrame:
-    """One row for each document and item that it contains, with its best passage.
+HIT = T.ArrayType(T.StructType([
+    T.StructField("item_id", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("question_overlap", T.DoubleType()),
+    T.StructField("answer_overlap", T.DoubleType()), T.StructField("first_word", T.IntegerType())]))
+
+
+def with_hits(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
+              threshold: float = 0.5, question_share: float = 0.7, answer_share: float = 0.5, n: int = 4,
+              out: str = "hits") -> DataFrame:
+    """Add to every row the items it contains, each with its best passage; ``out`` is replaced.
 
-    Raises if the items have more words than ``MOST_WORDS`` (the index would not fit a worker).
+    Raises if the items have more than ``MOST_CHARS`` characters (the index would not fit a worker).
     """
-    rows = [(r[0], r[1]) for r in items.select(item_id, item_text).toLocalIterator() if r[1]]
-    if sum(len(t) for _, t in rows) > 8 * MOST_WORDS:
+    chars = items.agg(F.sum(F.char_length(item_text))).first()[0] or 0
+    if chars > MOST_CHARS:
         raise ValueError("too many test items for one index; give them in parts")
+    rows = [(r[0], r[1]) for r in items.select(F.col(item_id).cast("bigint"), item_text).where(F.col(item_text).isNotNull()).collect()]
     rows.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1]))
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((rows, threshold, question_share, answer_share, n))
+    docs = docs.drop(out)
+    shared = docs.sparkSession.sparkContext.broadcast((rows, threshold, question_share, answer_share, n))
+    names = [f.name for f in HIT.elementType]
 
-    def run(frames):
+    def run(batches):
         matcher = Matcher(*shared.value)
-        for frame in frames:
-            out = [(doc, *hit) for doc, value in zip(frame[doc_id], frame[text]) for hit in matcher.document(value)]
-            yield pd.DataFrame(out, columns=SCHEMA.fieldNames()).astype(
-                {"doc_id": "Int64", "item_id": "Int64", "score": float, "question_overlap": float, "answer_overlap": float,
-                 "first_word": "int32"})
+        for b in batches:
+            hits = [[dict(zip(names, hit)) for hit in matcher.document(t)] for t in b.column(text).to_pylist()]
+            kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()),
+                                       ("answer_overlap", pa.float64()), ("first_word", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(hits, kind)], names=[*b.schema.names, out])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField(out, HIT)]))
+
 
-    return docs.select(doc_id, text).mapInPandas(run, SCHEMA)
+def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """One row for each document and item that it contains."""
+    hits = with_hits(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), items, **options)
+    return hits.select("doc_id", F.explode("hits").alias("h")).select("doc_id", "h.*")

@@ -122,3 +122,17 @@ def find_secrets(df: DataFrame, text: str = "text", width: int = WINDOW, out: st
     ordered = F.expr(f"""transform(
         array_sort(transform(_all, x -> named_struct('start', x.start, 'rank', {rank}, 'end', x.end, 'x', x))), y -> y.x)""")
     return rows.select(*kept, F.when(F.size("_all") > 0, ordered).otherwise(F.expr(f"CAST(array() AS array<{SPAN}>)")).alias(out))
+
+
+def redact(df: DataFrame, text: str = "text", spans: str = "spans", mark: str = "[secret]") -> DataFrame:
+    """Replace every span, or union of spans that overlap, by a mark."""
+    t = f"coalesce(CAST(`{text}` AS string), '')"
+    cut = F.expr(f"""
+        aggregate(`{spans}`, named_struct('at', 0, 'out', ''),
+            (a, x) -> CASE
+                WHEN x.end <= a.at THEN a
+                WHEN x.start < a.at THEN named_struct('at', x.end, 'out', a.out)
+                ELSE named_struct('at', x.end,
+                    'out', concat(a.out, substring({t}, a.at + 1, x.start - a.at), {_quoted(mark)})) END,
+            a -> concat(a.out, substring({t}, a.at + 1)))""")
+    return df.withColumn(text, F.when(F.size(spans) > 0, cut).otherwise(F.col(f"`{text}`")))
