@@ -1,24 +1,26 @@
 """Near-duplicate documents by an exact Jaccard join on word shingles.
 
 Documents link if intersection / union of their shingle sets reaches num / den. Sets are
-ordered by shingle hash. Two similar sets share at least one signature of a long enough
-prefix of this order:
-
-- a shingle that few prefixes hold is a signature by itself;
-- frequent shingles are split into classes by how many prefixes hold them (over T, over T^2),
-  and each class into parts; in a part of class k only combinations of k shingles are
-  signatures. The prefix is extended by the up to k - 1 common shingles that may stay
-  without a combination in each part, so nothing is lost;
-- sets too short for such an extension are ordered by frequency and indexed by single
-  shingles.
-
-Counts cover the prefixes of all documents. Equal sets are one representative throughout.
-Each document is first verified against the smallest document of its buckets; buckets whose
-members are then connected are done, and only pairs of different components are verified
-further. Verification intersects whole sets of 64-bit shingle hashes.
+ordered from rare to frequent shingles (ties by hash), with frequencies counted over all
+distinct sets. Two similar sets share at least one signature of a long enough prefix:
+
+- a rare shingle is a signature by itself;
+- frequent shingles are split into classes (in over FEW sets, over FEW^2), and each class
+  into parts; in a part of class k only combinations of k shingles are signatures. The
+  prefix is extended by the up to k - 1 common shingles that may stay without a combination
+  in each part, so nothing is lost;
+- sets too short for such an extension are indexed by single shingles.
+
+Equal sets are one representative throughout. Frequencies travel as one byte a shingle on a
+rising scale, packed by hash range, so that hot shingles are counted inside a task and no
+row is made per shingle. Each document is first verified against the smallest document of
+its buckets; buckets whose members are then connected are done, and only pairs of different
+components are verified further. Pairs whose parity bitmaps differ in more bits than the
+sets may differ in shingles are out; the others' whole sets of 64-bit hashes are intersected.
 
 Empty and null texts have no set and link with nothing. Rows whose id is null link with
-nothing and get no component. Repeated rows are copies. Extra columns are not read.
+nothing and get no component. Repeated rows are copies; an id that repeats must repeat its
+text. Extra columns are not read.
 """
 
 import hashlib
@@ -26,19 +28,24 @@ from collections import defaultdict
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curvecal.llm.common import shuffle_files_freed
+from curvecal.llm.common import shuffle_files_freed, total_bytes
 from curvecal.llm.components import components
 from curvecal.llm.rolling import shingles
 from curvecal.session import materialize
 
-#: Prefixes that may hold a shingle of the first class; parts of the classes of pairs and triples.
+#: Sets that may hold a shingle of the first class; parts of the classes of pairs and triples.
 FEW = 256
+#: Bits of the parity bitmap; text bytes a task works on at once.
+BITS = 1024
+PART_BYTES = 12 << 20
+FLUSH = 1_000_000
 PARTS = {2: 12, 3: 10}
-#: Sets below this size cannot always spare the extension (32 shingles).
+#: Sets below this size cannot always spare the extension (at most 12 * 1 + 10 * 2 shingles).
 SHORT = 40
 
 
@@ -47,66 +54,63 @@ def least_overlap(size: int, num: int, den: int) -> int:
     return -(-num * size // den)
 
 
-def extension() -> int:
-    return sum((k - 1) * parts for k, parts in PARTS.items())
-
-
 def both_ways(num: int, den: int) -> int:
     """Largest set that can link with a short one."""
     return SHORT * den // num
 
 
-def shingle_class(count: int) -> int:
-    return 1 if count <= FEW else 2 if count <= FEW * FEW else 3
+def code(count: np.ndarray) -> np.ndarray:
+    """One byte that rises with the count: exact to 100, then 16 steps a doubling."""
+    c = np.maximum(count, 1)
+    return np.where(c <= 100, c, np.minimum(255, 100 + np.floor(16 * np.log2(np.maximum(c, 100) / 100)))).astype(np.uint8)
+
 
+def limits() -> tuple[int, int]:
+    """Largest codes of the first and second class."""
+    return int(code(np.array([FEW]))[0]), int(code(np.array([FEW * FEW]))[0])
 
-def document_sets(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """id, size, key of the whole set, prefix in hash order."""
-    widest = both_ways(num, den)
 
+def document_sets(docs: DataFrame, n: int) -> DataFrame:
+    """id, size, key of the whole set, parity bitmap."""
     def run(batches):
         for b in batches:
-            size, key, prefix = [], [], []
+            size, key, bits = [], [], []
             for text in b.column("text").to_pylist():
                 s = shingles(text, n)
-                m = len(s)
-                size.append(m)
+                size.append(len(s))
                 key.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                wanted = m if m <= widest else min(m, m - least_overlap(m, num, den) + 1 + extension())
-                prefix.append(s[:wanted].view(np.int64))
-            offsets = np.cumsum([0, *map(len, prefix)]).astype(np.int32)
+                parity = np.bincount((s & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+                bits.append(np.packbits(parity.astype(bool)).view(np.int64))
             yield pa.RecordBatch.from_pydict({
                 "id": b.column("id"), "size": pa.array(size, pa.int32()), "key": pa.array(key, pa.binary()),
-                "prefix": pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(prefix or [np.zeros(0, np.int64)])))})
+                "bits": pa.array(bits, pa.list_(pa.int64()))})
 
-    return docs.mapInArrow(run, "id bigint, size int, key binary, prefix array<bigint>")
+    return docs.mapInArrow(run, "id bigint, size int, key binary, bits array<bigint>")
 
 
-def signatures(size: int, known: list[tuple[int, int, int, int]], num: int, den: int) -> set[int]:
-    """Signatures of a set from the shingles of its prefix that other prefixes hold too.
-
-    ``known``: (place in hash order, shingle, prefixes with it, short sets' prefixes with it).
-    """
-    out = set()
+def signatures(s: np.ndarray, codes: np.ndarray, num: int, den: int) -> set[int]:
+    """Signatures of a set of hashes with their frequency codes."""
+    size = len(s)
+    order = np.lexsort((s, codes))
     need = size - least_overlap(size, num, den) + 1
+    first = int(np.searchsorted(codes[order], 2))  # shingles of this set alone come before and meet nobody
+    out = set()
     if size <= both_ways(num, den):
-        shared = sorted((short, place, h) for place, h, _, short in known if short > 1)
-        for _, _, h in shared[: max(0, need - (size - len(shared)))]:
-            out.add(_signed(1, h))
+        out.update(_signed(1, int(h)) for h in s[order[first:need]].tolist())
     if size >= SHORT:
+        one, two = limits()
         parts: dict[tuple[int, int], list[int]] = defaultdict(list)
-        spare = 0
-        for place, h, count, _ in sorted(known):
-            if place - spare >= need:  # the shingles before this place suffice
-                break
-            k = shingle_class(count)
+        at, spare = first, 0
+        while at < size and at - spare < need:  # the shingles before ``at`` do not suffice yet
+            h, c = int(s[order[at]]), codes[order[at]]
+            at += 1
+            k = 1 if c <= one else 2 if c <= two else 3
             if k == 1:
                 out.add(_signed(2, h))
                 continue
             members = parts[k, h % PARTS[k]]
             members.append(h)
-            if len(members) < k:
-                spare += 1
+            spare += len(members) < k
         for (k, _), members in parts.items():
             out.update(_signed(k + 1, *c) for c in combinations(members, k))
     return out
@@ -122,26 +126,88 @@ def _signed(tag: int, *hashes: int) -> int:
     return v - (1 << 64) if v >> 63 else v
 
 
-def _signature_rows(representatives: DataFrame, num: int, den: int) -> DataFrame:
-    """(signature, id, size) of all representatives that share a shingle of the prefix."""
-    short = (F.col("size") <= both_ways(num, den)).cast("int")
-    entries = representatives.select("id", "size", F.posexplode("prefix").alias("place", "shingle"))
-    counts = entries.groupBy("shingle").agg(F.count("*").alias("n"), F.sum(short).alias("short")).where("n > 1")
-    known = (entries.join(counts, "shingle")
-             .groupBy("id", "size").agg(F.collect_list(F.struct("place", "shingle", "n", "short")).alias("known")))
-
-    def run(batches):
+def _signature_rows(representatives: DataFrame, n: int, num: int, den: int, parts: int) -> DataFrame:
+    """(signature, id, size) of all sets. representatives: id, text, part."""
+    shift = np.uint64(64 - max(3, (parts - 1).bit_length()))
+    packed = "place bigint, bucket bigint, data binary"
+
+    def deal(batches):
+        def flush():
+            tokens = np.concatenate([s for _, s in waiting])
+            owner = np.repeat(np.arange(len(waiting)), [len(s) for _, s in waiting])
+            ids = np.array([i for i, _ in waiting], np.int64)
+            bucket = (tokens >> shift).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")  # inside a bucket: by document, then by hash
+            cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+            rows = [(int(bucket[order[a]]), _pack(ids, owner[order[a:b]], tokens[order[a:b]]))
+                    for a, b in zip(cuts, [*cuts[1:], len(order)])]
+            waiting.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([0] * len(rows), pa.int64()),
+                                               pa.array([r[1] for r in rows], pa.binary())], names=["place", "bucket", "data"])
+
+        waiting, size = [], 0
         for b in batches:
-            out = {"signature": [], "id": [], "size": []}
-            for i, size, rows in zip(b.column("id").to_pylist(), b.column("size").to_pylist(), b.column("known").to_pylist()):
-                s = signatures(size, [(r["place"], r["shingle"], r["n"], r["short"]) for r in rows], num, den)
-                out["signature"] += s
-                out["id"] += [i] * len(s)
-                out["size"] += [size] * len(s)
-            yield pa.RecordBatch.from_arrays([pa.array(out["signature"], pa.int64()), pa.array(out["id"], pa.int64()),
-                                              pa.array(out["size"], pa.int32())], names=list(out))
-
-    return known.mapInArrow(run, "signature bigint, id bigint, size int")
+            for i, t in zip(b.column("id").to_pylist(), b.column("text").to_pylist()):
+                waiting.append((i, shingles(t, n)))
+                size += len(waiting[-1][1])
+                if size >= FLUSH:
+                    yield flush()
+                    size = 0
+        if waiting:
+            yield flush()
+
+    def count(frame: pd.DataFrame) -> pd.DataFrame:
+        rows = [_unpack(d, np.uint64) for d in frame["data"]]
+        tokens = np.concatenate([r[2] for r in rows])
+        _, where, counts = np.unique(tokens, return_inverse=True, return_counts=True)
+        codes, at, out = code(counts)[where], 0, []
+        ids = np.concatenate([r[0] for r in rows])
+        sizes = np.concatenate([r[1] for r in rows])
+        owner = np.repeat(np.arange(len(ids)), sizes)
+        part = (ids % parts)[owner]
+        order = np.argsort(part, kind="stable")
+        cuts = np.flatnonzero(np.diff(part[order], prepend=-1))
+        for a, b in zip(cuts, [*cuts[1:], len(order)]):
+            out.append((int(part[order[a]]), int(frame["place"].iloc[0]), _pack(ids, owner[order[a:b]], codes[order[a:b]])))
+        return pd.DataFrame(out, columns=["place", "bucket", "data"])
+
+    def sign(_, texts: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
+        pieces: dict[int, list[np.ndarray]] = defaultdict(list)
+        for d in marks.sort_values("bucket")["data"]:  # buckets are hash ranges, so pieces follow the set's order
+            ids, sizes, codes = _unpack(d, np.uint8)
+            for i, piece in zip(ids.tolist(), np.split(codes, np.cumsum(sizes)[:-1])):
+                pieces[i].append(piece)
+        out = []
+        for i, t in zip(texts["id"], texts["text"]):
+            s = shingles(t, n)
+            if len(s):
+                out.append(pd.DataFrame({"signature": list(signatures(s, np.concatenate(pieces[i]), num, den)), "id": i, "size": len(s)}))
+        frame = pd.concat(out) if out else pd.DataFrame({"signature": [], "id": [], "size": []})
+        return frame.astype({"signature": "int64", "id": "int64", "size": "int32"})
+
+    counted = (representatives.select("id", "text").mapInArrow(deal, packed).groupBy("place").applyInPandas(count, packed))
+    return (representatives.groupBy("part").cogroup(counted.groupBy("place"))
+            .applyInPandas(sign, "signature bigint, id bigint, size int"))
+
+
+def _pack(ids: np.ndarray, owner: np.ndarray, values: np.ndarray) -> bytes:
+    """Documents, number of values of each, values; owner is sorted."""
+    own, n = np.unique(owner, return_counts=True)
+    return len(own).to_bytes(8, "little") + ids[own].tobytes() + n.astype(np.int32).tobytes() + values.tobytes()
+
+
+def _unpack(raw: bytes, kind) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = int.from_bytes(raw[:8], "little")
+    return (np.frombuffer(raw, np.int64, n, 8), np.frombuffer(raw, np.int32, n, 8 + 8 * n), np.frombuffer(raw, kind, -1, 8 + 12 * n))
+
+
+def _may_link(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) whose bitmaps do not rule a link out: equal parity of a bit hides differences, never adds one."""
+    own = sets.select("id", "size", "bits")
+    both = (pairs.join(own.select(F.col("id").alias("a"), F.col("size").alias("n"), F.col("bits").alias("x")), "a")
+            .join(own.select(F.col("id").alias("b"), F.col("size").alias("m"), F.col("bits").alias("y")), "b"))
+    differ = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda p, q: p + q)
+    return both.where(differ * (den + num) <= (F.col("n") + F.col("m")) * (den - num)).select("a", "b")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -171,18 +237,21 @@ def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """(id, n_shingles, component) of every row; component is the smallest id it is linked with."""
     spark = docs.sparkSession
     source = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
+    parts = max(8, total_bytes(source) // PART_BYTES) | 1
     with shuffle_files_freed(spark):
-        sets = materialize(document_sets(source, n, num, den), "jaccard-prefixes")
+        sets = materialize(document_sets(source, n), "jaccard-sets")
         alive = sets.where("size > 0 AND id IS NOT NULL")
         keys = materialize(alive.groupBy("key").agg(F.min("id").alias("representative")), "jaccard-keys")
-        representatives = (alive.join(keys.select(F.col("representative").alias("id"), "key"), ["id", "key"], "left_semi")
-                           .dropDuplicates(["id", "key"]))
-        rows = materialize(_signature_rows(representatives, num, den), "jaccard-signatures")
+        chosen = keys.select(F.col("representative").alias("id"))
+        representatives = (source.join(chosen, "id", "left_semi").dropDuplicates(["id"])
+                           .withColumn("part", F.pmod("id", F.lit(parts)).cast("bigint")))
+        rows = materialize(_signature_rows(representatives, n, num, den, parts), "jaccard-signatures")
+        own = materialize(alive.join(chosen, "id", "left_semi").dropDuplicates(["id"]).select("id", "size", "bits"), "jaccard-bits")
         centre = rows.groupBy("signature").agg(F.min(F.struct("id", "size")).alias("c"), F.count("*").alias("n")).where("n > 1")
         nearest = (rows.join(centre, "signature").where((F.col("id") > F.col("c.id")) & _fits("size", "c.size", num, den))
                    .groupBy("id").agg(F.min("c.id").alias("b")))
         first = materialize(nearest.select(F.col("id").alias("a"), "b"), "jaccard-pairs")
-        links = materialize(_verified(first, source, n, num, den), "jaccard-links")
+        links = materialize(_verified(_may_link(first, own, num, den), source, n, num, den), "jaccard-links")
         label = materialize(components(links), "jaccard-labels")
         labelled = rows.join(label, "id", "left").select("signature", "id", "size", F.coalesce("component", "id").alias("label"))
         mixed = (labelled.groupBy("signature").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
@@ -195,7 +264,7 @@ def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                  .join(open_rows.select("signature", F.col("label").alias("lb"), F.col("id").alias("b"), F.col("size").alias("sb")),
                        ["signature", "lb"])
                  .where(_fits("sa", "sb", num, den)).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-        second = materialize(pairs.join(first, ["a", "b"], "left_anti"), "jaccard-pairs")
+        second = materialize(_may_link(pairs.join(first, ["a", "b"], "left_anti"), own, num, den), "jaccard-pairs")
         more = materialize(_verified(second, source, n, num, den), "jaccard-links")
         label = materialize(components(links.union(more)), "jaccard-labels")
     final = keys.join(label, keys.representative == label.id, "left").select(
