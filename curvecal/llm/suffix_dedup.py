@@ -248,7 +248,9 @@ def hot_anchors(docs: DataFrame, length: int, gram: int) -> np.ndarray:
                 pairs = np.unique(np.stack([who.astype(np.uint64), anchor]), axis=1)
                 yield pa.RecordBatch.from_pydict({"anchor": pa.array(pairs[1].view(np.int64))})
 
-    sample = docs.limit(HOT_SAMPLE)
+    cells = 1 << 20
+    share = int(cells * HOT_SAMPLE / max(1, docs.count())) + 1
+    sample = docs.where(F.pmod(F.xxhash64("id"), F.lit(cells)) < share)
     n = sample.count()
     found = (sample.mapInArrow(run, "anchor bigint").groupBy("anchor").count()
              .where(F.col("count") > max(20, HOT_SHARE * n)).select("anchor").collect())
@@ -290,8 +292,11 @@ def repeated_windows(docs: DataFrame, parts: int, length: int = LENGTH, gram: in
             yield from flush()
 
     def gather(frame: pd.DataFrame) -> pd.DataFrame:
-        copies, rest = split_copies(Records.join([Records.unpack(x) for x in frame["data"]]))
-        out = [("repeat", k, d) for k, d in _dealt(copies, copies.doc % parts, False)]
+        # what tasks have settled passes through, so that their output is dealt out once and not stored before
+        known = frame["kind"] == "repeat"
+        out = list(frame[known].itertuples(index=False, name=None))
+        copies, rest = split_copies(Records.join([Records.unpack(x) for x in frame["data"][~known]]))
+        out += [("repeat", k, d) for k, d in _dealt(copies, copies.doc % parts, False)]
         if len(rest.doc):  # anchors with several contexts of several documents stay open
             new = np.ones(len(rest.doc), bool)
             new[1:] = rest.anchor[1:] != rest.anchor[:-1]
@@ -304,8 +309,7 @@ def repeated_windows(docs: DataFrame, parts: int, length: int = LENGTH, gram: in
             out += [("text", k, d) for k, d in _dealt(still, still.doc % parts, True)]
         return pd.DataFrame(out, columns=["kind", "place", "data"])
 
-    dealt = materialize(docs.mapInArrow(first, PACKED), "suffix-records")
-    gathered = materialize(dealt.where("kind = 'open'").groupBy("place").applyInPandas(gather, PACKED), "suffix-open")
+    gathered = materialize(docs.mapInArrow(first, PACKED).groupBy("place").applyInPandas(gather, PACKED), "suffix-open")
 
     def with_text(_, texts: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -341,7 +345,7 @@ def repeated_windows(docs: DataFrame, parts: int, length: int = LENGTH, gram: in
     sorted_ = materialize(
         docs.groupBy("part").cogroup(wanted.groupBy("place")).applyInPandas(with_text, PACKED)
         .groupBy("place").applyInPandas(sort, PACKED), "suffix-sorted")
-    return dealt.where("kind = 'repeat'").union(gathered.where("kind = 'repeat'")).union(sorted_)
+    return gathered.where("kind = 'repeat'").union(sorted_)
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
