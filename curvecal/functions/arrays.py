@@ -168,7 +168,7 @@ def symmetry(rise: Column, fall: Column) -> Column:
 
 
 def gradient(pot: Column, cur: Column) -> Column:
-    """Second-order differences on an uneven grid, one-sided at both ends."""
+    """Second-order differences on an uneven grid, one-sided at both ends; null beside a repeated potential."""
     def slopes(es, ys):
         last = F.size(ys) - 1
 
@@ -177,15 +177,15 @@ def gradient(pot: Column, cur: Column) -> Column:
             right = F.get(ys, i + 1) - v
 
             def blend(hl, hr):
-                inner = (left * hr / hl + right * hl / hr) / (hl + hr)
-                return F.when(i == 0, right / hr).when(i == last, left / hl).otherwise(inner)
+                inner = F.try_divide(F.try_divide(left * hr, hl) + F.try_divide(right * hl, hr), hl + hr)
+                return F.when(i == 0, F.try_divide(right, hr)).when(i == last, F.try_divide(left, hl)).otherwise(inner)
             return let_many([F.get(es, i) - F.get(es, i - 1), F.get(es, i + 1) - F.get(es, i)], blend)
         return F.transform(ys, at)
     return let_many([pot, cur], slopes)
 
 
 def finite_max(values: Column) -> Column:
-    """Largest value that is not NaN; NaN when there is none."""
+    """Largest value that is neither null nor NaN; NaN when there is none."""
     return F.coalesce(F.array_max(F.filter(values, lambda v: ~F.isnan(v))), nan())
 
 

@@ -145,7 +145,11 @@ def extract_windows(df: DataFrame, meta: list[str], grid: list[float],
 
 
 def list_matrix(column, width: int) -> np.ndarray:
-    """Arrow list column of fixed length as a matrix; missing values become NaN."""
+    """Arrow list column of fixed length as a matrix; missing values become NaN. Other lengths raise."""
+    lengths = column.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+    if (lengths != width).any():
+        wrong = int(lengths[lengths != width][0])
+        raise ValueError(f"a curve has {'no values' if wrong < 0 else f'{wrong} points'}; {width} are needed")
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False)
     return flat.reshape(len(column), width)
 

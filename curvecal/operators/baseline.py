@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from curvecal.constants import BASELINE_V
 from curvecal.operators.ranking import exact_quantiles
+from curvecal.session import join_groups
 
 
 def baseline_index(grid: list[float], at: float = BASELINE_V) -> int:
@@ -34,5 +35,5 @@ def describe(df: DataFrame, value: str, by: list[str]) -> DataFrame:
         F.count(value).alias("count"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"),
         F.min(value).alias("min"), F.max(value).alias("max"))
     quart = exact_quantiles(df, value, [0.25, 0.5, 0.75], by)
-    return basic.join(quart.select(
+    return join_groups(basic, quart.select(
         *by, F.col("q0").alias("q25"), F.col("q1").alias("q50"), F.col("q2").alias("q75")), by, "left")

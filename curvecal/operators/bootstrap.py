@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 
 from curvecal.functions import solvers as S
 from curvecal.functions.features import list_matrix
-from curvecal.operators.gram import matrix_schema, merge_moments, pack_moments
+from curvecal.operators.gram import matrix_schema, merge_moments, pack_moments, targets
 
 REPLICATES = 100
 LEVEL = 0.95
-CHUNK = 512
+CHUNK = 4096
 CUMULATIVE = np.cumsum([math.exp(-1.0) / math.factorial(k) for k in range(18)])
 
 
@@ -34,19 +34,39 @@ def poisson_weights(keys: np.ndarray, replicates: int, seed: int) -> np.ndarray:
     return np.searchsorted(CUMULATIVE, unit, side="right").astype(float)
 
 
+class Stack:
+    """Weighted sums of all replicates about one fixed origin: whole blocks are added."""
+
+    def __init__(self, origin: np.ndarray, replicates: int):
+        size = len(origin)
+        self.origin, self.upper = origin, np.triu_indices(size)
+        self.n = np.zeros(replicates)
+        self.first = np.zeros((replicates, size))
+        self.second = np.zeros((replicates, len(self.upper[0])))
+
+    def add(self, block: np.ndarray, weights: np.ndarray) -> None:
+        dev = block - self.origin
+        self.n += weights.sum(axis=0)
+        self.first += weights.T @ dev
+        self.second += weights.T @ (dev[:, self.upper[0]] * dev[:, self.upper[1]])
+
+    def moments(self) -> list[S.Moments]:
+        size = len(self.origin)
+        out = []
+        for count, lean, flat in zip(self.n, self.first, self.second):
+            raw = np.zeros((size, size))
+            raw[self.upper] = flat
+            raw = raw + raw.T - np.diag(raw.diagonal())
+            shift = lean / count if count else lean
+            out.append(S.Moments(float(count), self.origin + shift, raw - np.outer(lean, shift)))
+        return out
+
+
 def weighted_moments(block: np.ndarray, weights: np.ndarray) -> list[S.Moments]:
     """Moments of one block of rows under each column of ``weights``."""
-    origin = block.mean(axis=0)
-    dev = block - origin
-    size = block.shape[1]
-    n, first = weights.sum(axis=0), weights.T @ dev
-    second = weights.T @ (dev[:, :, None] * dev[:, None, :]).reshape(len(dev), size * size)
-    out = []
-    for count, lean, raw in zip(n, first, second):
-        shift = lean / count if count else lean
-        out.append(S.Moments(float(count), origin + shift,
-                             raw.reshape(size, size) - np.outer(lean, shift)))
-    return out
+    stack = Stack(block.mean(axis=0), weights.shape[1])
+    stack.add(block, weights)
+    return stack.moments()
 
 
 def bootstrap_moments(rows: DataFrame, key: str, width: int, replicates: int = REPLICATES,
@@ -57,14 +77,14 @@ def bootstrap_moments(rows: DataFrame, key: str, width: int, replicates: int = R
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            z = np.column_stack([list_matrix(batch.column(2), width),
-                                 batch.column(1).to_numpy(zero_copy_only=False)])
+            z = np.column_stack([list_matrix(batch.column(2), width), targets(batch.column(1))])
+            if total is None:
+                total = Stack(z.mean(axis=0), replicates)
             keys = batch.column(0).to_numpy(zero_copy_only=False)
             for at in range(0, len(z), CHUNK):
-                part = weighted_moments(z[at:at + CHUNK], poisson_weights(keys[at:at + CHUNK], replicates, seed))
-                total = part if total is None else [a + b for a, b in zip(total, part)]
+                total.add(z[at:at + CHUNK], poisson_weights(keys[at:at + CHUNK], replicates, seed))
         if total is not None:
-            yield pack_moments({str(b): m for b, m in enumerate(total)}, "g")
+            yield pack_moments({str(b): m for b, m in enumerate(total.moments())}, "g")
 
     hashed = rows.select(F.xxhash64(F.col(key)).alias("k"), "y", "x")
     merged = merge_moments(hashed.mapInArrow(accumulate, matrix_schema("g")), width + 1, "g")

@@ -4,16 +4,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curvecal.constants import HIST_BINS, INTERVAL_SPREAD, INTERVAL_Z, THRESHOLD_PPB
-from curvecal.operators.metrics import mae, r2, rmse, y_pred, y_true
+from curvecal.operators.metrics import complete, mae, r2, rmse, y_pred, y_true
 from curvecal.operators.ranking import exact_quantiles, running_counts
-from curvecal.session import attach
+from curvecal.session import attach, join_groups
 
 
 def cells(threshold: float = THRESHOLD_PPB) -> dict[str, Column]:
+    """Four cells of the complete pairs, and the rows that lack a target or a prediction."""
+    known = complete()
     true_high, pred_high = y_true() > threshold, y_pred() > threshold
     return {
-        "tp": F.count_if(true_high & pred_high), "tn": F.count_if(~true_high & ~pred_high),
-        "fp": F.count_if(~true_high & pred_high), "fn": F.count_if(true_high & ~pred_high),
+        "tp": F.count_if(known & true_high & pred_high), "tn": F.count_if(known & ~true_high & ~pred_high),
+        "fp": F.count_if(known & ~true_high & pred_high), "fn": F.count_if(known & true_high & ~pred_high),
+        "undefined": F.count_if(~known),
     }
 
 
@@ -108,7 +111,7 @@ def error_centre(df: DataFrame, by: list[str]) -> DataFrame:
     err = df.select(*by, F.abs(y_pred() - y_true()).alias("err"))
     means = err.groupBy(*by).agg(F.avg("err").alias("mean"))
     median = exact_quantiles(err, "err", [0.5], by).select(*by, F.col("q0").alias("median"))
-    return median.join(means, by)
+    return join_groups(means, median, by, "left").select(*by, "median", "mean")
 
 
 def pred_obs_limits(df: DataFrame, by: list[str] = ()) -> DataFrame:
@@ -121,6 +124,6 @@ def model_summary(df: DataFrame, by: list[str] = ("model",), threshold: float =
     """One row per model: errors, decision ratios and AUC."""
     by = list(by)
     base = ratios(df.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), rmse().alias("rmse"), mae().alias("mae"), r2().alias("r2"),
+        F.count_if(complete()).alias("n"), rmse().alias("rmse"), mae().alias("mae"), r2().alias("r2"),
         *[c.alias(n) for n, c in cells(threshold).items()]))
-    return base.join(roc_auc(df, by, threshold), by, "left")
+    return join_groups(base, roc_auc(df, by, threshold), by, "left")

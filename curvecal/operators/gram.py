@@ -43,6 +43,14 @@ def pack_moments(parts: dict[str, Moments], group: str) -> pa.RecordBatch:
         names=[group, "slot", "m"])
 
 
+def targets(column) -> np.ndarray:
+    """Arrow column of targets; a missing one would spoil every fit, so it raises."""
+    y = column.to_numpy(zero_copy_only=False).astype(float, copy=False)
+    if np.isnan(y).any():
+        raise ValueError(f"{int(np.isnan(y).sum())} rows of a batch have no target; leave them out before fitting")
+    return y
+
+
 def gram_partials(rows: DataFrame, width: int, group: str = "g") -> DataFrame:
     """One row per group: (group, slot, packed moments of x and y).
 
@@ -53,8 +61,7 @@ def gram_partials(rows: DataFrame, width: int, group: str = "g") -> DataFrame:
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            z = np.column_stack([list_matrix(batch.column(2), width),
-                                 batch.column(1).to_numpy(zero_copy_only=False)])
+            z = np.column_stack([list_matrix(batch.column(2), width), targets(batch.column(1))])
             for key, index in groups_of(batch.column(0)):
                 own = Moments.of(z[index])
                 parts[key] = parts[key] + own if key in parts else own
@@ -80,7 +87,7 @@ def merge_moments(parts: DataFrame, size: int, group: str) -> DataFrame:
         if parts:
             yield pack_moments(parts, group)
     schema = matrix_schema(group)
-    return parts.repartition("slot").mapInArrow(merge, schema).repartition(group).mapInArrow(merge, schema)
+    return parts.repartition("slot", group).mapInArrow(merge, schema).repartition(group).mapInArrow(merge, schema)
 
 
 def groups_of(column):

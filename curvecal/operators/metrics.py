@@ -14,21 +14,32 @@ def y_pred() -> Column:
     return F.col("y_pred")
 
 
+def complete() -> Column:
+    """Rows with a target and a prediction, neither null nor NaN."""
+    return F.coalesce(~F.isnan(y_true()) & ~F.isnan(y_pred()) & y_true().isNotNull() & y_pred().isNotNull(), F.lit(False))
+
+
+def error() -> Column:
+    """Prediction minus target of a complete pair, else null."""
+    return F.when(complete(), y_pred() - y_true())
+
+
 def rmse() -> Column:
-    return F.sqrt(F.avg((y_pred() - y_true()) * (y_pred() - y_true())))
+    return F.sqrt(F.avg(error() * error()))
 
 
 def mae() -> Column:
-    return F.avg(F.abs(y_pred() - y_true()))
+    return F.avg(F.abs(error()))
 
 
 def r2() -> Column:
-    sse = F.sum((y_pred() - y_true()) * (y_pred() - y_true()))
-    return 1 - F.try_divide(sse, F.var_pop(y_true()) * F.count(y_true()))
+    """All terms over the complete pairs."""
+    known = F.when(complete(), y_true())
+    return 1 - F.try_divide(F.sum(error() * error()), F.var_pop(known) * F.count(known))
 
 
 def reg_metrics(df: DataFrame, by: list[str] = ()) -> DataFrame:
-    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), rmse().alias("rmse"),
+    return df.groupBy(*by).agg(F.count_if(complete()).alias("n"), rmse().alias("rmse"),
                                mae().alias("mae"), r2().alias("r2"))
 
 

@@ -128,7 +128,7 @@ class Split:
         y = F.col(self.y).cast("double")
         out = out.withColumn("__b", F.when(F.col(self.group) == self.held_group, self.held_bins.column(y)))
         held = F.coalesce(F.col("__h") <= per_stratum(self.hold_limits, F.col("__b")), F.lit(False))
-        out = out.withColumn("part", F.when(held, "hold").otherwise("train"))
+        out = out.withColumn("part", F.when(comparable(y), F.when(held, "hold").otherwise("train")))
         if self.train_bins is None:
             return out.withColumnRenamed("__b", "stratum")
         out = out.withColumn("stratum", F.when(F.col("part") == "hold", F.col("__b"))
@@ -150,6 +150,11 @@ def keyed(df: DataFrame, y: str, key: str, group: str, seed: int) -> DataFrame:
     return df.select(hash_order(seed, F.col(key)).alias("__h"), F.col(y), F.col(group))
 
 
+def with_targets(df: DataFrame, y: str) -> DataFrame:
+    """Rows that have a target: only they are counted and ranked; ``assign`` gives the others no part."""
+    return df.where(comparable(F.col(y).cast("double")))
+
+
 def hold_out(rows: DataFrame, split: Split, fraction: float, n_bins: int, min_per_bin: int,
              zero_bin: bool) -> Split:
     pool = rows.where(F.col(split.group) == split.held_group)
@@ -180,7 +185,7 @@ def fit_holdout(df: DataFrame, y: str, key: str = "sample_id", group: str = "dat
                 min_per_bin: int = MIN_PER_BIN, zero_bin: bool = True, seed: int = SEED) -> Split:
     """Stratified holdout drawn from one group only; every other row trains."""
     split = Split(y, key, group, held_group, seed)
-    return hold_out(keyed(df, y, key, group, seed), split, fraction, n_bins, min_per_bin, zero_bin)
+    return hold_out(keyed(with_targets(df, y), y, key, group, seed), split, fraction, n_bins, min_per_bin, zero_bin)
 
 
 def fit_split(df: DataFrame, y: str, key: str = "sample_id", group: str = "dataset",
@@ -192,7 +197,7 @@ def fit_split(df: DataFrame, y: str, key: str = "sample_id", group: str = "datas
     Fitting reads hash, target and group about eight times; they are written once, so
     that whatever produces ``df`` (a join, features) runs once for it.
     """
-    rows = materialize(keyed(df, y, key, group, seed), "split", row_group_mb=4)
+    rows = materialize(keyed(with_targets(df, y), y, key, group, seed), "split", row_group_mb=4)
     split = hold_out(rows, Split(y, key, group, held_group, seed), fraction, n_bins, min_per_bin, zero_bin)
     return fold_up(rows, split, folds, n_bins, min_per_bin, zero_bin)
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from curvecal.functions.arrays import nan
 from curvecal.operators.ranking import probe, slice_of
+from curvecal.session import join_groups
 
 
 def with_neighbours(df: DataFrame, rows_per_slice: int | None = None) -> DataFrame:
@@ -25,7 +26,7 @@ def with_neighbours(df: DataFrame, rows_per_slice: int | None = None) -> DataFra
     context = ends.select("sample_id", "slice", F.lag("last").over(order).alias("before"),
                           F.lead("first").over(order).alias("after"))
     inside = Window.partitionBy("sample_id", "slice").orderBy("e", "row_id")
-    return (rows.join(context, ["sample_id", "slice"])
+    return (join_groups(rows, context, ["sample_id", "slice"])
             .withColumn("prev", F.coalesce(F.lag(point).over(inside), F.col("before")))
             .withColumn("next", F.coalesce(F.lead(point).over(inside), F.col("after")))
             .drop("slice", "before", "after"))

@@ -69,18 +69,50 @@ def rmse_delta(spark, folder):
 
 CELLS = """cells AS (SELECT model,
   count(*) FILTER (WHERE y_true > 15 AND y_pred > 15) AS tp, count(*) FILTER (WHERE y_true <= 15 AND y_pred <= 15) AS tn,
-  count(*) FILTER (WHERE y_true <= 15 AND y_pred > 15) AS fp, count(*) FILTER (WHERE y_true > 15 AND y_pred <= 15) AS fn
-  FROM s GROUP BY model)"""
+  count(*) FILTER (WHERE y_true <= 15 AND y_pred > 15) AS fp, count(*) FILTER (WHERE y_true > 15 AND y_pred <= 15) AS fn,
+  count(*) FILTER (WHERE y_true IS NULL OR y_pred IS NULL) AS undefined FROM s GROUP BY model)"""
 RATIOS = f"""{r6('coalesce(tp / nullif(tp + fn, 0), 0)')} AS sensitivity,
   {r6('coalesce(tn / nullif(tn + fp, 0), 0)')} AS specificity, {r6('coalesce(tp / nullif(tp + fp, 0), 0)')} AS precision,
   {r6('coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0)')} AS f1"""
 
 
-@query("decision_metrics", WITH + f", {CELLS} SELECT model, tp, tn, fp, fn, {RATIOS} FROM cells")
+@query("decision_metrics", WITH + f", {CELLS} SELECT model, tp, tn, fp, fn, undefined, {RATIOS} FROM cells")
 def decision_metrics(spark, folder):
     return decision.decision_metrics(AD.scores(spark, folder), BY)
 
 
+def with_holes(scores):
+    """Some predictions missing (null or NaN), some models unnamed."""
+    place = F.col("y_true") / 0.65
+    return (scores.withColumn("y_pred", F.when(place % 7 < 0.5, F.lit(float("nan"))).when(place % 11 > 0.5, F.col("y_pred")))
+            .withColumn("model", F.when(F.col("model") != "N", F.col("model"))))
+
+
+HOLES = f"""WITH {Q.SCORES}, u AS (SELECT sample_id, CASE WHEN model <> 'N' THEN model END AS model, y_true,
+  CASE WHEN fmod(y_true / 0.65, 7) < 0.5 THEN NULL WHEN fmod(y_true / 0.65, 11) > 0.5 THEN y_pred END AS y_pred FROM s),
+k AS (SELECT * FROM u WHERE y_pred IS NOT NULL)"""
+
+
+@query("reg_metrics_holes", HOLES + f" SELECT model, count(*) AS n, {RMSE} AS rmse, {MAE} AS mae, {R2} AS r2 FROM k GROUP BY model")
+def reg_metrics_holes(spark, folder):
+    """Missing predictions leave all terms; a null model is a group."""
+    return metrics.reg_metrics(with_holes(AD.scores(spark, folder)), BY)
+
+
+@query("decision_metrics_holes", HOLES + f", {CELLS.replace('FROM s', 'FROM u')} SELECT model, tp, tn, fp, fn, undefined, {RATIOS} FROM cells")
+def decision_metrics_holes(spark, folder):
+    return decision.decision_metrics(with_holes(AD.scores(spark, folder)), BY)
+
+
+@query("interval_null_group", HOLES + f"""
+SELECT model, sample_id, {r6('y_pred')} AS y_pred,
+  {r6('y_pred - 1.96 * 0.2 * stddev_pop(y_pred) OVER (PARTITION BY model)')} AS lower,
+  {r6('y_pred + 1.96 * 0.2 * stddev_pop(y_pred) OVER (PARTITION BY model)')} AS upper FROM k""")
+def interval_null_group(spark, folder):
+    rows = with_holes(AD.scores(spark, folder)).where("NOT isnan(y_pred) AND y_pred IS NOT NULL")
+    return decision.prediction_interval(rows, BY).select("model", "sample_id", "y_pred", "lower", "upper")
+
+
 @query("confusion", WITH + f""", {CELLS}
 SELECT model, 0 AS true_high, 0 AS pred_high, tn AS n FROM cells UNION ALL SELECT model, 0, 1, fp FROM cells
 UNION ALL SELECT model, 1, 0, fn FROM cells UNION ALL SELECT model, 1, 1, tp FROM cells""")
@@ -159,6 +191,6 @@ def pred_obs_limits(spark, folder):
 
 @query("model_summary", WITH + f""", {CELLS}, {STEPS}, {AUC},
 m AS (SELECT model, count(*) AS n, {RMSE} AS rmse, {MAE} AS mae, {R2} AS r2 FROM s GROUP BY model)
-SELECT model, n, rmse, mae, r2, tp, tn, fp, fn, {RATIOS}, roc_auc FROM m JOIN cells USING (model) JOIN auc USING (model)""")
+SELECT model, n, rmse, mae, r2, tp, tn, fp, fn, undefined, {RATIOS}, roc_auc FROM m JOIN cells USING (model) JOIN auc USING (model)""")
 def model_summary(spark, folder):
     return decision.model_summary(scored(spark, folder), BY)

@@ -40,7 +40,7 @@ def src_scan_files(spark, folder):
 @query("src_trace_matrix", SCANS + f"""
 SELECT source_file, CAST(replicate AS INT) AS replicate, {r6('e')} AS e, {r6('i0')} AS i FROM sc""")
 def src_trace_matrix(spark, folder):
-    return scans.read_traces(spark, scan_folder(spark, folder), "*.txt")
+    return scans.read_traces(spark, scan_folder(spark, folder), "*.txt").drop("scan")
 
 
 @query("src_conc_from_name", """
@@ -125,13 +125,13 @@ def wide_to_curve(spark, folder):
 
 
 @query("src_csv", """
-SELECT user_id, event_type, count(*) AS n, (round(sum(value), 6) + CAST(0 AS DOUBLE)) AS total
+SELECT user_id, event_type, props, count(*) AS n, (round(sum(value), 6) + CAST(0 AS DOUBLE)) AS total
 FROM events GROUP BY ALL""")
 def src_csv(spark, folder):
     path = new_path(spark, "csv")
-    tables.write_csv(AD.table(spark, folder, "events").select("user_id", "event_type", "value"), path)
-    rows = tables.read_csv(spark, path, "user_id bigint, event_type string, value double")
-    return rows.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    tables.write_csv(AD.table(spark, folder, "events").select("user_id", "event_type", "props", "value"), path)
+    rows = tables.read_csv(spark, path, "user_id bigint, event_type string, props string, value double")
+    return rows.groupBy("user_id", "event_type", "props").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
 
 
 @query("sink_csv", f"""

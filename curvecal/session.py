@@ -67,18 +67,37 @@ def materialize(df: DataFrame, label: str, row_group_mb: int = 32) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def join_groups(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which a null key meets a null key; the key columns appear once."""
+    renamed = right.withColumnsRenamed({c: f"__{c}" for c in on})
+    match = None
+    for c in on:
+        same = left[c].eqNullSafe(renamed[f"__{c}"])
+        match = same if match is None else match & same
+    return left.join(renamed, match, how).drop(*[f"__{c}" for c in on])
+
+
+def drop_table(df: DataFrame) -> None:
+    """Remove a table that ``materialize`` wrote and nothing reads any more."""
+    spark = df.sparkSession
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def attach(left: DataFrame, summary: DataFrame, on: list[str], how: str = "inner",
            limit: int = BROADCAST_ROWS) -> DataFrame:
     """Join a per-group summary back to its rows.
 
     At most ``limit`` + 1 rows of the summary are fetched. If that is all of it, those
     rows are broadcast, so the large side is not shuffled and the summary is not
-    computed twice. Otherwise the join is left to the optimizer.
+    computed twice. Otherwise the join is left to the optimizer. A summary row is a key and
+    a few numbers, so the limit also bounds its bytes. Rows with a null key keep their group.
     """
     rows = summary.limit(limit + 1).collect()
     if len(rows) <= limit:
         summary = F.broadcast(left.sparkSession.createDataFrame(rows, summary.schema))
-    return left.join(summary, on, how)
+    return join_groups(left, summary, on, how)
 
 
 def ship_package(spark: SparkSession) -> None:

@@ -26,6 +26,12 @@ def file_name(path: Column) -> Column:
     return F.url_decode(F.when(folder != "", folder).otherwise(F.element_at(F.split(path, "/"), -1)))
 
 
+def scan_path(path: Column) -> Column:
+    """What identifies a scan: the path of its file, or of the ``scan=`` folder made for it."""
+    folder = F.regexp_extract(path, r"^(.*/scan=[^/]+)/[^/]*$", 1)
+    return F.when(folder != "", folder).otherwise(path)
+
+
 def concentration_from_name(name: Column, decimals: bool = False) -> Column:
     """Number before 'ppb', any case; an error when there is none.
 
@@ -39,33 +45,36 @@ def concentration_from_name(name: Column, decimals: bool = False) -> Column:
 
 
 def read_traces(spark: SparkSession, folder: str, pattern: str = "*", sep: str = ",") -> DataFrame:
-    """Long points (source_file, replicate, e, i) of headerless matrices of any width.
+    """Long points (scan, source_file, replicate, e, i) of headerless matrices of any width.
+
+    ``scan`` is the whole path and tells scans of one name in different folders apart.
 
     Column 0 is the potential, column i the current of replicate i; an empty cell is NaN.
     """
     lines = (spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", "true")
              .text(folder).where(F.trim("value") != "")
-             .select(file_name(F.col("_metadata.file_path")).alias("source_file"),
+             .select(scan_path(F.col("_metadata.file_path")).alias("scan"),
+                     file_name(F.col("_metadata.file_path")).alias("source_file"),
                      F.split("value", F.lit(sep)).alias("cells")))
     number = F.col("cell").try_cast("double")
     points = lines.select(
-        "source_file", F.get("cells", F.lit(0)).cast("double").alias("e"),
+        "scan", "source_file", F.get("cells", F.lit(0)).cast("double").alias("e"),
         F.posexplode(F.slice("cells", 2, F.size("cells") - 1)).alias("pos", "cell"))
-    return points.select("source_file", (F.col("pos") + 1).alias("replicate"), "e",
+    return points.select("scan", "source_file", (F.col("pos") + 1).alias("replicate"), "e",
                          F.coalesce(number, nan()).alias("i"))
 
 
 def replicates_to_curves(points: DataFrame, decimals: bool = False) -> DataFrame:
-    """One row per (source_file, replicate), ascending in potential.
+    """One row per (scan, replicate), ascending in potential.
 
     A group is one scan, so its size is the instrument grid, not the number of scans.
     """
     pairs = F.array_sort(F.collect_list(F.struct("e", "i")))
-    curves = points.groupBy("source_file", "replicate").agg(pairs.alias("pts"))
+    curves = points.groupBy("scan", "source_file", "replicate").agg(pairs.alias("pts"))
     ppb = concentration_from_name(F.col("source_file"), decimals)
     label = F.format_string("%sppb_S%d", ppb.cast("string"), F.col("replicate"))
     return curves.select(
-        label.alias("sample_id"), ppb.cast("double").alias("concentration_ppb"), "source_file",
+        label.alias("sample_id"), ppb.cast("double").alias("concentration_ppb"), "scan", "source_file",
         "replicate", F.col("pts.e").alias("pot"), F.col("pts.i").alias("cur"))
 
 

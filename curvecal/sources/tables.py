@@ -33,15 +33,15 @@ def wide_to_curve(df: DataFrame, prefix: str = "E_") -> tuple[DataFrame, list[fl
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """CSV with a header and an explicit schema; columns are checked against the header."""
-    return spark.read.csv(path, header=True, schema=schema, enforceSchema=False)
+    return spark.read.csv(path, header=True, schema=schema, enforceSchema=False, escape='"')
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """CSV with a header and no index; NaN is written as an empty cell."""
+    """CSV with a header and no index; NaN is an empty cell, a quote inside a text is doubled."""
     cells = [F.when(~F.isnan(F.col(f"`{f.name}`")), F.col(f"`{f.name}`")).alias(f.name)
              if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f"`{f.name}`")
              for f in df.schema]
-    df.select(*cells).write.csv(path, header=True)
+    df.select(*cells).write.csv(path, header=True, escape='"')
 
 
 def class_counts(df: DataFrame, y: str = TARGET) -> DataFrame:

@@ -25,7 +25,7 @@ def score_curves(curves: DataFrame, grid: list[float], fit: LinearFit, meta: lis
     """Baseline, features, prediction: stateless, so the same for a batch and a stream."""
     shapes = with_flags(extract(baseline_subtract(curves, grid), meta, grid), meta)
     return shapes.select(*meta, predict_column(fit, features).alias("y_pred")).withColumn(
-        "alert", (F.col("y_pred") > THRESHOLD_PPB).cast("int"))
+        "alert", F.when(~F.isnan("y_pred"), (F.col("y_pred") > THRESHOLD_PPB).cast("int")))
 
 
 def alert_counts(readings: DataFrame, ts: str = "ts", value: str = "value", by: list[str] = (),
@@ -34,16 +34,25 @@ def alert_counts(readings: DataFrame, ts: str = "ts", value: str = "value", by:
     """Readings above the threshold per tumbling window; later than ``delay`` is dropped."""
     return (readings.withWatermark(ts, delay)
             .groupBy(F.window(ts, window), *by)
-            .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(value) > threshold).alias("alerts"))
+            .agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.isnan(value) & (F.col(value) > threshold)).alias("alerts"))
             .select(F.col("window.start").alias("window_start"), *by, "n", "alerts"))
 
 
-def drain(stream: DataFrame, label: str) -> DataFrame:
-    """Run a stream over all input present now into a Parquet table, and read that table."""
+def drain(stream: DataFrame, label: str, output: str | None = None, progress: str | None = None,
+          close: bool = False) -> DataFrame:
+    """Run a stream over all input present now into a Parquet table, and read that table.
+
+    With ``output`` and ``progress`` given again, a later call goes on where the last one
+    stopped and reads only new files. ``close`` is for the end of a bounded input: windows
+    still open are written too (the whole counts, as of the last batch, replace the table).
+    """
     spark = stream.sparkSession
-    path = new_path(spark, label)
-    query = (stream.writeStream.format("parquet").outputMode("append")
-             .option("checkpointLocation", path + "-progress").option("path", path)
-             .trigger(availableNow=True).start())
+    path = output or new_path(spark, label)
+    writer = (stream.writeStream.option("checkpointLocation", progress or path + "-progress").trigger(availableNow=True))
+    if close:
+        query = writer.outputMode("complete").foreachBatch(
+            lambda rows, _: rows.write.mode("overwrite").parquet(path)).start()
+    else:
+        query = writer.format("parquet").outputMode("append").option("path", path).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
