@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curvecal.llm import decontaminate, hamming, html_diff, jaccard_join, language, piece_bpe, quality, secrets, suffix_dedup, url_reputation
+from curvecal.llm import decontaminate, hamming, html_diff, jaccard_join, language, piece_bpe, quality, secrets, sqltext, suffix_dedup, url_reputation
 from curvecal.llm.common import table, text_or_empty
 from curvecal.session import ship_package
 
@@ -35,7 +35,7 @@ def page_outcomes(spark, folder) -> DataFrame:
         "url", F.col("quality").alias("good"))
 
 
-@query("op1_url_reputation")
+@query("op1_url_reputation", sqltext.OP1)
 def op1(spark, folder):
     pages = table(spark, folder, "pages").select("page_id", "url")
     out = url_reputation.judge_urls(pages, page_outcomes(spark, folder), URL_RULES)
@@ -59,7 +59,7 @@ def op2(spark, folder):
         F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
-@query("op3_suffix_dedup")
+@query("op3_suffix_dedup", sqltext.OP3)
 def op3(spark, folder):
     return suffix_dedup.remove_repeats(table(spark, folder, "documents")).select(
         F.col("id").alias("doc_id"), "n_bytes",
@@ -84,7 +84,7 @@ def op4(spark, folder):
         listed("spans").alias("spans"))
 
 
-@query("op5_jaccard_join")
+@query("op5_jaccard_join", sqltext.OP5)
 def op5(spark, folder):
     found = jaccard_join.link_components(table(spark, folder, "documents"), n=4, num=85, den=100)
     return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
@@ -111,7 +111,7 @@ def op8(spark, folder):
         "doc_id", "held_out", "lang_pred", F.round("score", 6).alias("score"), "ambiguous")
 
 
-@query("op9_hamming_topk")
+@query("op9_hamming_topk", sqltext.OP9)
 def op9(spark, folder):
     rows = table(spark, folder, "embeddings").select(
         F.col("vec_id").alias("id"), hamming.sign_code("embedding").alias("code"))
