@@ -6,6 +6,7 @@ per fold.
 """
 
 import itertools
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -18,6 +19,8 @@ from curvecal.operators import ensembles as E
 from curvecal.operators.gram import add, gram_by_group
 from curvecal.operators.linear import fold_metrics, predict_column, score_folds, train_moments
 
+#: Tree fits at one time.
+TREE_FITS = 4
 CV_SCHEMA = "model string, fold int, n bigint, rmse double, mae double, r2 double"
 
 
@@ -128,15 +131,16 @@ class Trainer:
         return [tuple(r) for r in scored.select("model", "fold", "n", "rmse", "mae", "r2").collect()]
 
     def tree_scores(self, candidate) -> list[tuple]:
-        out = []
-        for g in sorted(self.moments, key=int):
+        """Folds are independent fits of moderate size: a few run side by side."""
+        def one(g):
             model = E.fit_trees(candidate.estimator(), self.rows.where(F.col("g") != g))
             held = E.predict_trees(model, self.rows.where(F.col("g") == g))
             err, y = F.col("y_pred") - F.col("y"), F.col("y")
             row = held.agg(F.count(y), F.sqrt(F.avg(err * err)), F.avg(F.abs(err)),
                            1 - F.try_divide(F.sum(err * err), F.var_pop(y) * F.count(y))).first()
-            out.append((candidate.label(), int(g), *row))
-        return out
+            return candidate.label(), int(g), *row
+        with ThreadPoolExecutor(TREE_FITS) as pool:
+            return list(pool.map(one, sorted(self.moments, key=int)))
 
     def cross_validate(self, candidates: list[Candidate]) -> list[tuple]:
         """(model, fold, n, rmse, mae, r2) for every candidate and fold."""

@@ -9,6 +9,7 @@ from curvecal.operators import bootstrap, ensembles, gram, latent, linear, selec
 from curvecal.operators.baseline import baseline_subtract
 from curvecal.plans import sqltext as Q
 from curvecal.plans.registry import query, r6
+from curvecal.session import materialize
 from curvecal.sources import adapters as AD
 
 GRID = AD.GRID
@@ -286,7 +287,7 @@ TFOLDS = f"{Q.holdout('t', 'h')}, {Q.folds('h', 'q')}"
 
 def folded(spark, folder, features):
     """Training rows of the tabular split as (g, y, x)."""
-    rows = gram.design(AD.tabular(spark, folder), features, "y", KEYS)
+    rows = materialize(gram.design(AD.tabular(spark, folder), features, "y", KEYS), "design", row_group_mb=4)
     split = strata.fit_split(rows, "y")
     return split.assign(rows).where("part = 'train'").select(F.col("fold").cast("string").alias("g"), "y", "x")
 

@@ -6,15 +6,18 @@ from pyspark.sql import types as T
 from curvecal.constants import FEATURES, THRESHOLD_PPB
 from curvecal.functions import solvers as S
 from curvecal.functions.features import extract
-from curvecal.operators import gram, selection
+from curvecal.operators import gram
 from curvecal.operators.baseline import baseline_subtract
 from curvecal.plans import sqltext as Q
 from curvecal.plans import studies
 from curvecal.plans.registry import query, r6
+from curvecal.session import new_path
 from curvecal.sources import adapters as AD
+from curvecal.sources import scans
 from curvecal.streaming import scoring
 
 GRID = AD.GRID
+PER_SCAN = 50
 FOURTEEN = sorted(name for name in FEATURES if name != "FWHM")
 
 
@@ -73,6 +76,25 @@ def study_baselines_features(spark, folder):
     return tables["holdout"].where(F.col("model") != "potentials")
 
 
+SCAN_CURVES = Q.CURVES.replace("c AS (", "c0 AS (").replace("g AS (", f"""c AS (SELECT vec_id, dataset || ':scan=part' || blk || ' Ac TW '
+    || (blk % 7 * 5) || 'ppb.csv#' || row_number() OVER (PARTITION BY dataset, blk ORDER BY vec_id) AS sample_id, label,
+    CAST(blk % 7 * 5 AS DOUBLE) AS ppb, dataset, raw FROM (SELECT *, vec_id // {PER_SCAN} AS blk FROM c0)),
+g AS (""", 1)
+
+
+@query("study_from_scans", FULL.replace(Q.CURVES, SCAN_CURVES))
+def study_from_scans(spark, folder):
+    """Scan files of two folders to the baseline comparison."""
+    folders = {}
+    for dataset in ("lab", "unseen"):
+        folders[dataset] = new_path(spark, f"scans-{dataset}")
+        block = F.floor(F.col("row_id") / PER_SCAN)
+        named = AD.curves(spark, folder).where(F.col("dataset") == dataset).select(
+            F.format_string("Ac TW %dppb.csv", block % 7 * 5).alias("scan"), "row_id", "cur")
+        scans.write_traces(named, GRID, "scan", "row_id", folders[dataset], PER_SCAN)
+    return studies.study_from_scans(spark, folders, "*.txt")["holdout"]
+
+
 @query("study_features")
 def study_features(spark, folder):
     return studies.study_features(table(spark, folder), FOURTEEN)["holdout"]
@@ -100,9 +122,8 @@ def study_roi(spark, folder):
 
 @query("study_decision")
 def study_decision(spark, folder):
-    """Both pipelines; the feature side compares its linear members."""
-    zoo = [c for c in selection.feature_zoo() if c.kind == "linear"]
-    return studies.study_decision(moved(spark, folder), table(spark, folder), GRID, FOURTEEN, zoo)["summary"]
+    """Both pipelines, each with all its models."""
+    return studies.study_decision(moved(spark, folder), table(spark, folder), GRID, FOURTEEN)["summary"]
 
 
 @query("study_pca")

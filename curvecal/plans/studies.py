@@ -17,9 +17,12 @@ from curvecal.operators import latent, metrics, selection, strata
 from curvecal.operators.baseline import baseline_subtract
 from curvecal.operators.decision import model_summary
 from curvecal.operators.gram import add, design, gram_by_group
+from curvecal.operators.grids import grid_check, grid_fill, reference_grid
 from curvecal.operators.linear import cv_summary, predict_column
 from curvecal.operators.relational import feature_select
 from curvecal.session import materialize
+from curvecal.sources import scans
+from curvecal.sources.tables import require
 
 KEYS = ["sample_id", "dataset"]
 
@@ -42,7 +45,7 @@ class Prepared:
 
 
 def prepare(df: DataFrame, features: list[str] | str, width: int, y: str = C.TARGET) -> Prepared:
-    rows = design(df, features, y, KEYS)
+    rows = materialize(design(df, features, y, KEYS), "design")  # what makes df runs once
     split = strata.fit_split(rows, "y")
     return Prepared(split, split.assign(rows), width)
 
@@ -55,6 +58,30 @@ def feature_table(curves: DataFrame, grid: list[float], low=C.ROI_LOW_V, high=C.
     return materialize(shapes, "features")
 
 
+def curves_from_scans(spark, folders: dict[str, str], pattern: str = "*") -> tuple[DataFrame, list[float]]:
+    """Curves of scan folders (dataset name -> folder) on one grid, and that grid.
+
+    Raises if a scan's potentials differ from those of the first. The sample name holds the
+    path below the folder, so that scans of one name in different folders stay apart.
+    """
+    parts = None
+    for dataset, folder in folders.items():
+        below = F.url_decode(F.expr(f"element_at(split(scan, {folder.rstrip('/').rpartition('/')[2]!r} || '/', 2), 2)"))
+        curves = scans.replicates_to_curves(scans.read_traces(spark, folder, pattern)).withColumns({
+            "dataset": F.lit(dataset), "sample_id": F.concat(F.lit(f"{dataset}:"), below, F.lit("#"), F.col("replicate").cast("string"))})
+        parts = curves if parts is None else parts.unionByName(curves)
+    curves = materialize(require(parts, ["pot", "cur", C.TARGET]), "scan-curves")
+    grid_check(curves, strict=True)
+    grid = reference_grid(curves)
+    return grid_fill(curves, grid), grid
+
+
+def study_from_scans(spark, folders: dict[str, str], pattern: str = "*") -> dict[str, DataFrame]:
+    """Scan files to baseline comparison in one job."""
+    curves, grid = curves_from_scans(spark, folders, pattern)
+    return study_baselines(feature_table(curves, grid), baseline_subtract(curves, grid), grid)
+
+
 def as_predictions(rows: DataFrame, model: str) -> DataFrame:
     return rows.select("sample_id", F.lit(model).alias("model"), F.col("y").alias("y_true"), "y_pred")
 
@@ -112,13 +139,13 @@ def study_baselines(features: DataFrame, curves: DataFrame, grid: list[float]) -
     data = prepare(both.withColumn("all_x", x), "all_x", 2 + len(grid))
     whole = add(gram_by_group(data.train, data.width).values())
     members = {"Ip_corr": [0], "Ip_corr+Area_peak": [0, 1], "potentials": list(range(2, 2 + len(grid)))}
-    held = None
+    guesses = []
     for name, picks in members.items():
         fit = S.ols(whole.pick(picks), name)
         wide = S.LinearFit(name, fit.intercept, spread(fit.coef, picks, data.width))
-        part = as_predictions(data.hold.withColumn("y_pred", predict_column(wide, "x")), name)
-        held = part if held is None else held.unionByName(part)
-    tables = holdout_tables(held, robust=True)
+        guesses.append(F.struct(F.lit(name).alias("model"), predict_column(wide, "x").alias("y_pred")))
+    held = data.hold.select("sample_id", F.col("y").alias("y_true"), F.inline(F.array(*guesses)))
+    tables = holdout_tables(held.select("sample_id", "model", "y_true", "y_pred"), robust=True)
     tables["split"] = strata.split_report(data.assigned)
     return tables
 
