@@ -128,7 +128,8 @@ def _signed(tag: int, *hashes: int) -> int:
 
 def _signature_rows(representatives: DataFrame, n: int, num: int, den: int, parts: int) -> DataFrame:
     """(signature, id, size) of all sets. representatives: id, text, part."""
-    shift = np.uint64(64 - max(3, (parts - 1).bit_length()))
+    width = max(3, (parts - 1).bit_length())
+    shift = np.uint64(64 - width)
     packed = "place bigint, bucket bigint, data binary"
 
     def deal(batches):
@@ -139,6 +140,8 @@ def _signature_rows(representatives: DataFrame, n: int, num: int, den: int, part
             bucket = (tokens >> shift).astype(np.int64)
             order = np.argsort(bucket, kind="stable")  # inside a bucket: by document, then by hash
             cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+            # 32 bits behind the bucket's: where two shingles share them, they share a count, which is as good an order
+            tokens = ((tokens << np.uint64(width)) >> np.uint64(32)).astype(np.uint32)
             rows = [(int(bucket[order[a]]), _pack(ids, owner[order[a:b]], tokens[order[a:b]]))
                     for a, b in zip(cuts, [*cuts[1:], len(order)])]
             waiting.clear()
@@ -157,7 +160,7 @@ def _signature_rows(representatives: DataFrame, n: int, num: int, den: int, part
             yield flush()
 
     def count(frame: pd.DataFrame) -> pd.DataFrame:
-        rows = [_unpack(d, np.uint64) for d in frame["data"]]
+        rows = [_unpack(d, np.uint32) for d in frame["data"]]
         tokens = np.concatenate([r[2] for r in rows])
         _, where, counts = np.unique(tokens, return_inverse=True, return_counts=True)
         codes, at, out = code(counts)[where], 0, []
