@@ -54,7 +54,8 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, segments: int = 4) -
                   .select("q", F.posexplode(F.array(*(_segment(F.col("q"), s, width) for s in range(segments)))).alias("seg", "own"))
                   .select("q", "seg", F.explode(F.array(*map(F.lit, masks))).alias("mask"), "own")
                   .select("q", "seg", F.col("own").bitwiseXOR(F.col("mask").cast("bigint")).alias("value")))
-        hit = probes.join(by_segment, ["seg", "value"])
+        # the optimizer does not see how many probes a query makes; they must not be broadcast
+        hit = probes.join(by_segment.hint("shuffle_hash"), ["seg", "value"])
         difference = F.col("q").bitwiseXOR(F.col("code"))
         by_bits = F.array(*(F.bit_count(_segment(difference, s, width)) for s in range(segments)))
         hit = (hit.where((F.array_min(by_bits) == radius) & (F.array_position(by_bits, F.lit(radius)) == F.col("seg") + 1))

@@ -29,7 +29,7 @@ def test_bad_hosts_are_blocked_and_single_failures_are_not(spark):
     outcomes = [(f"http://good{h}.example.org/{k}", 1) for h in range(20) for k in range(30)]
     outcomes += [(f"http://bad.spam.com/{k}", 0) for k in range(200)] + [("http://good1.example.org/z", 0), ("http://new.example.org/a", 0)]
     outcomes += [("http://good1.example.org/q", None)]
-    got = judged(spark, ["http://bad.spam.com/1", "http://good1.example.org/2", "http://new.example.org/b", "http://never.seen.com/"], outcomes)
+    got = judged(spark, ["http://bad.spam.com/1", "http://good1.example.org/2", "http://new.example.org/b", "http://never.seen.org/"], outcomes)
     assert [got[i].verdict for i in range(4)] == ["block", "allow", "allow", "allow"]
     assert got[0].high < 0.5 < got[1].low and got[1].n_labelled == 31 and got[2].rate < got[1].rate
 
