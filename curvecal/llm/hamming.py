@@ -52,7 +52,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, segments: int = 4) -
         masks = [sum(1 << b for b in c) for c in itertools.combinations(range(width), radius)]
         probes = (open_queries
                   .select("q", F.posexplode(F.array(*(_segment(F.col("q"), s, width) for s in range(segments)))).alias("seg", "own"))
-                  .select("q", "seg", F.explode(F.array(*map(F.lit, masks))).alias("mask"), "own")
+                  .select("q", "seg", F.explode(F.expr(f"array({', '.join(map(str, masks))})")).alias("mask"), "own")
                   .select("q", "seg", F.col("own").bitwiseXOR(F.col("mask").cast("bigint")).alias("value")))
         # the optimizer does not see how many probes a query makes; they must not be broadcast
         hit = probes.join(by_segment.hint("shuffle_hash"), ["seg", "value"])
