@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from curvecal.llm.common import shuffle_files_freed
 from curvecal.llm.url_reputation import url_host, url_path
 from curvecal.session import materialize
 
@@ -141,15 +142,19 @@ def common_lines(a: list[int], b: list[int]) -> list[int]:
     return out[::-1]
 
 
-def main_text(lines: list[str], zones: list[int], hashes: list[int], neighbour: list[int]) -> str:
+def shared_places(zones: list[int], sizes: list[int], hashes: list[int], neighbour: list[int]) -> list[int]:
+    """Places of the lines to delete: shared ones, unless the page marks its article or the pair are copies."""
     if ARTICLE in zones:
-        return "\n".join(x for x, z in zip(lines, zones) if z == ARTICLE)
-    shared = set(common_lines(hashes, neighbour))
-    whole = sum(len(x) for x, z in zip(lines, zones) if z == OPEN)
-    gone = sum(len(x) for i, (x, z) in enumerate(zip(lines, zones)) if z == OPEN and i in shared)
-    if 2 * gone > whole:
-        shared = set()
-    return "\n".join(x for i, (x, z) in enumerate(zip(lines, zones)) if z == OPEN and i not in shared)
+        return []
+    shared = [i for i in common_lines(hashes, neighbour) if zones[i] == OPEN]
+    whole = sum(n for n, z in zip(sizes, zones) if z == OPEN)
+    return [] if 2 * sum(sizes[i] for i in shared) > whole else shared
+
+
+def main_text(lines: list[tuple[str, int]], deleted: list[int] = ()) -> str:
+    wanted = ARTICLE if any(z == ARTICLE for _, z in lines) else OPEN
+    gone = set(deleted)
+    return "\n".join(x for i, (x, z) in enumerate(lines) if z == wanted and i not in gone)
 
 
 def line_hash(line: str) -> int:
@@ -157,58 +162,94 @@ def line_hash(line: str) -> int:
     return zlib.crc32(raw) << 31 ^ zlib.adler32(raw)
 
 
-def extract(pages: DataFrame, html: str = "html", url: str = "url", out: str = "text") -> DataFrame:
-    """Replace the html by the main text."""
-    kept = [c for c in pages.columns if c not in (html, out)]
-    kind = T.StructType([*(pages.schema[c] for c in kept), T.StructField("_host", T.StringType()),
-                         T.StructField("_path", T.StringType()), T.StructField("_lines", T.ArrayType(T.StringType())),
-                         T.StructField("_zones", T.ArrayType(T.IntegerType())), T.StructField("_hashes", T.ArrayType(T.LongType()))])
+def deletions(pages: DataFrame) -> DataFrame:
+    """(key, deleted) of the pages that lose lines. pages: key, host, path, html.
+
+    Texts stay where they are: pages meet as hashes and sizes of their lines.
+    """
+    kind = "key bigint, host string, path string, zones array<int>, sizes array<int>, hashes array<bigint>"
 
     def parse(batches):
         for b in batches:
-            rows = [page_lines(x) for x in b.column("_html").to_pylist()]
+            rows = [page_lines(x) for x in b.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([
-                *(b.column(c) for c in [*kept, "_host", "_path"]),
-                pa.array([[x for x, _ in r] for r in rows], pa.list_(pa.string())),
+                b.column("key"), b.column("host"), b.column("path"),
                 pa.array([[z for _, z in r] for r in rows], pa.list_(pa.int32())),
-                pa.array([[line_hash(x) for x, _ in r] for r in rows], pa.list_(pa.int64()))], names=kind.names)
-
-    parsed = pages.select(*(F.col(f"`{c}`") for c in kept), url_host(F.col(f"`{url}`")).alias("_host"),
-                          url_path(F.col(f"`{url}`")).alias("_path"), F.col(f"`{html}`").cast("string").alias("_html"))
-    parsed = parsed.mapInArrow(parse, kind)
-    ordered = materialize(parsed.repartitionByRange("_host", "_path", F.xxhash64("_lines")).sortWithinPartitions("_host", "_path")
-                          .withColumn("_place", F.monotonically_increasing_id()), "pages")
+                pa.array([[len(x) for x, _ in r] for r in rows], pa.list_(pa.int32())),
+                pa.array([[line_hash(x) for x, _ in r] for r in rows], pa.list_(pa.int64()))],
+                names=["key", "host", "path", "zones", "sizes", "hashes"])
+
+    with shuffle_files_freed(pages.sparkSession):
+        slim = materialize(pages.mapInArrow(parse, kind), "page-lines")
+        ordered = materialize(slim.dropDuplicates(["key"]).repartitionByRange("host", "path", "key")
+                              .sortWithinPartitions("host", "path", "key").withColumn("place", F.monotonically_increasing_id()), "pages")
     # places without gaps: the rows of earlier partitions are added (one number per partition)
-    task = F.shiftright("_place", 33)
-    before = 0
-    sizes = sorted((r[0], r[1]) for r in ordered.groupBy(task).count().collect())
-    starts = []
-    for number, n in sizes:
+    task, before, starts = F.shiftright("place", 33), 0, []
+    for number, n in sorted((r[0], r[1]) for r in ordered.groupBy(task).count().collect()):
         starts.append((number, before))
         before += n
-    offsets = ordered.sparkSession.createDataFrame(starts or [(0, 0)], "_task bigint, _before bigint")
-    placed = (ordered.withColumn("_task", task).join(offsets, "_task")
-              .withColumn("_n", F.col("_before") + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))).drop("_task", "_before", "_place"))
-    slim = placed.select("_n", "_host", F.split("_path", "/").alias("_parts"))
+    offsets = ordered.sparkSession.createDataFrame(starts or [(0, 0)], "task bigint, before bigint")
+    placed = (ordered.withColumn("task", task).join(offsets, "task")
+              .withColumn("n", F.col("before") + F.col("place").bitwiseAND(F.lit((1 << 33) - 1))).drop("task", "before", "place"))
+    slim = placed.select("n", "host", F.split("path", "/").alias("parts"))
 
     def beside(step, name):
-        return slim.select((F.col("_n") - step).alias("_n"), F.col("_host").alias(f"{name}_host"), F.col("_parts").alias(f"{name}_parts"))
+        return slim.select((F.col("n") - step).alias("n"), F.col("host").alias(f"{name}_host"), F.col("parts").alias(f"{name}_parts"))
 
     def alike(name):
-        return F.expr(f"""CASE WHEN {name}_host = _host THEN size(filter(sequence(1, least(size(_parts), size({name}_parts))),
-            i -> slice(_parts, 1, i) = slice({name}_parts, 1, i))) ELSE -1 END""")
+        return F.expr(f"""CASE WHEN {name}_host = host THEN size(filter(sequence(1, least(size(parts), size({name}_parts))),
+            i -> slice(parts, 1, i) = slice({name}_parts, 1, i))) ELSE -1 END""")
 
-    near = slim.join(beside(-1, "p"), "_n", "left").join(beside(1, "q"), "_n", "left").select(
-        "_n", F.coalesce(alike("p"), F.lit(-1)).alias("a"), F.coalesce(alike("q"), F.lit(-1)).alias("b")).select(
-        "_n", F.when((F.col("a") < 0) & (F.col("b") < 0), None).when(F.col("a") >= F.col("b"), F.col("_n") - 1)
-        .otherwise(F.col("_n") + 1).alias("_near"))
-    paired = placed.join(near, "_n").join(placed.select(F.col("_n").alias("_near"), F.col("_hashes").alias("_other")), "_near", "left")
+    near = slim.join(beside(-1, "p"), "n", "left").join(beside(1, "q"), "n", "left").select(
+        "n", F.coalesce(alike("p"), F.lit(-1)).alias("a"), F.coalesce(alike("q"), F.lit(-1)).alias("b")).where("a >= 0 OR b >= 0").select(
+        "n", F.when(F.col("a") >= F.col("b"), F.col("n") - 1).otherwise(F.col("n") + 1).alias("near"))
+    paired = (placed.select("n", "key", "zones", "sizes", "hashes").join(near, "n")
+              .join(placed.select(F.col("n").alias("near"), F.col("hashes").alias("other")), "near"))
 
-    def finish(batches):
+    def align(batches):
+        for b in batches:
+            columns = [b.column(c).to_pylist() for c in ("zones", "sizes", "hashes", "other")]
+            gone = [shared_places(*row) for row in zip(*columns)]
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(gone, pa.list_(pa.int32()))], names=["key", "deleted"])
+
+    return (paired.select("key", "zones", "sizes", "hashes", "other").mapInArrow(align, "key bigint, deleted array<int>")
+            .where(F.size("deleted") > 0))
+
+
+def extract(pages: DataFrame, html: str = "html", url: str = "url", out: str = "text") -> DataFrame:
+    """Replace the html by the main text.
+
+    Pages are told apart by a hash of url and html; equal pages have equal results. Only
+    pages that do not mark their article are joined with their deletions.
+    """
+    kept = [c for c in pages.columns if c not in (html, out)]
+    source, address = F.col(f"`{html}`").cast("string"), F.col(f"`{url}`").cast("string")
+    key = F.xxhash64(address, source)
+    gone = materialize(deletions(pages.select(key.alias("key"), url_host(address).alias("host"), url_path(address).alias("path"),
+                                              source.alias("html"))), "page-deletions")
+    kind = T.StructType([*(pages.schema[c] for c in kept), T.StructField("_key", T.LongType()), T.StructField("_marked", T.BooleanType()),
+                         T.StructField("_text", T.StringType()), T.StructField("_html", T.StringType())])
+
+    def parse(wanted):
+        def run(batches):
+            for b in batches:
+                rows = [page_lines(x) for x in b.column("_html").to_pylist()]
+                keep = [i for i, r in enumerate(rows) if any(z == ARTICLE for _, z in r) == wanted]
+                own = b.take(pa.array(keep, pa.int64()))
+                yield pa.RecordBatch.from_arrays([
+                    *(own.column(c) for c in [*kept, "_key"]), pa.array([wanted] * len(keep), pa.bool_()),
+                    pa.array([main_text(rows[i]) for i in keep], pa.string()), own.column("_html")], names=kind.names)
+        return run
+
+    def cut(batches):
         for b in batches:
-            columns = [b.column(c).to_pylist() for c in ("_lines", "_zones", "_hashes", "_other")]
-            texts = [main_text(*row[:3], row[3] or []) for row in zip(*columns)]
+            texts = [main_text(page_lines(h), d or []) if d else t for t, h, d in
+                     zip(*(b.column(c).to_pylist() for c in ("_text", "_html", "_deleted")))]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(texts, pa.string())], names=[*kept, out])
 
-    return paired.select(*(F.col(f"`{c}`") for c in kept), "_lines", "_zones", "_hashes", "_other").mapInArrow(
-        finish, T.StructType([*(pages.schema[c] for c in kept), T.StructField(out, T.StringType())]))
+    rows = pages.select(*(F.col(f"`{c}`") for c in kept), key.alias("_key"), source.alias("_html"))
+    marked = rows.mapInArrow(parse(True), kind).select(*(F.col(f"`{c}`") for c in kept), F.col("_text").alias(out))
+    others = rows.mapInArrow(parse(False), kind).join(gone.select(F.col("key").alias("_key"), F.col("deleted").alias("_deleted")), "_key", "left")
+    others = others.select(*(F.col(f"`{c}`") for c in kept), "_text", "_html", "_deleted").mapInArrow(
+        cut, T.StructType([*(pages.schema[c] for c in kept), T.StructField(out, T.StringType())]))
+    return marked.unionByName(others)

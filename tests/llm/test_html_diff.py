@@ -7,9 +7,8 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 <aside>More</aside><form><input name=q>Search</form><p>Third</p></article><div class="sidebar">Side</div><footer>&copy; f</footer></body></html>"""
 
 
-def text_of(source, neighbour=()):
-    lines = html_diff.page_lines(source)
-    return html_diff.main_text([x for x, _ in lines], [z for _, z in lines], [html_diff.line_hash(x) for x, _ in lines], list(neighbour))
+def text_of(source):
+    return html_diff.main_text(html_diff.page_lines(source))
 
 
 def test_article():
