@@ -8,8 +8,8 @@ a document's pattern is its training label. A linear scorer over hashed word sha
 pairs of neighbouring shapes) learns those labels from a bounded sample of ``SAMPLE`` rows
 and judges every document: a document is rejected if its score is under one half.
 
-Null texts, empty texts and texts without a word get no votes; having no shapes they are
-scored by the intercept alone, so they are kept if most documents are good. Whole texts
+Null texts, empty texts and texts without a word get no votes; their score is the estimated
+share of good documents, so they are kept if most documents are good. Whole texts
 count; repeated rows count as often as they occur and get equal scores. With an empty table
 every parameter keeps its starting value.
 """
@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 #: Rows from which the scorer is fitted, at most (chosen by a hash of the text).
 SAMPLE = 8_000
 BUCKETS = 1 << 11
+BELIEF = 20
 GOOD, BAD, NONE = 1, -1, 0
 
 _shapes: dict[str, str] = {}
@@ -110,13 +111,15 @@ def unpattern(p: int) -> list[int]:
 def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, dict]:
     """Posterior of "good" for each vote pattern, and the estimated accuracies.
 
-    A labeller's silence says nothing. Every labeller starts as better than chance, which
-    fixes which class is called good; counts of one keep every probability inside (0, 1).
+    A labeller's silence says nothing. Every labeller starts as better than chance, a belief
+    that weighs as much as BELIEF documents of either class: it fixes which class is called
+    good, keeps every probability inside (0, 1), and yields to the data as they grow.
     """
     m = patterns.shape[1] if len(patterns) else len(LABELLERS)
     prior = 0.8
     table = np.zeros((2, m, 2))  # class (bad, good), labeller, answer (bad, good)
     table[0], table[1] = [0.4, 0.6], [0.02, 0.98]
+    belief = table * BELIEF
     post = np.zeros(len(patterns))
     spoke, index = patterns != NONE, (patterns == GOOD).astype(int)
     for _ in range(rounds if len(patterns) else 0):
@@ -125,7 +128,7 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
         post = 1 / (1 + np.exp(np.clip(like[0] - like[1], -700, 700)))
         for c, w in ((0, (1 - post) * counts), (1, post * counts)):
             for a in range(2):
-                table[c, :, a] = (w[:, None] * (spoke & (index == a))).sum(0) + 1
+                table[c, :, a] = (w[:, None] * (spoke & (index == a))).sum(0) + belief[c, :, a]
         table /= table.sum(2, keepdims=True)
         prior = (float((post * counts).sum()) + 1) / (float(counts.sum()) + 2)
     accuracy = {name: (float(table[1, i, 1]), float(table[0, i, 0])) for i, name in enumerate(LABELLERS)}
@@ -142,11 +145,15 @@ def features(counts: Counter, n: int, same: int) -> tuple[np.ndarray, np.ndarray
 
 
 class Scorer:
+    blank = 0.8  #: score of a text without a word: the estimated share of good documents
+
     def __init__(self, weights: np.ndarray, bias: float):
         self.weights, self.bias = weights, bias
 
     def score(self, text: str | None) -> float:
         words, counts, same = describe(text)
+        if not words:
+            return self.blank
         at, x = features(counts, len(words), same)
         return float(1 / (1 + np.exp(-np.clip(x @ self.weights[at] + self.bias, -500, 500))))
 
@@ -215,6 +222,7 @@ def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Model:
     rows = (chosen.distinct().mapInArrow(describe_rows, "at array<bigint>, x array<double>, pattern int")
             .limit(sample).toLocalIterator())
     scorer = fit_scorer([(np.array(r.at, np.int64), np.array(r.x), posterior[r.pattern]) for r in rows])
+    scorer.blank = report["prior"]
     return Model(scorer, report)
 
 

@@ -14,7 +14,7 @@ def test_agrees_with_the_labels(spark):
     junk = [r for r in rows if r.quality == 0]
     assert sum(r.keep for r in clean) >= 0.99 * len(clean)
     assert sum(not r.keep for r in junk) >= 0.9 * len(junk)
-    assert all(good > 0.9 for good, _ in model.report["accuracy"].values())
+    assert all(good > 0.9 for good, _ in model.report["accuracy"].values()) and 0.8 < model.report["prior"] < 0.95
 
 
 def test_expectation_maximisation_recovers_accuracies():
