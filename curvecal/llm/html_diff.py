@@ -4,9 +4,9 @@ A page becomes a sequence of lines, one per block. Elements that are never artic
 (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments) are
 known by tag, role, class or id. Pages are sorted by host and path; each is paired with the
 neighbour of its host that shares most leading path parts, its lines are aligned with the
-neighbour's by a longest common subsequence, and shared lines are deleted. Lines that the
-page itself marks as the article are kept: two pages may carry the same article. If the
-shared lines hold most of an unmarked page's text, the pair are copies and nothing is deleted.
+neighbour's by a longest common subsequence, and shared lines are deleted, inside a marked
+article too (there only lines of the neighbour's text count). If the shared lines hold most
+of the page's text, the pair are copies and nothing is deleted.
 
 Null and empty html, null urls (host and path empty) and pages without a neighbour are
 handled like others; a page without text gives the empty text. Pages that were cut off in
@@ -142,19 +142,21 @@ def common_lines(a: list[int], b: list[int]) -> list[int]:
     return out[::-1]
 
 
-def shared_places(zones: list[int], sizes: list[int], hashes: list[int], neighbour: list[int]) -> list[int]:
-    """Places of the lines to delete: shared ones, unless the page marks its article or the pair are copies."""
-    if ARTICLE in zones:
-        return []
-    shared = [i for i in common_lines(hashes, neighbour) if zones[i] == OPEN]
-    whole = sum(n for n, z in zip(sizes, zones) if z == OPEN)
-    return [] if 2 * sum(sizes[i] for i in shared) > whole else shared
+def shared_places(zones: list[int], sizes: list[int], hashes: list[int], other_zones: list[int], other: list[int]) -> list[int]:
+    """Which lines of the page's text to delete (places in its text): shared ones, unless the pair are copies."""
+    wanted = ARTICLE if ARTICLE in zones else OPEN
+    if wanted == ARTICLE:  # lists of other articles beside the neighbour's text say nothing about this one
+        zones, sizes, hashes = zip(*((z, n, h) for z, n, h in zip(zones, sizes, hashes) if z == ARTICLE))
+        other = [h for z, h in zip(other_zones, other) if z != OUTSIDE]
+    text = [i for i, z in enumerate(zones) if z == wanted]
+    gone = set(common_lines(hashes, other))
+    shared = [k for k, i in enumerate(text) if i in gone]
+    return [] if 2 * sum(sizes[text[k]] for k in shared) > sum(sizes[i] for i in text) else shared
 
 
-def main_text(lines: list[tuple[str, int]], deleted: list[int] = ()) -> str:
+def main_text(lines: list[tuple[str, int]]) -> str:
     wanted = ARTICLE if any(z == ARTICLE for _, z in lines) else OPEN
-    gone = set(deleted)
-    return "\n".join(x for i, (x, z) in enumerate(lines) if z == wanted and i not in gone)
+    return "\n".join(x for x, z in lines if z == wanted)
 
 
 def line_hash(line: str) -> int:
@@ -204,52 +206,37 @@ def deletions(pages: DataFrame) -> DataFrame:
         "n", F.coalesce(alike("p"), F.lit(-1)).alias("a"), F.coalesce(alike("q"), F.lit(-1)).alias("b")).where("a >= 0 OR b >= 0").select(
         "n", F.when(F.col("a") >= F.col("b"), F.col("n") - 1).otherwise(F.col("n") + 1).alias("near"))
     paired = (placed.select("n", "key", "zones", "sizes", "hashes").join(near, "n")
-              .join(placed.select(F.col("n").alias("near"), F.col("hashes").alias("other")), "near"))
+              .join(placed.select(F.col("n").alias("near"), F.col("zones").alias("other_zones"), F.col("hashes").alias("other")), "near"))
 
     def align(batches):
         for b in batches:
-            columns = [b.column(c).to_pylist() for c in ("zones", "sizes", "hashes", "other")]
+            columns = [b.column(c).to_pylist() for c in ("zones", "sizes", "hashes", "other_zones", "other")]
             gone = [shared_places(*row) for row in zip(*columns)]
             yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(gone, pa.list_(pa.int32()))], names=["key", "deleted"])
 
-    return (paired.select("key", "zones", "sizes", "hashes", "other").mapInArrow(align, "key bigint, deleted array<int>")
+    return (paired.select("key", "zones", "sizes", "hashes", "other_zones", "other").mapInArrow(align, "key bigint, deleted array<int>")
             .where(F.size("deleted") > 0))
 
 
 def extract(pages: DataFrame, html: str = "html", url: str = "url", out: str = "text") -> DataFrame:
     """Replace the html by the main text.
 
-    Pages are told apart by a hash of url and html; equal pages have equal results. Only
-    pages that do not mark their article are joined with their deletions.
+    Pages are told apart by a hash of url and html; equal pages have equal results. Texts,
+    not pages, meet their deletions.
     """
     kept = [c for c in pages.columns if c not in (html, out)]
     source, address = F.col(f"`{html}`").cast("string"), F.col(f"`{url}`").cast("string")
     key = F.xxhash64(address, source)
     gone = materialize(deletions(pages.select(key.alias("key"), url_host(address).alias("host"), url_path(address).alias("path"),
                                               source.alias("html"))), "page-deletions")
-    kind = T.StructType([*(pages.schema[c] for c in kept), T.StructField("_key", T.LongType()), T.StructField("_marked", T.BooleanType()),
-                         T.StructField("_text", T.StringType()), T.StructField("_html", T.StringType())])
-
-    def parse(wanted):
-        def run(batches):
-            for b in batches:
-                rows = [page_lines(x) for x in b.column("_html").to_pylist()]
-                keep = [i for i, r in enumerate(rows) if any(z == ARTICLE for _, z in r) == wanted]
-                own = b.take(pa.array(keep, pa.int64()))
-                yield pa.RecordBatch.from_arrays([
-                    *(own.column(c) for c in [*kept, "_key"]), pa.array([wanted] * len(keep), pa.bool_()),
-                    pa.array([main_text(rows[i]) for i in keep], pa.string()), own.column("_html")], names=kind.names)
-        return run
-
-    def cut(batches):
+    kind = T.StructType([*(pages.schema[c] for c in kept), T.StructField("_key", T.LongType()), T.StructField("_text", T.StringType())])
+
+    def parse(batches):
         for b in batches:
-            texts = [main_text(page_lines(h), d or []) if d else t for t, h, d in
-                     zip(*(b.column(c).to_pylist() for c in ("_text", "_html", "_deleted")))]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(texts, pa.string())], names=[*kept, out])
-
-    rows = pages.select(*(F.col(f"`{c}`") for c in kept), key.alias("_key"), source.alias("_html"))
-    marked = rows.mapInArrow(parse(True), kind).select(*(F.col(f"`{c}`") for c in kept), F.col("_text").alias(out))
-    others = rows.mapInArrow(parse(False), kind).join(gone.select(F.col("key").alias("_key"), F.col("deleted").alias("_deleted")), "_key", "left")
-    others = others.select(*(F.col(f"`{c}`") for c in kept), "_text", "_html", "_deleted").mapInArrow(
-        cut, T.StructType([*(pages.schema[c] for c in kept), T.StructField(out, T.StringType())]))
-    return marked.unionByName(others)
+            texts = [main_text(page_lines(x)) for x in b.column("_html").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in [*kept, "_key"]), pa.array(texts, pa.string())], names=kind.names)
+
+    texts = (pages.select(*(F.col(f"`{c}`") for c in kept), key.alias("_key"), source.alias("_html")).mapInArrow(parse, kind)
+             .join(gone.select(F.col("key").alias("_key"), F.col("deleted").alias("_deleted")), "_key", "left"))
+    cut = F.expr("array_join(filter(split(_text, '\\n'), (x, i) -> NOT array_contains(_deleted, i)), '\\n')")
+    return texts.select(*(F.col(f"`{c}`") for c in kept), F.when(F.col("_deleted").isNull(), F.col("_text")).otherwise(cut).alias(out))

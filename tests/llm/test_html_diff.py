@@ -47,6 +47,19 @@ def test_unmarked_pages_lose_what_the_nearest_page_shares(spark):
     assert html_diff.extract(df).count() == len(rows) and html_diff.extract(df.limit(0)).count() == 0
 
 
+def test_articles_lose_what_the_nearest_page_shares(spark):
+    def page(body, beside=""):
+        return f"<html><body><nav>Menu</nav><div>Beside</div>{beside}<article><p>Share this text!</p>{body}<p>Notice of all</p></article></body></html>"
+
+    rows = [(k, f"http://h.org/a/{k}", page(f"<h1>Head {k}</h1><p>Own text of the page with the number {k}, long enough.</p>",
+                                             f"<aside><p>Head {k + 1}</p><p>Head {k - 1}</p></aside>")) for k in range(6)]
+    rows += [(k, f"http://copy.org/{k}", page("<p>Same article, long enough to hold most of the text, on two pages</p>")) for k in (10, 11)]
+    got = {r.page_id: r.text for r in html_diff.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    for k in range(6):
+        assert got[k] == f"Head {k}\nOwn text of the page with the number {k}, long enough."
+    assert got[10] == got[11] == "Share this text!\nSame article, long enough to hold most of the text, on two pages\nNotice of all"
+
+
 def test_articles_of_the_test_pages(spark):
     """Whole pages hold their document's lines."""
     import re
