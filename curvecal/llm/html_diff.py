@@ -5,8 +5,11 @@ A page becomes a sequence of lines, one per block. Elements that are never artic
 known by tag, role, class or id. Pages are sorted by host and path; each is paired with the
 neighbour of its host that shares most leading path parts, its lines are aligned with the
 neighbour's by a longest common subsequence, and shared lines are deleted, inside a marked
-article too (there only lines of the neighbour's text count). If the shared lines hold most
-of the page's text, the pair are copies and nothing is deleted.
+article too (there only lines of the neighbour's text count). A pair are copies if the shared
+lines hold most of both articles or nine tenths of both unmarked pages, in lines and in
+characters, or if one is the other's beginning. A page is then aligned with the next nearest
+page of its host, until one is no copy; it loses nothing if there is none, or if the page
+itself is the beginning that was cut off.
 
 Null and empty html, null urls (host and path empty) and pages without a neighbour are
 handled like others; a page without text gives the empty text. Pages that were cut off in
@@ -142,16 +145,36 @@ def common_lines(a: list[int], b: list[int]) -> list[int]:
     return out[::-1]
 
 
-def shared_places(zones: list[int], sizes: list[int], hashes: list[int], other_zones: list[int], other: list[int]) -> list[int]:
-    """Which lines of the page's text to delete (places in its text): shared ones, unless the pair are copies."""
+def _text_of(zones: list[int]) -> list[int]:
+    """Places of the lines that main_text keeps."""
     wanted = ARTICLE if ARTICLE in zones else OPEN
-    if wanted == ARTICLE:  # lists of other articles beside the neighbour's text say nothing about this one
-        zones, sizes, hashes = zip(*((z, n, h) for z, n, h in zip(zones, sizes, hashes) if z == ARTICLE))
-        other = [h for z, h in zip(other_zones, other) if z != OUTSIDE]
-    text = [i for i, z in enumerate(zones) if z == wanted]
-    gone = set(common_lines(hashes, other))
+    return [i for i, z in enumerate(zones) if z == wanted]
+
+
+def _most(shared: list[int], text: list[int], sizes: list[int], marked: bool) -> bool:
+    part, whole = sum(sizes[i] for i in shared), sum(sizes[i] for i in text)
+    return 2 * part > whole if marked else bool(shared) and 10 * part >= 9 * whole and 10 * len(shared) >= 9 * len(text)
+
+
+def shared_places(zones: list[int], sizes: list[int], hashes: list[int], other_zones: list[int], other_sizes: list[int],
+                  other: list[int]) -> list[int] | None:
+    """Which lines of the page's text to delete (places in its text): the shared ones; None if another page is to be tried."""
+    text, other_text, marked = _text_of(zones), _text_of(other_zones), ARTICLE in zones
+    if marked:  # lists of other articles beside the neighbour's text say nothing about this one
+        near = [h for z, h in zip(other_zones, other) if z != OUTSIDE]
+        gone = {text[k] for k in common_lines([hashes[i] for i in text], near)}
+    else:
+        gone = set(common_lines(hashes, other))
     shared = [k for k, i in enumerate(text) if i in gone]
-    return [] if 2 * sum(sizes[text[k]] for k in shared) > sum(sizes[i] for i in text) else shared
+    known = {hashes[text[k]] for k in shared}
+    own = _most([text[k] for k in shared], text, sizes, marked)
+    its = _most([i for i in other_text if other[i] in known], other_text, other_sizes, ARTICLE in other_zones)
+    if own and its:
+        return None
+    n = len(shared)
+    if (own or its) and [hashes[i] for i in text[:n]] == [other[i] for i in other_text[:n]] and n >= min(len(text), len(other_text)) - 1:
+        return None if its else []
+    return shared
 
 
 def main_text(lines: list[tuple[str, int]]) -> str:
@@ -194,28 +217,50 @@ def deletions(pages: DataFrame) -> DataFrame:
     placed = (ordered.withColumn("task", task).join(offsets, "task")
               .withColumn("n", F.col("before") + F.col("place").bitwiseAND(F.lit((1 << 33) - 1))).drop("task", "before", "place"))
     slim = placed.select("n", "host", F.split("path", "/").alias("parts"))
+    lines = placed.select("n", "key", "zones", "sizes", "hashes")
+    others = placed.select(F.col("n").alias("near"), F.col("zones").alias("other_zones"), F.col("sizes").alias("other_sizes"), F.col("hashes").alias("other"))
 
-    def beside(step, name):
-        return slim.select((F.col("n") - step).alias("n"), F.col("host").alias(f"{name}_host"), F.col("parts").alias(f"{name}_parts"))
+    def beside(name):
+        return slim.select(F.col("n").alias(name), F.col("host").alias(f"{name}_host"), F.col("parts").alias(f"{name}_parts"))
 
     def alike(name):
         return F.expr(f"""CASE WHEN {name}_host = host THEN size(filter(sequence(1, least(size(parts), size({name}_parts))),
             i -> slice(parts, 1, i) = slice({name}_parts, 1, i))) ELSE -1 END""")
 
-    near = slim.join(beside(-1, "p"), "n", "left").join(beside(1, "q"), "n", "left").select(
-        "n", F.coalesce(alike("p"), F.lit(-1)).alias("a"), F.coalesce(alike("q"), F.lit(-1)).alias("b")).where("a >= 0 OR b >= 0").select(
-        "n", F.when(F.col("a") >= F.col("b"), F.col("n") - 1).otherwise(F.col("n") + 1).alias("near"))
-    paired = (placed.select("n", "key", "zones", "sizes", "hashes").join(near, "n")
-              .join(placed.select(F.col("n").alias("near"), F.col("zones").alias("other_zones"), F.col("hashes").alias("other")), "near"))
-
     def align(batches):
         for b in batches:
-            columns = [b.column(c).to_pylist() for c in ("zones", "sizes", "hashes", "other_zones", "other")]
+            columns = [b.column(c).to_pylist() for c in ("zones", "sizes", "hashes", "other_zones", "other_sizes", "other")]
             gone = [shared_places(*row) for row in zip(*columns)]
-            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(gone, pa.list_(pa.int32()))], names=["key", "deleted"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("n", "key", "p", "q", "near")), pa.array(gone, pa.list_(pa.int32()))],
+                                             names=["n", "key", "p", "q", "near", "deleted"])
+
+    def aligned(sides):
+        """(n, key, p, q, near, deleted) of pages with the places p and q of the nearest pages before and behind that are left to try."""
+        near = sides.join(slim, "n").join(beside("p"), "p", "left").join(beside("q"), "q", "left").select(
+            "n", "p", "q", F.coalesce(alike("p"), F.lit(-1)).alias("a"), F.coalesce(alike("q"), F.lit(-1)).alias("b")).where("a >= 0 OR b >= 0").select(
+            "n", "p", "q", F.when(F.col("a") >= F.col("b"), F.col("p")).otherwise(F.col("q")).alias("near"))
+        return near.join(lines, "n").join(others, "near").select(
+            "n", "key", "p", "q", "near", "zones", "sizes", "hashes", "other_zones", "other_sizes", "other").mapInArrow(
+            align, "n bigint, key bigint, p bigint, q bigint, near bigint, deleted array<int>")
+
+    def next_sides(copies, known):
+        """Past a copy: where the copy itself has got to on that side, so that a row of copies is crossed in a few rounds."""
+        past = known.select(F.col("n").alias("near"), F.col("p").alias("near_p"), F.col("q").alias("near_q"))
+        return copies.join(past, "near", "left").select(
+            "n", F.when(F.col("near") == F.col("p"), F.coalesce("near_p", F.col("p") - 1)).otherwise(F.col("p")).alias("p"),
+            F.when(F.col("near") == F.col("q"), F.coalesce("near_q", F.col("q") + 1)).otherwise(F.col("q")).alias("q"))
 
-    return (paired.select("key", "zones", "sizes", "hashes", "other_zones", "other").mapInArrow(align, "key bigint, deleted array<int>")
-            .where(F.size("deleted") > 0))
+    with shuffle_files_freed(pages.sparkSession):
+        known = materialize(aligned(slim.select("n", (F.col("n") - 1).alias("p"), (F.col("n") + 1).alias("q"))), "page-pairs")
+        found = known.where(F.size("deleted") > 0).select("key", "deleted")
+        known = known.where("deleted IS NULL")
+        while not (copies := known.where("deleted IS NULL")).isEmpty():
+            sides = materialize(next_sides(copies, known), "page-sides")
+            tried = materialize(aligned(sides), "page-pairs")
+            found = found.unionByName(tried.where(F.size("deleted") > 0).select("key", "deleted"))
+            ended = sides.join(tried.select("n"), "n", "left_anti").withColumn("deleted", F.expr("CAST(array() AS array<int>)"))
+            known = materialize(known.where("deleted IS NOT NULL").unionByName(tried).unionByName(ended, allowMissingColumns=True), "page-known")
+    return found
 
 
 def extract(pages: DataFrame, html: str = "html", url: str = "url", out: str = "text") -> DataFrame:

@@ -60,6 +60,29 @@ def test_articles_lose_what_the_nearest_page_shares(spark):
     assert got[10] == got[11] == "Share this text!\nSame article, long enough to hold most of the text, on two pages\nNotice of all"
 
 
+def test_short_texts_under_long_menus_and_copies_with_other_neighbours(spark):
+    def page(body):
+        menu = "".join(f"<div>Entry {i} of a menu</div>" for i in range(15))
+        return f"<html><body>{menu}<div>{body}</div><div>Bottom of all pages, with a long line</div></body></html>"
+
+    texts = [f"Own text {k}. " + f"word{k} " * 28 for k in range(5)]
+    rows = [(k, f"http://h.org/{k}", page(x)) for k, x in enumerate(texts)]
+    # twenty copies in a row, one other page behind them; articles likewise
+    rows += [(100 + k, f"http://copy.org/{100 + k}", page(texts[0])) for k in range(20)] + [(120, "http://copy.org/120", page(texts[1]))]
+    rows += [(200 + k, f"http://both.org/{200 + k}", f"<article><p>{texts[k // 19]}</p><p>Notice</p></article>") for k in range(20)]
+    # a host of copies only; a page of nothing but the menu; a copy cut off in the middle
+    rows += [(300 + k, f"http://same.org/{300 + k}", page(texts[0])) for k in range(9)]
+    rows += [(5, "http://h.org/5", page("")), (6, "http://h.org/6", page("<p>" + "</p><p>".join(texts * 3) + "</p>")),
+             (7, "http://h.org/7", page("<p>" + "</p><p>".join(texts * 3))[:-80])]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)
+    got = {r.page_id: r.text for r in html_diff.extract(df).collect()}
+    assert {k: got[k] for k in range(5)} == {k: x.strip() for k, x in enumerate(texts)}
+    assert {got[100 + k] for k in range(20)} == {texts[0].strip()} and got[120] == texts[1].strip()
+    assert {got[300 + k] for k in range(9)} == {html_diff.main_text(html_diff.page_lines(rows[0][2]))} and got[5] == ""
+    assert texts[3].strip() in got[6] and texts[3].strip() in got[7]
+    assert {got[200 + k] for k in range(19)} == {texts[0].strip()} and got[219] == texts[1].strip()
+
+
 def test_articles_of_the_test_pages(spark):
     """Whole pages hold their document's lines."""
     import re
