@@ -10,7 +10,7 @@ and judges every document: a document is rejected if its score is under one half
 
 Null texts, empty texts and texts without a word get no votes; their score is the estimated
 share of good documents, so they are kept if most documents are good. Whole texts
-count; repeated rows count as often as they occur and get equal scores. With an empty table
+and whole words count: a word's shape with more than ``PIECE`` runs counts as several; repeated rows count as often as they occur and get equal scores. With an empty table
 every parameter keeps its starting value.
 """
 
@@ -27,26 +27,51 @@ from pyspark.sql import types as T
 SAMPLE = 8_000
 BUCKETS = 1 << 11
 BELIEF = 20
+PIECE = 8  #: runs of a shape in the scorer; longer shapes are several
+CACHED = 64  #: characters of the longest words whose shapes are remembered
 GOOD, BAD, NONE = 1, -1, 0
 
 _shapes: dict[str, str] = {}
 
 
 def shape(word: str) -> str:
-    """Runs of character kinds: A upper, a lower, 0 digit, other characters as they are."""
+    """Runs of character kinds in the whole word: A upper, a lower, 0 digit, other characters as they are."""
     found = _shapes.get(word)
     if found is None:
         out = []
-        for c in word[:64]:
+        for c in word:
             k = "0" if c.isdigit() else ("A" if c.isupper() else "a") if c.isalpha() else c
             if not out or out[-1] != k:
                 out.append(k)
-        if len(_shapes) > 300_000:
-            _shapes.clear()
-        found = _shapes[word] = "".join(out[:8])
+        found = "".join(out)
+        if len(word) <= CACHED:
+            if len(_shapes) > 300_000:
+                _shapes.clear()
+            _shapes[word] = found
     return found
 
 
+def pieces(s: str) -> list[str]:
+    """A shape of more than PIECE runs as several shapes."""
+    return [s[i:i + PIECE] for i in range(0, len(s), PIECE)]
+
+
+def split_counts(counts: Counter) -> tuple[Counter, int]:
+    """Counts with long shapes in pieces, and how many pieces there are beyond one a shape."""
+    out, more = Counter(), 0
+    for key, k in counts.items():
+        if isinstance(key, tuple):
+            out[key[0] if len(key[0]) <= PIECE else pieces(key[0])[-1], key[1][:PIECE]] += k
+        elif len(key) <= PIECE:
+            out[key] += k
+        else:
+            parts = pieces(key)
+            more += k * (len(parts) - 1)
+            for x in (*parts, *zip(parts, parts[1:])):
+                out[x] += k
+    return out, more
+
+
 def describe(text: str | None) -> tuple[list[str], Counter, int]:
     """Words, counts of their shapes and neighbouring shapes, words equal to the one before."""
     words = text.split() if text else []
@@ -72,10 +97,13 @@ def votes(text: str | None, known: tuple | None = None) -> list[int]:
     n = len(words)
     if n == 0:
         return [NONE] * len(LABELLERS)
-    upper = marked = bare = plain = ends = 0
+    upper = marked = bare = plain = ends = size = 0
     for s, k in counts.items():
         if isinstance(s, tuple):
             continue
+        ends += k * (s[-1] in ".!?")
+        k *= -(-len(s) // PIECE)  # long words weigh as their pieces
+        size += k
         kinds = s.strip("([{<\"'«“‘„")
         tail = s[-1]
         if kinds[:1] not in ("a", "A", "0"):
@@ -84,16 +112,14 @@ def votes(text: str | None, known: tuple | None = None) -> list[int]:
             upper += k
         elif kinds.rstrip(".,;:!?)]}\"'»”’…") in ("a", "Aa", "0", "a-a", "a'a", "a’a"):
             plain += k
-        if tail in ".!?":
-            ends += k
         if kinds[:1] in ("a", "A") and tail not in "aA0.,;:?)\"'»”’":
             marked += k
     lines = [x for x in text.split("\n") if x.strip()]
     line_share = 1 - len(set(lines)) / len(lines) if len(lines) > 1 else 0.0
     gap = n / max(1, ends)
     return [
-        _vote(upper / n, 0.2, 0.5), _vote(marked / n, 0.1, 0.4), _vote(bare / n, 0.05, 0.2),
-        _vote(1 - plain / n, 0.2, 0.4), _vote(same / n, 0.05, 0.25),
+        _vote(upper / size, 0.2, 0.5), _vote(marked / size, 0.1, 0.4), _vote(bare / size, 0.05, 0.2),
+        _vote(1 - plain / size, 0.2, 0.4), _vote(same / n, 0.05, 0.25),
         _vote(1 - len(set(words)) / n, 0.6, 0.85) if n >= 30 else NONE,
         _vote(max(gap / 60, 1.2 / gap), 1.0, 1.1) if n >= 20 else NONE,
         _vote(line_share, 0.3, 0.7) if len(lines) >= 4 else NONE,
@@ -139,6 +165,9 @@ def features(counts: Counter, n: int, same: int) -> tuple[np.ndarray, np.ndarray
     """Buckets and square roots of shares."""
     if n == 0:
         return np.zeros(0, np.int64), np.zeros(0)
+    if any(len(k) > PIECE if isinstance(k, str) else len(k[0]) > PIECE or len(k[1]) > PIECE for k in counts):
+        counts, more = split_counts(counts)
+        n += more
     items = [*counts.items(), ("=", same), ("*", len(counts))]
     at = np.fromiter((zlib.crc32(str(k).encode("utf-8", "replace")) % BUCKETS for k, _ in items), np.int64, len(items))
     return at, np.sqrt(np.fromiter((v for _, v in items), float, len(items)) / n)

@@ -48,3 +48,17 @@ def test_odd_texts_and_empty_table(spark):
     empty = quality.fit(df.limit(0))
     assert quality.classify(df, empty).where("keep").count() == len(rows)
     assert quality.classify(df.limit(0), empty).count() == 0
+
+
+def test_long_words_count_to_their_end():
+    clean, junk = "a" * 64, "a" * 64 + "#$%&" * 5_000
+    assert quality.shape(clean) == "a" and quality.shape(junk).endswith("#$%&") and junk not in quality._shapes
+    a, b = (dict(zip(*map(list, quality.features(c, len(w), s)))) for w, c, s in map(quality.describe, (clean, junk)))
+    assert a != b and max(b.values()) < 1.5
+    assert quality.votes("word " * 99 + clean)[3] == quality.GOOD and quality.votes("word " * 99 + junk)[3] == quality.BAD
+    text = " ".join(["a-b" * 8 + "."] * 5 + ["word"] * 95)
+    no_ends = text.replace(".", "")
+    at = quality.LABELLERS.index("sentence_ends")
+    assert quality.votes(text)[at] == quality.GOOD and quality.votes(no_ends)[at] != quality.votes(text)[at]
+    words, counts, same = quality.describe("Plain words, as they were.")
+    assert quality.split_counts(counts) == (counts, 0)
