@@ -233,7 +233,8 @@ def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Model:
     total = sum(r.n for r in seen)
     cells = 1 << 20
     share = min(cells, int(cells * sample / max(1, total)) + 1)
-    chosen = source.where(F.pmod(F.xxhash64("text"), F.lit(cells)) < share)
+    cell = F.pmod(F.xxhash64("text"), F.lit(cells))
+    chosen = source.where(cell < share).distinct().withColumn("cell", cell)
 
     def describe_rows(batches):
         for b in batches:
@@ -244,12 +245,12 @@ def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Model:
                 at, x = features(known[1], len(known[0]), known[2])
                 out.append((at.tolist(), x.tolist(), pattern(votes(t, known))))
             yield pa.RecordBatch.from_pydict({
-                "at": pa.array([o[0] for o in out], pa.list_(pa.int64())), "x": pa.array([o[1] for o in out], pa.list_(pa.float64())),
+                "cell": b.column("cell"), "text": b.column("text"), "at": pa.array([o[0] for o in out], pa.list_(pa.int64())), "x": pa.array([o[1] for o in out], pa.list_(pa.float64())),
                 "pattern": pa.array([o[2] for o in out], pa.int32())})
 
     # a text that occurs very often comes once: its copies have one hash and would crowd out the rest
-    rows = (chosen.distinct().mapInArrow(describe_rows, "at array<bigint>, x array<double>, pattern int")
-            .limit(sample).toLocalIterator())
+    rows = (chosen.mapInArrow(describe_rows, "cell bigint, text string, at array<bigint>, x array<double>, pattern int")
+            .orderBy("cell", "text").limit(sample).select("at", "x", "pattern").toLocalIterator())
     scorer = fit_scorer([(np.array(r.at, np.int64), np.array(r.x), posterior[r.pattern]) for r in rows])
     scorer.blank = report["prior"]
     return Model(scorer, report)

@@ -62,3 +62,9 @@ def test_long_words_count_to_their_end():
     assert quality.votes(text)[at] == quality.GOOD and quality.votes(no_ends)[at] != quality.votes(text)[at]
     words, counts, same = quality.describe("Plain words, as they were.")
     assert quality.split_counts(counts) == (counts, 0)
+
+
+def test_sample_does_not_depend_on_partitions(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("text")
+    a, b = (quality.fit(docs.repartition(n), sample=40).scorer for n in (2, 7))
+    assert np.array_equal(a.weights, b.weights) and a.bias == b.bias
