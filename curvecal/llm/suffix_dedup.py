@@ -18,8 +18,9 @@ together without sending each of the many overlapping windows:
 4. A document loses the bytes under its repeated windows.
 
 Anchors that a bounded sample of documents (``HOT_SAMPLE``) shows in over one percent of them
-are dealt out window by window instead, so that a passage in a third of all documents is no
-hot key; this only decides the way, the result is the same.
+are dealt out window by window instead, by two independent 64-bit hashes of the window, so
+that a passage in a third of all documents is no hot key; this only decides the way, the
+result is the same.
 
 Null and empty texts keep zero bytes. Rows with a null id are returned whole and are no
 source. A repeated id must repeat its text; windows repeated inside one document stay. Texts
@@ -77,7 +78,18 @@ def records(texts: list[bytes], length: int, gram: int):
     hi = np.flatnonzero(last)
     who = owner[lo]
     return (who, lo - begin[who], hi - lo + 1, h[anchor[lo]], stretch_hashes(prefix, lo, hi + length),
-            lambda p: stretch_hashes(prefix, begin[p[0]] + p[1], begin[p[0]] + p[1] + length))
+            lambda p: (stretch_hashes(prefix, begin[p[0]] + p[1], begin[p[0]] + p[1] + length), byte_hashes(data, begin[p[0]] + p[1], length)))
+
+
+def byte_hashes(data: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of stretches chained over eight bytes at a time, independent of the polynomial ones."""
+    out = np.full(len(start), length, np.uint64)
+    for k in range(0, length, 8):
+        word = np.zeros((len(start), 8), np.uint8)
+        width = min(8, length - k)
+        word[:, :width] = data[start[:, None] + np.arange(k, k + width)]
+        out = mix(out * np.uint64(0x9FB21C651E98DF25) ^ mix(word.view(np.uint64)[:, 0] + np.uint64(k + 1)))
+    return out
 
 
 def _blocks(ids, texts):
@@ -282,8 +294,8 @@ def repeated_windows(docs: DataFrame, parts: int, length: int = LENGTH, gram: in
                 if is_hot.any():
                     w, m = np.repeat(who[is_hot], n[is_hot]), n[is_hot]
                     p = np.repeat(lo[is_hot], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-                    h = single((w, p))
-                    waiting.append(Records(ids[w], p, np.ones(len(p)), mix(h), h))
+                    h, second = single((w, p))
+                    waiting.append(Records(ids[w], p, np.ones(len(p)), mix(h), second))
                 size += sum(len(r.doc) for r in waiting[-2:])
                 if size >= FLUSH:
                     yield from flush()

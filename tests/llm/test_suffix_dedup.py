@@ -81,3 +81,14 @@ def test_packed_records():
     r = suffix_dedup.Records([-5, 1 << 40], [3, 70000], [1, 0xFFFFFFFF], [9, (1 << 64) - 1], [0, 7])
     again = suffix_dedup.Records.unpack(r.pack())
     assert all((a == b).all() for a, b in zip(r.columns, again.columns))
+
+
+def test_hot_windows_have_two_hashes(monkeypatch):
+    """Windows whose first hashes collide are not copies; they stay open for the suffix sort."""
+    monkeypatch.setattr(suffix_dedup, "stretch_hashes", lambda prefix, start, end: np.full(len(start), 7, np.uint64))
+    texts = [bytes(range(40, 100)), bytes(range(50, 110)), bytes(range(40, 100))]
+    *_, single = suffix_dedup.records(texts, 50, 20)
+    h, second = single((np.array([0, 1, 2, 0]), np.array([0, 0, 0, 10])))
+    assert len(set(h.tolist())) == 1 and second[0] == second[2] != second[1] == second[3]
+    copies, rest = suffix_dedup.split_copies(suffix_dedup.Records([0, 1, 2], [0, 0, 0], [1, 1, 1], h[:3], second[:3]))
+    assert copies.doc.tolist() == [2] and sorted(rest.doc.tolist()) == [0, 1]
