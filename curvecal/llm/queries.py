@@ -3,7 +3,8 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curvecal.llm import decontaminate, hamming, html_diff, jaccard_join, language, piece_bpe, quality, secrets, sqltext, suffix_dedup, url_reputation
+from curvecal.llm import (decontaminate, hamming, html_diff, jaccard_join, language, piece_bpe, quality, secrets, sqltext,
+                          suffix_dedup, token_files, url_reputation)
 from curvecal.llm.common import table, text_or_empty
 from curvecal.session import ship_package
 
@@ -123,3 +124,15 @@ def op10(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return quality.classify(docs, quality.fit(docs)).select(
         "doc_id", F.round("quality_score", 6).alias("quality_score"), "keep")
+
+
+def byte_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query("op11_token_files")
+def op11(spark, folder):
+    files = token_files.write(table(spark, folder, "documents").select("doc_id", "text"), byte_tokenizer(), end_id=2)
+    return token_files.read(files).select(F.col("key").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
