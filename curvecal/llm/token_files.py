@@ -22,7 +22,6 @@ import itertools
 import os
 import re
 import uuid
-from array import array
 from typing import NamedTuple
 
 import numpy as np
@@ -35,8 +34,9 @@ from pyspark.sql import types as T
 from curvecal.session import attach, new_path
 
 WINDOW = 1 << 20  # characters cut into stretches at a time
-SHORT = 32        # longer stretches are not remembered
-REMEMBERED = 200_000
+REMEMBERED = 500_000  # stretches, and
+REMEMBERED_CHARS = 8 << 20  # their characters, that a worker keeps at most before it starts anew
+RUN_ON = 2_000  # stretches given to the library as one text
 READ_BYTES = 16 << 20
 
 ASCII_SPACE = " \t\n\r\x0b\x0c"
@@ -71,10 +71,14 @@ def stretches(text: str) -> list[str]:
 
 
 class _Numbers(dict):
-    """Numbers its keys in order of appearance."""
+    """Numbers stretches in order of appearance and lists those it had not met."""
 
-    def __missing__(self, key):
-        self[key] = n = len(self)
+    def __init__(self):
+        self.fresh: list[str] = []
+
+    def __missing__(self, piece):
+        self[piece] = n = len(self)
+        self.fresh.append(piece)
         return n
 
 
@@ -86,39 +90,67 @@ class Coder:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         self.tokenizer = Tokenizer.from_file(path)
-        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {}
-
-    def _ids(self, pieces: list[str]) -> list[bytes]:
-        found = [self.known.get(p) for p in pieces]
-        unknown = [i for i, ids in enumerate(found) if ids is None]
-        if unknown:
-            if len(self.known) + len(unknown) > REMEMBERED:
-                self.known = {}
-            coded = self.tokenizer.encode_batch_fast([pieces[i] for i in unknown], add_special_tokens=False)
-            for i, entry in zip(unknown, coded):
-                found[i] = np.array(entry.ids, self.kind).tobytes()
-                if len(pieces[i]) <= SHORT:
-                    self.known[pieces[i]] = found[i]
-        return found
+        vocabulary = self.tokenizer.get_vocab()
+        self.kind = np.dtype("<u2" if len(vocabulary) <= 1 << 16 else "<u4")
+        # a byte-level token has a character for each of its bytes
+        self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.bytes[list(vocabulary.values())] = [len(t) for t in vocabulary]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.numbers, self.chars = _Numbers(), 0
+        self.first, self.width = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.known = np.zeros(0, self.kind)
+
+    def _run_on(self, pieces: list[str]):
+        """Ids and widths of stretches that may stand one behind the other: the library is called for many at once."""
+        size = np.array([len(p) if p.isascii() else len(p.encode()) for p in pieces])
+        joined = ["".join(pieces[at:at + RUN_ON]) for at in range(0, len(pieces), RUN_ON)]
+        coded = self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)
+        ids = np.concatenate([np.array(e.ids, self.kind) for e in coded])
+        ends = np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum(size)) + 1
+        if int(self.bytes[ids].sum()) != int(size.sum()):
+            raise ValueError("not a byte-level vocabulary")
+        return ids, np.diff(ends, prepend=0)
+
+    def _learn(self) -> None:
+        """Ids of the stretches met for the first time."""
+        fresh, self.numbers.fresh = self.numbers.fresh, []
+        if not fresh:
+            return
+        self.chars += sum(map(len, fresh))
+        alone = [p[0] not in ASCII_SPACE or p[-1].isspace() for p in fresh]
+        width, parts = np.zeros(len(fresh), np.int64), []
+        single = [p for p, a in zip(fresh, alone) if a]
+        alone = np.array(alone)
+        if single:
+            coded = self.tokenizer.encode_batch_fast(single, add_special_tokens=False)
+            width[alone] = [len(e) for e in coded]
+            parts += [np.array(e.ids, self.kind) for e in coded]
+        if len(single) < len(fresh):
+            ids, width[~alone] = self._run_on([p for p, a in zip(fresh, alone) if not a])
+            parts.append(ids)
+        first, order = np.zeros(len(fresh), np.int64), np.concatenate((np.flatnonzero(alone), np.flatnonzero(~alone)))
+        first[order] = len(self.known) + np.cumsum(width[order]) - width[order]
+        self.known = np.concatenate((self.known, *parts))
+        self.first, self.width = np.concatenate((self.first, first)), np.concatenate((self.width, width))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of some texts, and how many each text has."""
-        numbers, order, size = _Numbers(), array("q"), []
+        if len(self.numbers) > REMEMBERED or self.chars > REMEMBERED_CHARS:
+            self._forget()
+        number, order, size = self.numbers, [], []
         for text in texts:
-            before = len(order)
-            order.extend([numbers[p] for p in stretches(text)])
-            size.append(len(order) - before)
-        ids = self._ids(list(numbers))
-        width = np.fromiter((len(b) for b in ids), np.int64, len(ids)) // self.kind.itemsize
-        first = np.cumsum(width) - width
-        order = np.frombuffer(order, np.int64)
-        each = width[order]
+            codes = [number[p] for p in stretches(text)]
+            size.append(len(codes))
+            order += codes
+        self._learn()
+        order = np.array(order, np.int64)
+        each = self.width[order]
         end = np.cumsum(each)
-        places = np.arange(end[-1] if len(end) else 0) + np.repeat(first[order] - (end - each), each)
-        flat = np.frombuffer(b"".join(ids), self.kind)[places]
+        places = np.arange(end[-1] if len(end) else 0) + np.repeat(self.first[order] - (end - each), each)
         ends = np.concatenate(([0], end))[np.concatenate(([0], np.cumsum(size, dtype=np.int64)))]
-        return flat, np.diff(ends)
+        return self.known[places], np.diff(ends)
 
 
 _coders: dict[str, Coder] = {}
