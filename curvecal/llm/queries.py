@@ -3,10 +3,10 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curvecal.llm import (decontaminate, hamming, html_diff, jaccard_join, language, piece_bpe, quality, secrets, sqltext,
-                          suffix_dedup, token_files, url_reputation)
+from curvecal.llm import (conversation_trie, decontaminate, hamming, hard_negatives, html_diff, jaccard_join, language, piece_bpe,
+                          quality, secrets, sqltext, suffix_dedup, token_files, url_reputation)
 from curvecal.llm.common import table, text_or_empty
-from curvecal.session import ship_package
+from curvecal.session import materialize, ship_package
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -136,3 +136,19 @@ def byte_tokenizer() -> str:
 def op11(spark, folder):
     files = token_files.write(table(spark, folder, "documents").select("doc_id", "text"), byte_tokenizer(), end_id=2)
     return token_files.read(files).select(F.col("key").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op12_conversation_trie", sqltext.OP12)
+def op12(spark, folder):
+    sequences = conversation_trie.encode_turns(table(spark, folder, "conversations"))
+    rebuilt = conversation_trie.share_heads(
+        sequences, F.expr("conv_id - conv_id % 100"), F.expr("crc32(CAST(conv_id AS string)) % 6"))
+    return conversation_trie.build(materialize(rebuilt, "rebuilt")).drop("turn_id")
+
+
+@query("op13_hard_negatives", sqltext.OP13)
+def op13(spark, folder):
+    rows = table(spark, folder, "embeddings").select(
+        F.col("vec_id").alias("id"), F.expr("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END").alias("label"),
+        hard_negatives.scaled("embedding", 256).alias("vector"))
+    return hard_negatives.mine(rows, rows.where("id % 100 = 0"))

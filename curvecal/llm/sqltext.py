@@ -66,3 +66,47 @@ SELECT h.doc_id, h.n::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed,
     substr(x, (2 * CASE WHEN i = 1 THEN 0 ELSE ends[i - 1] END + 1)::BIGINT,
       (2 * (CASE WHEN i = runs + 1 THEN h.n ELSE starts[i] END - CASE WHEN i = 1 THEN 0 ELSE ends[i - 1] END))::BIGINT)), '') END)) AS kept_sha256
 FROM h LEFT JOIN p USING (doc_id)"""
+
+
+# crc32 of a number's decimal form: the register takes each byte and then moves eight times (marked by -1).
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(range(1, length(s) + 1),
+    lambda i: list_prepend(ord(s[i])::BIGINT, [-1::BIGINT, -1, -1, -1, -1, -1, -1, -1])))),
+    lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384::BIGINT) ELSE a >> 1 END), 4294967295::BIGINT)"""
+
+OP12 = f"""WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+    sha256(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT DISTINCT conv_id, conv_id - conv_id % 100 AS base, CAST(conv_id AS VARCHAR) AS s FROM t),
+h AS (SELECT conv_id, base, {_CRC} % 6 AS head FROM c),
+r AS (SELECT h.conv_id, 0 AS own, pos, role, text FROM h JOIN t ON t.conv_id = h.base AND t.pos <= h.head
+  UNION ALL SELECT h.conv_id, 1, pos, role, text FROM h JOIN t ON t.conv_id = h.conv_id WHERE t.pos > h.head),
+q AS (SELECT conv_id, row_number() OVER w AS d, length(text) AS len,
+  sha256(string_agg(length(role)::VARCHAR || ':' || role || length(text)::VARCHAR || ':' || text, '') OVER w) AS key
+  FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY own, pos ROWS UNBOUNDED PRECEDING)),
+m AS (SELECT conv_id, 0 AS d, '' AS key, 0 AS len FROM h UNION ALL SELECT conv_id, d, key, len FROM q),
+n AS (SELECT d, key, min(conv_id) AS conv_id, count(*) AS n, max(len) AS len FROM m GROUP BY d, key),
+k AS (SELECT p.d, p.key, count(*) AS kids FROM n JOIN m p ON p.conv_id = n.conv_id AND p.d = n.d - 1 GROUP BY p.d, p.key),
+u AS (SELECT p.d, p.key, count(*) FILTER (WHERE k.kids IS NULL) AS leaves, sum((n.n - 1) * n.len) AS saved
+  FROM n LEFT JOIN k ON k.d = n.d AND k.key = n.key JOIN m p ON p.conv_id = n.conv_id AND p.d <= n.d GROUP BY p.d, p.key),
+l AS (SELECT conv_id, max(d) AS d FROM m GROUP BY conv_id),
+e AS (SELECT m.d, m.key, sha256(string_agg(CAST(m.conv_id AS VARCHAR), ',' ORDER BY m.conv_id)) AS ends
+  FROM m JOIN l ON l.conv_id = m.conv_id AND l.d = m.d GROUP BY m.d, m.key)
+SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, a.conv_id AS parent_conv_id, CAST(n.n AS BIGINT) AS n_convs,
+  CAST(coalesce(k.kids, 0) AS BIGINT) AS n_children, CAST(u.leaves AS BIGINT) AS n_leaves,
+  CAST(u.saved AS BIGINT) AS saved_tokens, coalesce(e.ends, sha256('')) AS ends_sha256
+FROM n JOIN u USING (d, key) LEFT JOIN k USING (d, key) LEFT JOIN e USING (d, key)
+LEFT JOIN m p ON p.conv_id = n.conv_id AND p.d = n.d - 1 LEFT JOIN n a ON a.d = p.d AND a.key = p.key"""
+
+OP13 = """WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+  list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+  CAST(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i])) AS BIGINT) AS score
+  FROM r a JOIN r b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS "rank", vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 100 * score BETWEEN 30 * positive_score AND 90 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)
+QUALIFY row_number() OVER w <= 10"""
