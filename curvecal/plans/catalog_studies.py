@@ -11,7 +11,7 @@ from curvecal.operators.baseline import baseline_subtract
 from curvecal.plans import sqltext as Q
 from curvecal.plans import studies
 from curvecal.plans.registry import query, r6
-from curvecal.session import new_path
+from curvecal.session import materialize, new_path
 from curvecal.sources import adapters as AD
 from curvecal.sources import scans
 from curvecal.streaming import scoring
@@ -165,11 +165,17 @@ def stream_score(spark, folder):
 
 
 @query("stream_alerts", f"""
-WITH b AS (SELECT date_trunc('hour', ts) AS w, count(*) AS n, count(*) FILTER (WHERE value > {THRESHOLD_PPB}) AS alerts
-  FROM events GROUP BY 1)
-SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, n, alerts FROM b""")
+WITH {Q.CURVES}, {Q.window_points(-0.3078, -0.0629)}, {Q.features()},
+m AS (SELECT regr_slope(ppb, "Ip_corr") AS b, regr_intercept(ppb, "Ip_corr") AS a FROM f),
+r AS (SELECT date_trunc('hour', e.ts) AS w, a + b * "Ip_corr" AS p FROM events e JOIN f ON f.sample_id = CAST(e.user_id AS VARCHAR), m)
+SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS n, count(*) FILTER (WHERE p > {THRESHOLD_PPB}) AS alerts
+FROM r GROUP BY w""")
 def stream_alerts(spark, folder):
-    """All windows of a bounded input, the last ones closed at its end."""
-    stream = scoring.stream_parquet(spark, folder, "events.parquet", EVENTS)
-    counts = scoring.drain(scoring.alert_counts(stream.withColumn("ts", F.col("ts").cast("timestamp"))), "alerts", close=True)
+    """Predictions above the threshold per hour: readings of a bounded stream meet the scores of their curves."""
+    curves = AD.curves(spark, folder).select("sample_id", "cur")
+    scored = materialize(scoring.score_curves(curves, GRID, peak_fit(spark, folder), ["sample_id"], ["Ip_corr"]), "scored")
+    times = scoring.stream_parquet(spark, folder, "events.parquet", EVENTS).select(
+        F.col("user_id").cast("string").alias("sample_id"), F.col("ts").cast("timestamp").alias("ts"))
+    log = scoring.AlertLog(new_path(spark, "alerts"), new_path(spark, "alerts-progress"), value="y_pred")
+    counts = log.run(scoring.timed_scores(times, scored), close=True)
     return counts.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "n", "alerts")

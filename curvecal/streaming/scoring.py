@@ -1,6 +1,9 @@
 """Scoring and alerting over streams of curves and readings."""
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+from dataclasses import dataclass, field
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,31 +31,110 @@ def score_curves(curves: DataFrame, grid: list[float], fit: LinearFit, meta: lis
         "alert", F.when(~F.isnan("y_pred"), (F.col("y_pred") > THRESHOLD_PPB).cast("int")))
 
 
+def timed_scores(times: DataFrame, scored: DataFrame, key: str = "sample_id") -> DataFrame:
+    """Predictions at the times their curves were read: a stream of (key, ts, ...) meets a table of scores.
+
+    A curve read at several times counts each time; times of unknown curves are left out.
+    """
+    return times.join(scored.select(key, "y_pred"), key)
+
+
 def alert_counts(readings: DataFrame, ts: str = "ts", value: str = "value", by: list[str] = (),
-                 threshold: float = THRESHOLD_PPB, window: str = "1 hour",
-                 delay: str = "10 minutes") -> DataFrame:
-    """Readings above the threshold per tumbling window; later than ``delay`` is dropped."""
-    return (readings.withWatermark(ts, delay)
-            .groupBy(F.window(ts, window), *by)
-            .agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.isnan(value) & (F.col(value) > threshold)).alias("alerts"))
+                 threshold: float = THRESHOLD_PPB, window: str = "1 hour", delay: str = "10 minutes",
+                 counted: Column | None = None) -> DataFrame:
+    """Readings above the threshold per tumbling window; later than ``delay`` is dropped.
+
+    Missing and undefined readings count as readings, never as alerts. Rows without a time have no
+    window. Rows that are not ``counted`` only move the watermark.
+    """
+    counted = F.lit(True) if counted is None else counted
+    high = counted & ~F.isnan(value) & (F.col(value) > threshold)
+    return (readings.withWatermark(ts, delay).groupBy(F.window(ts, window), *by)
+            .agg(F.count_if(counted).alias("n"), F.count_if(high).alias("alerts")).where("n > 0")
             .select(F.col("window.start").alias("window_start"), *by, "n", "alerts"))
 
 
-def drain(stream: DataFrame, label: str, output: str | None = None, progress: str | None = None,
-          close: bool = False) -> DataFrame:
+def drain(stream: DataFrame, label: str, output: str | None = None, progress: str | None = None) -> DataFrame:
     """Run a stream over all input present now into a Parquet table, and read that table.
 
     With ``output`` and ``progress`` given again, a later call goes on where the last one
-    stopped and reads only new files. ``close`` is for the end of a bounded input: windows
-    still open are written too (the whole counts, as of the last batch, replace the table).
+    stopped and reads only new files.
     """
     spark = stream.sparkSession
     path = output or new_path(spark, label)
-    writer = (stream.writeStream.option("checkpointLocation", progress or path + "-progress").trigger(availableNow=True))
-    if close:
-        query = writer.outputMode("complete").foreachBatch(
-            lambda rows, _: rows.write.mode("overwrite").parquet(path)).start()
-    else:
-        query = writer.format("parquet").outputMode("append").option("path", path).start()
+    query = (stream.writeStream.option("checkpointLocation", progress or path + "-progress").trigger(availableNow=True)
+             .format("parquet").outputMode("append").option("path", path).start())
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
+
+
+def write_batch(path: str):
+    """Sink of a stream: each batch is one folder named by its number, so a repeated batch replaces itself."""
+    def write(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
+    return write
+
+
+@dataclass
+class AlertLog:
+    """Alert counts of a stream that is read in several runs, every window written once.
+
+    A window is written when the watermark has passed its end, and its state is dropped then.
+    ``run`` reads all input present now and goes on where the last run stopped. ``close``
+    ends a bounded input: a tick is put into the stream behind the newest reading, just late
+    enough to move the watermark past that reading's window. Ticks are not counted, late readings stay
+    dropped, and readings of later windows may still follow in a later run.
+    """
+    output: str
+    progress: str
+    ts: str = "ts"
+    value: str = "value"
+    by: tuple[str, ...] = ()
+    threshold: float = THRESHOLD_PPB
+    window: str = "1 hour"
+    delay: str = "10 minutes"
+    seen: list[dict] = field(default_factory=list)
+
+    def run(self, readings: DataFrame, close: bool = False) -> DataFrame:
+        """The counts of all windows finished so far."""
+        needed = readings.select(F.col(self.ts).cast("timestamp").alias(self.ts), F.col(self.value).cast("double").alias(self.value),
+                                 *self.by, F.lit(False).alias("tick"))
+        spark = needed.sparkSession
+        spark.createDataFrame([], needed.schema).write.mode("ignore").parquet(f"{self.progress}/ticks")
+        self._advance(needed)
+        if close:
+            newest = spark.read.schema("ts timestamp").parquet(f"{self.progress}/newest").agg(F.max("ts").alias("ts"))
+            end = F.window("ts", self.window)["end"] + F.expr(f"INTERVAL {self.delay}")
+            empty = {f.name: F.lit(None).cast(f.dataType) for f in needed.schema}
+            row = newest.where("ts IS NOT NULL").select(end.alias("__end")).withColumns(
+                empty | {self.ts: F.col("__end"), "tick": F.lit(True)}).select(*needed.columns)
+            row.write.mode("append").parquet(f"{self.progress}/ticks")
+            self._advance(needed)
+        return self.read(spark, readings)
+
+    def read(self, spark: SparkSession, readings: DataFrame) -> DataFrame:
+        kinds = [T.StructField("window_start", T.TimestampType()), *(readings.schema[c] for c in self.by),
+                 T.StructField("n", T.LongType()), T.StructField("alerts", T.LongType())]
+        return spark.read.schema(T.StructType(kinds)).parquet(self.output).select(*(k.name for k in kinds))
+
+    def _counts(self, needed: DataFrame) -> DataFrame:
+        ticks = needed.sparkSession.readStream.schema(needed.schema).parquet(f"{self.progress}/ticks")
+        noted = needed.observe("readings", F.max(F.unix_micros(self.ts)).alias("newest"))
+        return alert_counts(noted.unionByName(ticks), self.ts, self.value, self.by, self.threshold, self.window, self.delay,
+                            ~F.col("tick"))
+
+    def _advance(self, needed: DataFrame) -> None:
+        spark = needed.sparkSession
+        query = (self._counts(needed).writeStream.outputMode("append").trigger(availableNow=True)
+                 .option("checkpointLocation", f"{self.progress}/state").foreachBatch(write_batch(self.output)).start())
+        query.awaitTermination()
+        self.seen = [json.loads(p.json) for p in query.recentProgress]
+        # the newest reading: what this run saw, or what its watermark kept of a run that ended before this was written
+        micros = [p["observedMetrics"]["readings"]["newest"] for p in self.seen if "readings" in p.get("observedMetrics", {})]
+        known = [F.timestamp_micros(F.lit(m).cast("bigint")) for m in micros if m is not None]
+        ticked = spark.read.schema(needed.schema).parquet(f"{self.progress}/ticks").agg(F.max(self.ts).alias("tick"))
+        marks = [F.to_timestamp(F.lit(p["eventTime"]["watermark"])) + F.expr(f"INTERVAL {self.delay}")
+                 for p in self.seen if p.get("eventTime", {}).get("watermark", "1970") > "1971"]
+        known += [F.when(F.col("tick").isNull() | (m > F.col("tick")), m) for m in marks]
+        none = F.lit(None).cast("timestamp")
+        ticked.select(F.greatest(none, none, *known).alias("ts")).write.mode("append").parquet(f"{self.progress}/newest")
