@@ -33,3 +33,10 @@ def shuffle_files_freed(spark: SparkSession):
 def total_bytes(df: DataFrame, column: str = "text") -> int:
     """Bytes of text in a table: one narrow scan and one number on the driver."""
     return df.agg(F.sum(F.octet_length(F.col(column)))).first()[0] or 0
+
+
+def unused_names(taken: list[str], count: int) -> list[str]:
+    """Column names that differ from ``taken`` in more than case."""
+    taken = {c.lower() for c in taken}
+    names = (f"_{i}" for i in range(len(taken) + count))
+    return [n for n in names if n not in taken][:count]

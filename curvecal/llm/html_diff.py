@@ -4,8 +4,10 @@ A page becomes a sequence of lines, one per block. Elements that are never artic
 (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments) are
 known by tag, role, class or id. Pages are sorted by host and path; each is paired with the
 neighbour of its host that shares most leading path parts, its lines are aligned with the
-neighbour's by a longest common subsequence, and shared lines are deleted, inside a marked
-article too (there only lines of the neighbour's text count). A pair are copies if the shared
+neighbour's by a longest common subsequence, and shared lines are deleted. Inside a marked article
+only lines of the neighbour's text count, and one neighbour is not enough: a line goes if at
+least three articles of the host and more than half of them hold it too, where articles that agree in
+their other lines count once. A pair are copies if the shared
 lines hold most of both articles or nine tenths of both unmarked pages, in lines and in
 characters, or if one is the other's beginning. A page is then aligned with the next nearest
 page of its host, until one is no copy; it loses nothing if there is none, or if the page
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from curvecal.llm.common import shuffle_files_freed
+from curvecal.llm.common import shuffle_files_freed, unused_names
 from curvecal.llm.url_reputation import url_host, url_path
 from curvecal.session import materialize
 
@@ -231,8 +233,12 @@ def deletions(pages: DataFrame) -> DataFrame:
         for b in batches:
             columns = [b.column(c).to_pylist() for c in ("zones", "sizes", "hashes", "other_zones", "other_sizes", "other")]
             gone = [shared_places(*row) for row in zip(*columns)]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("n", "key", "p", "q", "near")), pa.array(gone, pa.list_(pa.int32()))],
-                                             names=["n", "key", "p", "q", "near", "deleted"])
+            marked = [ARTICLE in zones for zones in columns[0]]
+            lost = [[[h for z, h in zip(zones, hashes) if z == (ARTICLE if m else OPEN)][i] for i in places or ()]
+                    for zones, hashes, m, places in zip(columns[0], columns[2], marked, gone)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("n", "key", "p", "q", "near")), pa.array(gone, pa.list_(pa.int32())),
+                                              pa.array(marked), pa.array(lost, pa.list_(pa.int64()))],
+                                             names=["n", "key", "p", "q", "near", "deleted", "marked", "lost"])
 
     def aligned(sides):
         """(n, key, p, q, near, deleted) of pages with the places p and q of the nearest pages before and behind that are left to try."""
@@ -241,7 +247,7 @@ def deletions(pages: DataFrame) -> DataFrame:
             "n", "p", "q", F.when(F.col("a") >= F.col("b"), F.col("p")).otherwise(F.col("q")).alias("near"))
         return near.join(lines, "n").join(others, "near").select(
             "n", "key", "p", "q", "near", "zones", "sizes", "hashes", "other_zones", "other_sizes", "other").mapInArrow(
-            align, "n bigint, key bigint, p bigint, q bigint, near bigint, deleted array<int>")
+            align, "n bigint, key bigint, p bigint, q bigint, near bigint, deleted array<int>, marked boolean, lost array<bigint>")
 
     def next_sides(copies, known):
         """Past a copy: where the copy itself has got to on that side, so that a row of copies is crossed in a few rounds."""
@@ -252,36 +258,59 @@ def deletions(pages: DataFrame) -> DataFrame:
 
     with shuffle_files_freed(pages.sparkSession):
         known = materialize(aligned(slim.select("n", (F.col("n") - 1).alias("p"), (F.col("n") + 1).alias("q"))), "page-pairs")
-        found = known.where(F.size("deleted") > 0).select("key", "deleted")
+        found = known.where(F.size("deleted") > 0).select("n", "key", "deleted", "marked", "lost")
         known = known.where("deleted IS NULL")
         while not (copies := known.where("deleted IS NULL")).isEmpty():
             sides = materialize(next_sides(copies, known), "page-sides")
             tried = materialize(aligned(sides), "page-pairs")
-            found = found.unionByName(tried.where(F.size("deleted") > 0).select("key", "deleted"))
+            found = found.unionByName(tried.where(F.size("deleted") > 0).select("n", "key", "deleted", "marked", "lost"))
             ended = sides.join(tried.select("n"), "n", "left_anti").withColumn("deleted", F.expr("CAST(array() AS array<int>)"))
             known = materialize(known.where("deleted IS NOT NULL").unionByName(tried).unionByName(ended, allowMissingColumns=True), "page-known")
-    return found
+    found = found.join(slim.select("n", "host"), "n")
+    articles = placed.where(F.array_contains("zones", ARTICLE)).select("n", "host", F.expr(
+        f"array_distinct(transform(filter(arrays_zip(zones, hashes), x -> x.zones = {ARTICLE}), x -> x.hashes))").alias("lines"))
+    return found.where("NOT marked").select("key", "deleted").unionByName(proven(found.where("marked"), articles))
+
+
+def proven(found: DataFrame, articles: DataFrame) -> DataFrame:
+    """(key, deleted) left of what marked pages share with a neighbour: lines that the host's articles repeat.
+
+    ``found``: key, host, deleted, lost (line hashes); ``articles``: n, host, lines (different hashes).
+    """
+    asked = found.select("host", F.explode("lost").alias("line")).distinct()
+    lines = articles.join(asked.select("host").distinct(), "host", "left_semi").select("n", "host", F.explode("lines").alias("line"))
+    # an article is known by the smallest hash among its lines that nobody asks for, so copies count once
+    each = lines.join(asked.withColumn("asked", F.lit(True)), ["host", "line"], "left").groupBy("host", "n").agg(
+        F.min(F.when(F.col("asked").isNull(), F.col("line"))).alias("own"),
+        F.collect_set(F.when(F.col("asked"), F.col("line"))).alias("shared"))
+    hosts = each.groupBy("host").agg(F.countDistinct("own").alias("articles"))
+    held = each.select("host", "own", F.explode("shared").alias("line")).groupBy("host", "line").agg(F.countDistinct("own").alias("holding"))
+    sure = held.join(hosts, "host").where("holding >= 3 AND 2 * holding > articles").select("host", "line")
+    places = found.select("key", "host", F.explode(F.arrays_zip("deleted", "lost")).alias("x")).select(
+        "key", "host", F.col("x.deleted").alias("place"), F.col("x.lost").alias("line"))
+    return places.join(sure, ["host", "line"], "left_semi").groupBy("key").agg(F.sort_array(F.collect_set("place")).alias("deleted"))
 
 
 def extract(pages: DataFrame, html: str = "html", url: str = "url", out: str = "text") -> DataFrame:
     """Replace the html by the main text.
 
-    Pages are told apart by a hash of url and html; equal pages have equal results. Texts,
-    not pages, meet their deletions.
+    Pages are told apart by a hash of url and html (null unlike any text); equal pages have equal
+    results. Texts, not pages, meet their deletions.
     """
     kept = [c for c in pages.columns if c not in (html, out)]
+    k, t, h, d = unused_names(pages.columns, 4)
     source, address = F.col(f"`{html}`").cast("string"), F.col(f"`{url}`").cast("string")
-    key = F.xxhash64(address, source)
+    key = F.xxhash64(address.isNull(), address, source.isNull(), source)
     gone = materialize(deletions(pages.select(key.alias("key"), url_host(address).alias("host"), url_path(address).alias("path"),
                                               source.alias("html"))), "page-deletions")
-    kind = T.StructType([*(pages.schema[c] for c in kept), T.StructField("_key", T.LongType()), T.StructField("_text", T.StringType())])
+    kind = T.StructType([*(pages.schema[c] for c in kept), T.StructField(k, T.LongType()), T.StructField(t, T.StringType())])
 
     def parse(batches):
         for b in batches:
-            texts = [main_text(page_lines(x)) for x in b.column("_html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in [*kept, "_key"]), pa.array(texts, pa.string())], names=kind.names)
+            texts = [main_text(page_lines(x)) for x in b.column(h).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in [*kept, k]), pa.array(texts, pa.string())], names=kind.names)
 
-    texts = (pages.select(*(F.col(f"`{c}`") for c in kept), key.alias("_key"), source.alias("_html")).mapInArrow(parse, kind)
-             .join(gone.select(F.col("key").alias("_key"), F.col("deleted").alias("_deleted")), "_key", "left"))
-    cut = F.expr("array_join(filter(split(_text, '\\n'), (x, i) -> NOT array_contains(_deleted, i)), '\\n')")
-    return texts.select(*(F.col(f"`{c}`") for c in kept), F.when(F.col("_deleted").isNull(), F.col("_text")).otherwise(cut).alias(out))
+    texts = (pages.select(*(F.col(f"`{c}`") for c in kept), key.alias(k), source.alias(h)).mapInArrow(parse, kind)
+             .join(gone.select(F.col("key").alias(k), F.col("deleted").alias(d)), k, "left"))
+    cut = F.array_join(F.filter(F.split(F.col(t), "\n"), lambda x, i: ~F.array_contains(F.col(d), i)), "\n")
+    return texts.select(*(F.col(f"`{c}`") for c in kept), F.when(F.col(d).isNull(), F.col(t)).otherwise(cut).alias(out))

@@ -1,3 +1,8 @@
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
 from curvecal.llm import html_diff
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
@@ -69,7 +74,7 @@ def test_short_texts_under_long_menus_and_copies_with_other_neighbours(spark):
     rows = [(k, f"http://h.org/{k}", page(x)) for k, x in enumerate(texts)]
     # twenty copies in a row, one other page behind them; articles likewise
     rows += [(100 + k, f"http://copy.org/{100 + k}", page(texts[0])) for k in range(20)] + [(120, "http://copy.org/120", page(texts[1]))]
-    rows += [(200 + k, f"http://both.org/{200 + k}", f"<article><p>{texts[k // 19]}</p><p>Notice</p></article>") for k in range(20)]
+    rows += [(200 + k, f"http://both.org/{200 + k}", f"<article><p>{texts[max(0, k - 18)]}</p><p>Notice</p></article>") for k in range(21)]
     # a host of copies only; a page of nothing but the menu; a copy cut off in the middle
     rows += [(300 + k, f"http://same.org/{300 + k}", page(texts[0])) for k in range(9)]
     rows += [(5, "http://h.org/5", page("")), (6, "http://h.org/6", page("<p>" + "</p><p>".join(texts * 3) + "</p>")),
@@ -80,21 +85,35 @@ def test_short_texts_under_long_menus_and_copies_with_other_neighbours(spark):
     assert {got[100 + k] for k in range(20)} == {texts[0].strip()} and got[120] == texts[1].strip()
     assert {got[300 + k] for k in range(9)} == {html_diff.main_text(html_diff.page_lines(rows[0][2]))} and got[5] == ""
     assert texts[3].strip() in got[6] and texts[3].strip() in got[7]
-    assert {got[200 + k] for k in range(19)} == {texts[0].strip()} and got[219] == texts[1].strip()
+    assert {got[200 + k] for k in range(19)} == {texts[0].strip()} and got[219] == texts[1].strip() and got[220] == texts[2].strip()
+
+
+def test_what_one_neighbour_happens_to_share_stays(spark):
+    def page(*lines):
+        return "<html><body><nav>Menu</nav><article>" + "".join(f"<p>{x}</p>" for x in lines) + "</article></body></html>"
 
+    own = [f"Own text of the page with the number {k}, long enough." for k in range(8)]
+    rows = [(k, f"http://h.org/a/{k}", page(f"Head {k // 2}", own[k], *(["A common sentence."] if k in (2, 3, 5) else []))) for k in range(8)]
+    # two articles only: nothing tells a notice from a sentence; copies are one article however many there are
+    rows += [(20 + k, f"http://two.org/{k}", page(own[k], "Shared")) for k in range(2)]
+    rows += [(30 + k, f"http://copies.org/{k}", page(own[0], "More of it", "Shared")) for k in range(9)] + [(39, "http://copies.org/9", page(own[1], "Shared"))]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    df = df.withColumns({c: F.lit("x") for c in ("_key", "_text", "_deleted", "_html", "_0", "_1", "host", "n", "deleted", "TEXT2")})
+    got = html_diff.extract(df)
+    assert set(got.columns) == set(df.columns) - {"html"} | {"text"}
+    assert {r.page_id: r.text for r in got.collect()} == {r[0]: text_of(r[2]) for r in rows}
 
-def test_articles_of_the_test_pages(spark):
-    """Whole pages hold their document's lines."""
-    import re
 
-    folder = "/root/testdata/sf0.001"
+@pytest.mark.parametrize("folder", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
+def test_articles_of_the_test_pages(spark, folder):
+    """Every page is its heading and the lines of its document, nothing less and nothing more."""
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
     pages = spark.read.parquet(f"{folder}/pages.parquet")
     n = 0
     for r in html_diff.extract(pages).collect():
-        number = int(re.search(r"/(\d+)", r.url.split("://")[1])[1])
+        number = int(re.search(r"/([0-9]+)[^/0-9]*/?$", re.match("[^?#]*", r.url)[0])[1])
         if number in docs:
             lines = [" ".join(x.split()) for x in docs[number].split("\n")]
-            assert r.text.split("\n")[1:] == [x for x in lines if x] or len(r.text) < len(docs[number])
+            assert r.text.split("\n")[1:] == [x for x in lines if x], r.url
             n += 1
     assert n > 20
