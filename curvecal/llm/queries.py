@@ -29,9 +29,9 @@ URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/"
 
 
 def page_outcomes(spark, folder) -> DataFrame:
-    """Quality labels as outcomes of pages: a page's path ends in the number of its document."""
-    pages = table(spark, folder, "pages").select(
-        "url", F.expr("try_cast(regexp_extract(url, '/([0-9]+)[^/0-9]*$', 1) AS bigint)").alias("doc_id"))
+    """Quality labels as outcomes of pages: a page's path ends in the number of its document, with or without a slash."""
+    number = F.regexp_extract(url_reputation.url_path(F.col("url")), "/([0-9]+)[^/0-9]*/?$", 1)
+    pages = table(spark, folder, "pages").select("url", number.try_cast("bigint").alias("doc_id"))
     return pages.join(table(spark, folder, "labels").select("doc_id", "quality"), "doc_id").select(
         "url", F.col("quality").alias("good"))
 

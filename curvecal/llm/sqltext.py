@@ -7,7 +7,7 @@ p AS (SELECT page_id, url, CASE WHEN contains(coalesce(url, ''), '://') THEN
     translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
   CASE WHEN contains(coalesce(url, ''), '://') THEN regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) ELSE '' END AS path FROM pages),
 o AS (SELECT p.host, l.quality AS good FROM p JOIN labels l
-  ON l.doc_id = TRY_CAST(regexp_extract(p.url, '/([0-9]+)[^/0-9]*$', 1) AS BIGINT) WHERE l.quality IS NOT NULL),
+  ON l.doc_id = TRY_CAST(regexp_extract(p.path, '/([0-9]+)[^/0-9]*/?$', 1) AS BIGINT) WHERE l.quality IS NOT NULL),
 h AS (SELECT host, count(*)::DOUBLE AS n, sum(good)::DOUBLE AS s FROM o GROUP BY host),
 d AS (SELECT regexp_extract(host, '([^.]*\\.)?[^.]*$') AS domain, sum(n) AS n, sum(s) AS s FROM h GROUP BY 1),
 x AS (SELECT regexp_extract(host, '[^.]*$') AS suffix, sum(n) AS n, sum(s) AS s FROM h GROUP BY 1),

@@ -1,4 +1,4 @@
-from curvecal.llm import url_reputation
+from curvecal.llm import queries, url_reputation
 from curvecal.llm.queries import URL_RULES
 
 
@@ -36,3 +36,16 @@ def test_bad_hosts_are_blocked_and_single_failures_are_not(spark):
 
 def test_empty_table(spark):
     assert judged(spark, []) == {}
+
+
+def test_outcomes_come_from_the_path(spark, tmp_path):
+    urls = ["http://a.org/en/7", "http://a.org/en/8/", "http://a.org/9.html?page=2&ref=x", "http://a.org/en/10?page=99", "http://a.org/11#top3",
+            "http://a.org/12/?q=/55", "http://a.org/", None, "no scheme/13", "http://a.org/x", "http://a.org/99999999999999999999"]
+    spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id bigint, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id bigint, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = {r.url: r.good for r in queries.page_outcomes(spark, str(tmp_path)).collect()}
+    assert got == {urls[k]: n % 2 for k, n in enumerate((7, 8, 9, 10, 11, 12))}
+
+
+def test_no_outcome_of_the_test_pages_is_lost(spark):
+    assert queries.page_outcomes(spark, "/root/testdata/sf0.01").count() == 86
