@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from curvecal.functions.features import list_matrix
 from curvecal.functions.solvers import Moments
 
-SLOTS = 64
+FAN_IN = 64  # moments that one merge takes, once a level holds no more than the session's partitions
 
 
 def zero_filled(value: Column) -> Column:
@@ -34,9 +34,9 @@ def matrix_schema(group: str) -> str:
     return f"{group} string, slot int, m array<double>"
 
 
-def pack_moments(parts: dict[str, Moments], group: str) -> pa.RecordBatch:
-    """One row per key with its packed moments, marked with the task's merge slot."""
-    slot = TaskContext.get().partitionId() % SLOTS
+def pack_moments(parts: dict[str, Moments], group: str, slot: int | None = None) -> pa.RecordBatch:
+    """One row per key with its packed moments, marked with the task that made them (or a merge slot)."""
+    slot = TaskContext.get().partitionId() if slot is None else slot
     return pa.RecordBatch.from_arrays(
         [pa.array(list(parts), pa.string()), pa.array([slot] * len(parts), pa.int32()),
          pa.array([m.pack() for m in parts.values()], pa.list_(pa.float64()))],
@@ -72,22 +72,39 @@ def gram_partials(rows: DataFrame, width: int, group: str = "g") -> DataFrame:
     return merge_moments(source.mapInArrow(accumulate, matrix_schema(group)), width + 1, group)
 
 
-def merge_moments(parts: DataFrame, size: int, group: str) -> DataFrame:
-    """Combine per-task moments to one row per group, in two small steps.
+def merge_levels(width: int, fan_in: int = FAN_IN) -> list[int]:
+    """Merge slots of each level: ``width`` first, then each takes at most ``fan_in`` of the one before, down to 1."""
+    levels = [max(1, width)]
+    while levels[-1] > 1:
+        levels.append(-(-levels[-1] // fan_in))
+    return levels
 
-    The first spreads tasks over at most ``SLOTS`` merges, so that the last step sees
-    at most ``SLOTS`` rows per group however many tasks read the data.
+
+def merge_moments(parts: DataFrame, size: int, group: str, fan_in: int | None = None) -> DataFrame:
+    """Combine per-task moments to one row per group, level by level.
+
+    The first level spreads the tasks over as many merges as the session has shuffle partitions, so it is
+    as wide as the cluster however many tasks read the data; each further level takes ``fan_in`` of
+    those at a time.
     """
-    def merge(batches):
-        parts: dict[str, Moments] = {}
-        for batch in batches:
-            for key, m in zip(batch.column(0).to_pylist(), batch.column(2)):
-                own = Moments.unpack(np.array(m.values), size)
-                parts[key] = parts[key] + own if key in parts else own
-        if parts:
-            yield pack_moments(parts, group)
+    levels = merge_levels(int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")), fan_in or FAN_IN)
+
+    def merge(slots):
+        def run(batches):
+            held: dict[tuple[str, int], Moments] = {}
+            for batch in batches:
+                for key, slot, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                    own, place = Moments.unpack(np.array(m.values), size), (key, slot % slots)
+                    held[place] = held[place] + own if place in held else own
+            for (key, slot), m in held.items():
+                yield pack_moments({key: m}, group, slot)
+        return run
+
     schema = matrix_schema(group)
-    return parts.repartition("slot", group).mapInArrow(merge, schema).repartition(group).mapInArrow(merge, schema)
+    for slots in levels:
+        dealt = parts.repartition(group) if slots == 1 else parts.repartition(F.col("slot") % slots, group)
+        parts = dealt.mapInArrow(merge(slots), schema)
+    return parts
 
 
 def groups_of(column):

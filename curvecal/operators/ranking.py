@@ -1,9 +1,9 @@
 """Exact order statistics and running counts without one-task windows.
 
-A window over a whole group puts the group in one task. Here the value range is cut
-at approximate quantiles first, each (group, slice) gets its own running sum, and
-slice totals are added as offsets. The cuts only balance the work: results are exact
-for any cuts, and a value that repeats is counted before anything is shuffled.
+A window over a whole group puts the group in one task. Here values are cut into slices first,
+each (group, slice) gets its own running sum, and slice totals are added as offsets. The
+cuts only balance the work: results are exact for any cuts, and a value that repeats is
+counted before anything is shuffled.
 """
 
 import math
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from curvecal.functions.arrays import let
+from curvecal.session import join_groups, materialize
 
 GROUP = 64
 MAX_SLICES = GROUP * GROUP
@@ -68,40 +69,33 @@ def comparable(value: Column) -> Column:
 
 
 def running_counts(df: DataFrame, value: str, by: list[str] = (), sums: dict[str, Column] | None = None,
-                   cuts: list[float] | None = None, rows_per_slice: int | None = None) -> DataFrame:
+                   parts: int | None = None) -> DataFrame:
     """One row per (by, value), NaN and null left out, ascending running totals.
 
     Columns: ``n`` rows with the value, ``cum_n`` rows up to it, ``all_n`` rows of the
     group, and the same three for every entry of ``sums``.
+
+    Values are counted first, so a hot value is one row. The counts are dealt to Spark's own ranges of
+    (by, value) and written with the number of their range; totals of the ranges, one row per range and
+    group in it, become offsets. ``parts`` sets the number of ranges (else the session's partitions).
     """
     by = list(by)
     sums = {"n": F.count(F.lit(1)), **{k: F.sum(v) for k, v in (sums or {}).items()}}
     rows = df.where(comparable(F.col(value)))
-    if cuts is None:
-        cuts, _ = probe(rows, F.col(value), rows_per_slice)
     counts = rows.groupBy(*by, value).agg(*[agg.alias(name) for name, agg in sums.items()])
-    if not cuts:
-        upto = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-        whole = Window.partitionBy(*by)
-        return counts.select(*by, value, *sums, *[F.sum(k).over(upto).alias(f"cum_{k}") for k in sums],
-                             *[F.sum(k).over(whole).alias(f"all_{k}") for k in sums])
-    counts = counts.withColumn("slice", slice_of(F.col(value), cuts))
-    # At most len(cuts) * 65 / 64 + 1 rows per group; the windows over them stay small.
-    parts = counts.groupBy(*by, "slice").agg(*[F.sum(k).alias(f"part_{k}") for k in sums])
+    dealt = counts.repartitionByRange(parts, *by, value) if parts else counts.repartitionByRange(*by, value)
+    # written before the number of a range is used: dealing them out again could cut elsewhere
+    counts = materialize(dealt.withColumn("slice", F.spark_partition_id()), "ranges")
+    totals = counts.groupBy(*by, "slice").agg(*[F.sum(k).alias(f"part_{k}") for k in sums])
     before = Window.partitionBy(*by).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*by)
-    offsets = parts.select(
-        *[F.col(c).alias(f"o_{c}") for c in by], F.col("slice").alias("o_slice"),
-        *[F.coalesce(F.sum(f"part_{k}").over(before), F.lit(0)).alias(f"off_{k}") for k in sums],
+    offsets = totals.select(
+        *by, "slice", *[F.coalesce(F.sum(f"part_{k}").over(before), F.lit(0)).alias(f"off_{k}") for k in sums],
         *[F.sum(f"part_{k}").over(whole).alias(f"all_{k}") for k in sums])
-    # The join and the window below share one partitioning by (by, slice).
-    cond = F.col("slice") == F.col("o_slice")
-    for c in by:
-        cond = cond & F.col(c).eqNullSafe(F.col(f"o_{c}"))
     upto = Window.partitionBy(*by, "slice").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    return counts.join(offsets, cond).select(
-        *by, value, *sums,
-        *[(F.col(f"off_{k}") + F.sum(k).over(upto)).alias(f"cum_{k}") for k in sums],
+    running = counts.select(*by, value, "slice", *sums, *[F.sum(k).over(upto).alias(f"cum_{k}") for k in sums])
+    return join_groups(running, offsets, [*by, "slice"]).select(
+        *by, value, *sums, *[(F.col(f"off_{k}") + F.col(f"cum_{k}")).alias(f"cum_{k}") for k in sums],
         *[f"all_{k}" for k in sums])
 
 
@@ -109,54 +103,10 @@ def lerp(lo, hi, t):
     return hi - (hi - lo) * (1 - t) if t >= 0.5 else lo + (hi - lo) * t
 
 
-def quantile_values(df: DataFrame, value: str, probs: list[float], total: int,
-                    cuts: list[float]) -> list[tuple[float, int]]:
-    """(linearly interpolated quantile, rows not above it) of a column of ``total`` values.
-
-    ``total`` and ``cuts`` come from ``probe``. Only the order statistics next to the
-    wanted ranks leave the executors.
-    """
-    at = [p * (total - 1) for p in probs]
-    ranks = sorted({f(r) for r in at for f in (math.floor, math.ceil)})
-    rows = df.where(comparable(F.col(value))).select(F.col(value).alias("v"))
-    rows = rows.withColumn("slice", slice_of(F.col("v"), cuts))
-    inside = {0: (0, ranks)}
-    if cuts:
-        # Exact slice sizes say which slices hold a wanted rank; only those are ordered.
-        sizes = sorted((r["slice"], r["n"]) for r in
-                       rows.groupBy("slice").agg(F.count(F.lit(1)).alias("n")).collect())
-        below, inside = 0, {}
-        for name, n in sizes:
-            own = [r for r in ranks if below <= r < below + n]
-            if own:
-                inside[name] = (below, own)
-            below += n
-        rows = rows.where(F.col("slice").isin(list(inside)))
-    upto = Window.partitionBy("slice").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    runs = (rows.groupBy("slice", "v").agg(F.count(F.lit(1)).alias("n"))
-            .withColumn("last", F.sum("n").over(upto)))
-    hit = F.lit(False)
-    for name, (below, own) in inside.items():
-        for r in own:
-            hit = hit | ((F.col("slice") == name) & (F.col("last") - F.col("n") <= r - below)
-                         & (F.col("last") > r - below))
-    where = {}
-    for row in runs.where(hit).collect():
-        below, own = inside[row["slice"]]
-        last = below + row["last"]
-        where.update({r: (float(row["v"]), last) for r in own if last - row["n"] <= r < last})
-    out = []
-    for r in at:
-        (lo, lo_n), (hi, hi_n) = where[math.floor(r)], where[math.ceil(r)]
-        q = lerp(lo, hi, r - math.floor(r))
-        out.append((q, hi_n if q >= hi else lo_n))
-    return out
-
-
 def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: list[str],
-                    rows_per_slice: int | None = None) -> DataFrame:
+                    parts: int | None = None) -> DataFrame:
     """Linearly interpolated quantiles ``q0, q1, ...``, one row per group."""
-    runs = running_counts(df, value, by, rows_per_slice=rows_per_slice)
+    runs = running_counts(df, value, by, parts=parts)
     v, first, last = F.col(value).cast("double"), F.col("cum_n") - F.col("n"), F.col("cum_n")
     at = [F.lit(float(p)) * (F.col("all_n") - 1) for p in probs]
     picks = []
@@ -169,54 +119,3 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: list[str]
         t, lo, hi = at[k] - F.floor(at[k]), F.col(f"lo{k}"), F.col(f"hi{k}")
         return F.when(t >= 0.5, hi - (hi - lo) * (1 - t)).otherwise(lo + (hi - lo) * t)
     return found.select(*by, *[blend(k).alias(f"q{k}") for k in range(len(probs))])
-
-
-def hash_order(seed: int, key: Column) -> Column:
-    """Reproducible shuffling key."""
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string")))
-
-
-def hash_cuts(df: DataFrame, group: str, order: str, ranks: dict[int, list[int]],
-              digits: int | None = None) -> dict[int, list[str | None]]:
-    """For each group, the hash at each 1-based rank in hash order.
-
-    ``order`` is a hexadecimal hash column. Rows are counted per (group, hash prefix)
-    first, so only one prefix in 16^digits per wanted rank is ever sorted. Rank 0
-    gives None (nothing below). The result holds one string per wanted rank.
-    A prefix of three digits serves up to 10^8 rows, one of five beyond.
-    """
-    if digits is None:
-        digits = 3 if sum(max(rs, default=0) for rs in ranks.values()) < 10 ** 8 else 5
-    wanted = {g: sorted({r for r in rs if r > 0}) for g, rs in ranks.items()}
-    pairs = [(g, r) for g, rs in wanted.items() for r in rs]
-    if not pairs:
-        return {g: [None for _ in rs] for g, rs in ranks.items()}
-    rows = df.select(F.col(group).cast("int").alias("g"), F.col(order).alias("h"))
-    rows = rows.withColumn("prefix", F.substring("h", 1, digits))
-    run = Window.partitionBy("g").orderBy("prefix").rowsBetween(Window.unboundedPreceding, 0)
-    tally = (rows.groupBy("g", "prefix").agg(F.count(F.lit(1)).alias("n"))
-             .withColumn("cum", F.sum("n").over(run)))
-    hit = F.lit(False)
-    for g, rs in wanted.items():
-        for r in rs:
-            hit = hit | ((F.col("g") == g) & (F.col("cum") >= r) & (F.col("cum") - F.col("n") < r))
-    cells = tally.where(hit).collect()
-    base = {(c["g"], c["prefix"]): c["cum"] - c["n"] for c in cells}
-    inside = F.concat_ws("/", "g", "prefix").isin([f"{g}/{p}" for g, p in base])
-    run = Window.partitionBy("g", "prefix").orderBy("h").rowsBetween(Window.unboundedPreceding, 0)
-    fine = (rows.where(inside).groupBy("g", "prefix", "h").agg(F.count(F.lit(1)).alias("n"))
-            .withColumn("cum", F.sum("n").over(run)))
-    hit = F.lit(False)
-    for c in cells:
-        lo = base[c["g"], c["prefix"]]
-        for r in wanted[c["g"]]:
-            if lo < r <= c["cum"]:
-                hit = hit | ((F.col("g") == c["g"]) & (F.col("prefix") == c["prefix"])
-                             & (F.col("cum") >= r - lo) & (F.col("cum") - F.col("n") < r - lo))
-    found = {}
-    for row in fine.where(hit).collect():
-        lo = base[row["g"], row["prefix"]]
-        for r in wanted[row["g"]]:
-            if row["cum"] - row["n"] < r - lo <= row["cum"]:
-                found[row["g"], r] = row["h"]
-    return {g: [found.get((g, r)) for r in rs] for g, rs in ranks.items()}

@@ -98,15 +98,15 @@ class Predictor:
     """A fitted candidate; ``predict`` adds ``y_pred`` to rows with array ``x``."""
     candidate: Candidate
     linear: S.LinearFit | None = None
-    cosines: E.FourierMap | None = None
+    kernel: E.LandmarkMap | None = None
     trees: object = None
 
     def predict(self, rows: DataFrame) -> DataFrame:
         if self.trees is not None:
             return E.predict_trees(self.trees, rows)
-        if self.cosines is not None:
+        if self.kernel is not None:
             keep = [c for c in rows.columns if c != "x"]
-            mapped = self.cosines.apply(rows, keep)
+            mapped = self.kernel.apply(rows, keep)
             return mapped.withColumn("y_pred", predict_column(self.linear, "x"))
         return rows.withColumn("y_pred", predict_column(self.linear, "x"))
 
@@ -119,10 +119,14 @@ class Trainer:
         self.moments = moments or gram_by_group(rows, width)
         self.whole = add(self.moments.values())
         self.y0 = float(self.whole.mean[-1])
+        self.pool = None
 
-    def cosine_rows(self, gamma):
-        cosines = E.fourier_map(self.whole, gamma)
-        return cosines, cosines.apply(self.rows, ["g", "y"]), len(cosines.phase)
+    def kernel_rows(self, gamma):
+        """The landmark map of a kernel width, the rows seen through it, and their length; all widths share the pool."""
+        if self.pool is None:
+            self.pool = E.candidates(self.rows)
+        kernel = E.landmark_map(self.pool, self.whole, gamma)
+        return kernel, kernel.apply(self.rows, ["g", "y"]), kernel.size
 
     def moment_scores(self, rows, width, moments, candidates) -> list[tuple]:
         trains = train_moments(moments)
@@ -153,7 +157,7 @@ class Trainer:
             if c.kind == "rbf":
                 gammas.setdefault(c.params.get("gamma", "scale"), []).append(c)
         for gamma, group in gammas.items():
-            _, mapped, size = self.cosine_rows(gamma)
+            _, mapped, size = self.kernel_rows(gamma)
             out += self.moment_scores(mapped, size, gram_by_group(mapped, size), group)
         for c in candidates:
             if c.kind in ("forest", "boosted"):
@@ -165,8 +169,8 @@ class Trainer:
         if candidate.kind == "linear":
             return Predictor(candidate, candidate.fit(self.whole))
         if candidate.kind == "rbf":
-            cosines, mapped, size = self.cosine_rows(candidate.params.get("gamma", "scale"))
-            return Predictor(candidate, candidate.fit(add(gram_by_group(mapped, size).values())), cosines)
+            kernel, mapped, size = self.kernel_rows(candidate.params.get("gamma", "scale"))
+            return Predictor(candidate, candidate.fit(add(gram_by_group(mapped, size).values())), kernel)
         return Predictor(candidate, trees=E.fit_trees(candidate.estimator(), self.rows))
 
     def choose(self, zoo: list[Candidate], grids: dict = GRIDS):

@@ -369,11 +369,75 @@ def fit_gbt(spark, folder):
     return ensembles.predict_trees(model, rows).select("sample_id", "y", "y_pred")
 
 
-@query("bootstrap_interval")
+# --- bootstrap --------------------------------------------------------------------
+
+def hex_number(digits):
+    return f"CAST('0x' || {digits} AS INT)"
+
+
+REPS, KEPT = bootstrap.REPLICATES, bootstrap.RESIDUALS
+POISSON = " + ".join(f"(u >= {limit})::INT" for limit in bootstrap.LIMITS)
+REFITS = TPOOL + f""",
+l AS (SELECT * FROM t WHERE dataset = 'lab'),
+hb AS (SELECT sample_id, blk, md5('42:' || sample_id || ':' || blk) AS h FROM l, (SELECT unnest(range({-(-REPS // 8)})) AS blk)),
+w AS (SELECT sample_id, rep, CAST({POISSON} AS DOUBLE) AS w FROM (
+  SELECT sample_id, blk * 8 + j AS rep, {hex_number("substr(h, CAST(1 + 4 * j AS INT), 4)")} AS u FROM hb, (SELECT unnest(range(8)) AS j)) WHERE rep < {REPS}),
+mo AS (SELECT rep, sum(w) AS n, sum(w * qty) / sum(w) AS m1, sum(w * retail) / sum(w) AS m2, sum(w * y) / sum(w) AS my
+  FROM w JOIN l USING (sample_id) GROUP BY rep),
+co AS (SELECT rep, any_value(m1) AS m1, any_value(m2) AS m2, any_value(my) AS my, sum(w * (qty - m1) * (qty - m1)) AS s11,
+  sum(w * (retail - m2) * (retail - m2)) AS s22, sum(w * (qty - m1) * (retail - m2)) AS s12, sum(w * (qty - m1) * (y - my)) AS c1,
+  sum(w * (retail - m2) * (y - my)) AS c2 FROM w JOIN l USING (sample_id) JOIN mo USING (rep) GROUP BY rep),
+fb AS (SELECT rep, m1, m2, my, {OLS1} AS w1, {OLS2} AS w2 FROM co),
+v AS (SELECT avg(qty) AS m1, avg(retail) AS m2, avg(y) AS my, var_pop(qty) AS s11, var_pop(retail) AS s22,
+  covar_pop(qty, retail) AS s12, covar_pop(qty, y) AS c1, covar_pop(retail, y) AS c2 FROM l),
+pf AS (SELECT m1, m2, my, {OLS1} AS w1, {OLS2} AS w2 FROM v)"""
+FB = "fb.my + fb.w1 * (qty - fb.m1) + fb.w2 * (retail - fb.m2)"
+EDGES = [round((1 - bootstrap.LEVEL) / 2 * REPS + 0.5), round((1 + bootstrap.LEVEL) / 2 * REPS + 0.5)]
+BANDED = REFITS + f""",
+e AS (SELECT sample_id, any_value(y) - avg({FB}) AS e FROM w JOIN l USING (sample_id) JOIN fb USING (rep) WHERE w = 0 GROUP BY sample_id),
+er AS (SELECT e, row_number() OVER (ORDER BY e) - 1 AS r, count(*) OVER () AS n FROM e),
+rt AS (SELECT list(e ORDER BY i) AS res FROM er JOIN (SELECT unnest(range({KEPT})) AS i) x ON r = (2 * i + 1) * n // (2 * {KEPT})),
+dr AS (SELECT *, md5('42:' || sample_id || ':draw') AS h FROM t),
+du AS (SELECT *, {hex_number("substr(h, 1, 4)")} AS u0, {hex_number("substr(h, 5, 4)")} AS turn FROM dr),
+sp AS (SELECT sample_id, any_value(dataset) AS dataset, any_value(y) AS y, any_value(qty) AS qty, any_value(retail) AS retail,
+  list_sort(list({FB} + res[CAST((((rep * {bootstrap.stride(REPS)} + turn) % {REPS}) * 65536 + u0) * {KEPT} // ({REPS} * 65536) + 1 AS INT)])) AS each
+  FROM du, fb, rt GROUP BY sample_id),
+ba AS (SELECT sample_id, dataset, y, my + w1 * (qty - m1) + w2 * (retail - m2) AS y_pred, each[{EDGES[0]}] AS lower, each[{EDGES[1]}] AS upper
+  FROM sp, pf)"""
+
+
+def pair_refits(spark, folder):
+    """Least squares on two features, fitted to the lab rows and to their replicates; all rows."""
+    rows = materialize(gram.design(AD.tabular(spark, folder), PAIR, "y", KEYS), "design", row_group_mb=4)
+    lab = rows.where("dataset = 'lab'")
+    trainer = selection.Trainer(lab.withColumn("g", F.lit("0")), len(PAIR))
+    return bootstrap.refit(trainer, selection.Candidate("Linear Regression", "ols"), lab, "sample_id"), lab, rows
+
+
+def banded(spark, folder):
+    refits, lab, rows = pair_refits(spark, folder)
+    residuals = bootstrap.residual_table(refits, lab, "sample_id")
+    return bootstrap.prediction_band(refits, residuals, rows, "sample_id", [*KEYS, "y"])
+
+
+@query("bootstrap_interval", BANDED + f" SELECT sample_id, {r6('y_pred')} AS y_pred, {r6('lower')} AS lower, {r6('upper')} AS upper FROM ba")
 def bootstrap_interval(spark, folder):
-    """95 % percentile band of a least-squares model over Poisson replicates."""
-    rows = gram.design(AD.tabular(spark, folder), AD.TABULAR, "y", ["sample_id"])
-    width = len(AD.TABULAR)
-    whole = gram.gram_by_group(rows.withColumn("g", F.lit("0")), width)["0"]
-    fits = [S.ols(m) for m in bootstrap.bootstrap_moments(rows, "sample_id", width)]
-    return bootstrap.bootstrap_interval(rows, fits, S.ols(whole), width, ["sample_id"])
+    """95 % bands for new observations: refits of Poisson replicates plus out-of-sample residuals."""
+    return banded(spark, folder).select("sample_id", "y_pred", "lower", "upper")
+
+
+@query("bootstrap_coverage", BANDED + f""" SELECT dataset, count(*) AS n,
+  {r6('CAST(count(*) FILTER (WHERE y >= lower AND y <= upper) AS DOUBLE) / count(*)')} AS coverage, {r6('avg(upper - lower)')} AS width FROM ba GROUP BY dataset""")
+def bootstrap_coverage(spark, folder):
+    """Share of observations inside their bands, for rows the model was fitted on and for others."""
+    return bootstrap.coverage(banded(spark, folder), "y", ["dataset"])
+
+
+@query("bootstrap_mean_band", REFITS + f""", sp AS (SELECT sample_id, any_value(qty) AS qty, any_value(retail) AS retail,
+  list_sort(list({FB})) AS each FROM t, fb GROUP BY sample_id)
+SELECT sample_id, {r6('my + w1 * (qty - m1) + w2 * (retail - m2)')} AS y_pred, {r6(f'each[{EDGES[0]}]')} AS lower,
+  {r6(f'each[{EDGES[1]}]')} AS upper FROM sp, pf""")
+def bootstrap_mean_band(spark, folder):
+    """95 % bands of the refits alone."""
+    refits, _, rows = pair_refits(spark, folder)
+    return bootstrap.mean_band(refits, rows, ["sample_id"])

@@ -247,6 +247,48 @@ def test_fourier_features_approach_the_kernel(spark, data):
         assert z[f"s{a}"] @ z[f"s{b}"] == pytest.approx(want, abs=0.08)
 
 
+def test_landmark_map_is_the_kernel_on_its_landmarks(spark, data):
+    x, _, rows, per = data
+    mom = gram.add(per.values())
+    pool = ensembles.candidates(rows)
+    assert sorted(map(tuple, pool)) == sorted(map(tuple, x))
+    kernel = ensembles.landmark_map(pool, mom, 0.05, size=40)
+    unit = (x - x.mean(axis=0)) / x.std(axis=0)
+    landmarks = kernel.landmarks
+    z = kernel.block(landmarks * kernel.scale + kernel.mean)
+    np.testing.assert_allclose(z @ z.T, ensembles.gaussian(landmarks, landmarks, 0.05), atol=1e-6)
+    # any row: the projection of its kernel on the landmarks
+    cross = ensembles.gaussian(unit, landmarks, 0.05)
+    want = cross @ np.linalg.pinv(ensembles.gaussian(landmarks, landmarks, 0.05), hermitian=True) @ cross.T
+    got = kernel.apply(rows, ["sample_id"]).toPandas().set_index("sample_id").loc[[f"s{k}" for k in range(len(x))], "x"]
+    seen = np.stack(got.to_numpy())
+    np.testing.assert_allclose(seen @ seen.T, want, atol=1e-5)
+    assert ensembles.kernel_error(kernel, rows) == pytest.approx(1 - np.diag(want).mean(), abs=1e-6)
+
+
+def test_kernel_error_falls_with_landmarks(data):
+    _, _, rows, per = data
+    mom, pool = gram.add(per.values()), ensembles.candidates(rows)
+    errors = [ensembles.kernel_error(ensembles.landmark_map(pool, mom, 0.05, size=k), rows) for k in (5, 20, 80, 300)]
+    assert errors == sorted(errors, reverse=True) and errors[0] > 0.3 and errors[-1] < 1e-6
+
+
+def test_moments_of_many_tiny_partitions(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    z = rng.normal(size=(1200, 3)) + 1e4
+    df = spark.createDataFrame([(str(k % 2), float(r[2]), [float(r[0]), float(r[1])]) for k, r in enumerate(z)],
+                               "g string, y double, x array<double>").repartition(1000)
+    for fan_in in (64, 2):
+        monkeypatch.setattr(gram, "FAN_IN", fan_in)
+        parts = gram.gram_by_group(df, 2)
+        for g in (0, 1):
+            mine = z[g::2]
+            assert parts[str(g)].n == len(mine)
+            np.testing.assert_allclose(parts[str(g)].centre, mine.mean(axis=0))
+            np.testing.assert_allclose(parts[str(g)].scatter, np.cov(mine.T, bias=True) * len(mine), rtol=1e-8)
+    assert gram.merge_levels(8) == [8, 1] and gram.merge_levels(10_000) == [10_000, 157, 3, 1] and gram.merge_levels(1) == [1]
+
+
 def test_trees_learn(data):
     _, _, rows, _ = data
     for est in (ensembles.forest(trees=10, depth=4), ensembles.boosted(rounds=5, depth=3)):
@@ -267,16 +309,16 @@ def test_scaler(spark):
     assert [tuple(r) for r in out] == [(-1.0, 0.0), (1.0, 0.0)]
 
 
-def test_bootstrap(data):
+def test_bootstrap_moments_and_mean_band(data):
     x, y, rows, per = data
     moments = bootstrap.bootstrap_moments(rows, "sample_id", 6, replicates=200)
     n = np.array([m.n for m in moments])
     assert abs(n.mean() - 300) < 6 and 12 < n.std() < 23
     again = bootstrap.bootstrap_moments(rows.repartition(9), "sample_id", 6, replicates=200)
     np.testing.assert_allclose([m.n for m in again], n)
-    whole = gram.add(per.values())
-    fits = [S.ols(m) for m in moments]
-    band = bootstrap.bootstrap_interval(rows, fits, S.ols(whole), 6, ["sample_id"]).toPandas()
+    trainer = selection.Trainer(rows, 6, per)
+    refits = bootstrap.refit(trainer, selection.Candidate("o", "ols"), rows, "sample_id", 200)
+    band = bootstrap.mean_band(refits, rows, ["sample_id"]).toPandas()
     assert (band["lower"] <= band["y_pred"]).mean() > 0.97 and (band["upper"] >= band["y_pred"]).mean() > 0.97
     a = np.column_stack([np.ones(300), x])
     err = y - a @ lstsq(x, y)
@@ -286,6 +328,40 @@ def test_bootstrap(data):
     assert 0.85 < np.median(ratio) < 1.15
 
 
+def test_bootstrap_weights_are_the_same_everywhere(spark):
+    import hashlib
+    keys = [f"k{i}" for i in range(200)] + [None]
+    df = spark.createDataFrame([(k,) for k in keys], "k string")
+    out = df.select("k", bootstrap.draw_bits(7, F.col("k"), 11).alias("bits"),
+                    *[bootstrap.weight_column(7, F.col("k"), b).alias(f"w{b}") for b in (0, 7, 8, 10)]).toArrow()
+    packed = bootstrap.weights_of(out.column("bits").combine_chunks(), 11)
+    for i, k in enumerate(keys):
+        for b in (0, 7, 8, 10):
+            digits = hashlib.md5(f"7:{k or ''}:{b // 8}".encode()).hexdigest()[b % 8 * 4:][:4]
+            want = sum(int(digits, 16) >= limit for limit in bootstrap.LIMITS)
+            assert packed[i, b] == out.column(f"w{b}")[i].as_py() == want
+
+
+def noisy(spark, n, seed):
+    """Rows whose errors are skewed and not normal."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, 3))
+    y = 4 + x @ [2.0, -1.0, 0.5] + rng.exponential(2.0, n)
+    rows = [(f"{seed}-{k}", float(y[k]), [float(v) for v in x[k]]) for k in range(n)]
+    return spark.createDataFrame(rows, "sample_id string, y double, x array<double>")
+
+
+@pytest.mark.parametrize("family,params", [("ols", {}), ("ridge", {"alpha": 5.0}), ("rbf", {}), ("forest", {"trees": 10, "depth": 4})])
+def test_prediction_bands_cover_new_observations(spark, family, params):
+    train, fresh = noisy(spark, 1500, 1).withColumn("g", F.lit("0")), noisy(spark, 1500, 2)
+    trainer = selection.Trainer(train, 3)
+    refits = bootstrap.refit(trainer, selection.Candidate(family, family, params), train, "sample_id", 10 if family == "forest" else None)
+    residuals = bootstrap.residual_table(refits, train, "sample_id")
+    assert len(residuals) == bootstrap.RESIDUALS and residuals == sorted(residuals)
+    got = bootstrap.coverage(bootstrap.prediction_band(refits, residuals, fresh, "sample_id", ["sample_id", "y"]), "y").first()
+    assert got.n == 1500 and abs(got.coverage - 0.95) <= (0.04 if family == "forest" else 0.02)
+
+
 def test_coefficient_table(spark, data):
     fit = S.ols(gram.add(data[3].values()))
     rows = linear.coefficient_table(spark, [fit], list("abcdef")).collect()

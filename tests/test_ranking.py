@@ -7,9 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from curvecal.operators import decision
-from curvecal.operators.ranking import (
-    exact_quantiles, hash_cuts, hash_order, probe, quantile_values, running_counts,
-)
+from curvecal.operators import tally as tallies
+from curvecal.operators.ranking import exact_quantiles, running_counts
 from curvecal.operators.traces import trace_area, trace_d1_max, trace_slope
 
 
@@ -21,11 +20,11 @@ def values(spark):
     return spark.createDataFrame(rows, "g string, v double").repartition(5), rows
 
 
-@pytest.mark.parametrize("per_slice", [10 ** 6, 100, 3])
-def test_running_counts(values, per_slice):
+@pytest.mark.parametrize("parts", [None, 1, 300])
+def test_running_counts(values, parts):
     df, rows = values
     got = running_counts(df, "v", ["g"], {"pos": F.when(F.col("v") > 0, 1).otherwise(0)},
-                         rows_per_slice=per_slice).collect()
+                         parts=parts).collect()
     by = {g: np.array([v for h, v in rows if h == g and v == v]) for g in "ab"}
     assert len(got) == sum(len(set(x)) for x in by.values())
     for r in got:
@@ -34,35 +33,73 @@ def test_running_counts(values, per_slice):
         assert r["all_n"] == len(x) and r["cum_pos"] == ((x <= r["v"]) & (x > 0)).sum()
 
 
-@pytest.mark.parametrize("per_slice", [10 ** 6, 50, 3])
-def test_quantiles(values, per_slice):
+@pytest.mark.parametrize("parts", [None, 1, 200])
+def test_quantiles(values, parts):
     df, rows = values
     probs = [0.0, 0.1, 1 / 3, 0.5, 0.9, 1.0]
-    for r in exact_quantiles(df, "v", probs, ["g"], per_slice).collect():
+    for r in exact_quantiles(df, "v", probs, ["g"], parts).collect():
         x = [v for h, v in rows if h == r["g"] and v == v]
         assert [r[f"q{k}"] for k in range(len(probs))] == pytest.approx(np.quantile(x, probs))
-    x = np.array([v for _, v in rows if v == v])
-    clean = df.where(~F.isnan("v"))
-    cuts, seen = probe(clean, F.col("v"), per_slice)
-    for (q, below), want in zip(quantile_values(clean, "v", probs, seen["rows"], cuts), np.quantile(x, probs)):
-        assert q == pytest.approx(want) and below == (x <= q).sum()
-
-
-@pytest.mark.parametrize("digits", [1, 3, 5])
-def test_hash_cuts(spark, digits):
-    df = spark.range(2000).select(F.when(F.col("id") % 3 == 0, 1).otherwise(0).alias("s"),
-                                  hash_order(42, F.col("id")).alias("h"))
-    ranks = {0: [1, 700, 1333], 1: [0, 10, 667]}
-    got = hash_cuts(df, "s", "h", ranks, digits)
-    for s, wanted in ranks.items():
-        ids = [k for k in range(2000) if (k % 3 == 0) == bool(s)]
-        ordered = sorted(hashlib.md5(f"42:{k}".encode()).hexdigest() for k in ids)
-        assert got[s] == [ordered[r - 1] if r else None for r in wanted]
-
-
-@pytest.mark.parametrize("per_slice", [10 ** 6, 40])
-def test_auc_and_roc(spark, per_slice, monkeypatch):
-    monkeypatch.setattr("curvecal.operators.ranking.ROWS_PER_SLICE", per_slice)
+
+
+#: (values that are looked at, numbers in a table, values that cuts come from): small ones force finer tables
+BOUNDS = [(50_000, 1 << 19, 16_384), (40, 1 << 6, 30), (7, 1 << 4, 5)]
+
+
+@pytest.fixture(scope="module")
+def two_groups(spark):
+    rng = np.random.default_rng(3)
+    v = np.concatenate((np.round(rng.normal(size=900), 1), rng.normal(size=600), np.zeros(300), [np.nan] * 5))
+    rows = [(f"k{i}", bool(i % 3 == 0), float(x)) for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "key string, held boolean, y double").repartition(4)
+    return df, [(k, g, x) for k, g, x in rows if x == x]
+
+
+def bounded(monkeypatch, bounds):
+    for name, value in zip(("FETCH", "CELLS", "SAMPLE"), bounds):
+        monkeypatch.setattr(tallies, name, value)
+
+
+@pytest.mark.parametrize("bounds", BOUNDS)
+@pytest.mark.parametrize("bits", [0, 3])
+def test_order_statistics_from_the_count_table(two_groups, monkeypatch, bounds, bits):
+    bounded(monkeypatch, bounds)
+    df, rows = two_groups
+    written = tallies.Rows.write(df, F.col("y"), F.col("held"), tallies.hash_number(42, F.col("key")))
+    table = tallies.tally(written, bits)
+    assert written.count == len(rows) == table.n.sum()
+    assert (table.low <= table.high).all() and (table.high[:-1] < table.low[1:]).all()
+    held = np.sort([x for _, g, x in rows if g])
+    ranks = np.array([0, 17, 300, len(held) - 1])
+    finer, found = tallies.resolve(written, table, 1, lambda t: (t.counts(1), ranks), bits)
+    assert {r: found[r] for r in ranks} == {r: (held[r], (held <= held[r]).sum()) for r in ranks}
+    assert finer.n.sum() == len(rows) and finer.counts(1).sum() == len(held)
+
+
+@pytest.mark.parametrize("bounds", BOUNDS)
+@pytest.mark.parametrize("bits", [0, 3])
+def test_hash_limits(two_groups, monkeypatch, bounds, bits):
+    bounded(monkeypatch, bounds)
+    df, rows = two_groups
+    written = tallies.Rows.write(df, F.col("y"), F.col("held"), tallies.hash_number(42, F.col("key")))
+    table = tallies.tally(written, bits)
+    stratum = (table.low > 0).astype(int)  # zero is a slice of its own, so no slice straddles it
+    wanted = {0: [1, 200, 0], 1: [5, 100]}
+    limits, above = tallies.hash_limits(written, table, 1, stratum, F.when(F.col("v") > 0, 1).otherwise(0), wanted, bits)
+    for s, ranks in wanted.items():
+        mine = {k: x for k, g, x in rows if g and (x > 0) == bool(s)}
+        ordered = sorted((int(hashlib.md5(f"42:{k}".encode()).hexdigest()[:15], 16), x) for k, x in mine.items())
+        for r in ranks:
+            assert limits[s, r] == (ordered[r - 1][0] if r else -1)
+            if r:
+                prefix, rest = above[s, r]
+                assert rest.sum() == sum(h > limits[s, r] and h >> 60 - bits == prefix for h, _ in ordered)
+
+
+@pytest.mark.parametrize("parts", [1, 60])
+def test_auc_and_roc(spark, parts, monkeypatch):
+    whole = decision.running_counts
+    monkeypatch.setattr(decision, "running_counts", lambda *args: whole(*args, parts=parts))
     rng = np.random.default_rng(1)
     t, p = rng.uniform(0, 30, 500), np.round(rng.uniform(0, 30, 500))
     df = spark.createDataFrame([("m", float(a), float(b)) for a, b in zip(t, p)]
