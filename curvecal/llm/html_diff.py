@@ -266,7 +266,8 @@ def deletions(pages: DataFrame) -> DataFrame:
             found = found.unionByName(tried.where(F.size("deleted") > 0).select("n", "key", "deleted", "marked", "lost"))
             ended = sides.join(tried.select("n"), "n", "left_anti").withColumn("deleted", F.expr("CAST(array() AS array<int>)"))
             known = materialize(known.where("deleted IS NOT NULL").unionByName(tried).unionByName(ended, allowMissingColumns=True), "page-known")
-    found = found.join(slim.select("n", "host"), "n")
+    # written, so that weighing these lines does not plan all rounds again
+    found = materialize(found.join(slim.select("n", "host"), "n"), "page-found")
     articles = placed.where(F.array_contains("zones", ARTICLE)).select("n", "host", F.expr(
         f"array_distinct(transform(filter(arrays_zip(zones, hashes), x -> x.zones = {ARTICLE}), x -> x.hashes))").alias("lines"))
     return found.where("NOT marked").select("key", "deleted").unionByName(proven(found.where("marked"), articles))
@@ -280,9 +281,9 @@ def proven(found: DataFrame, articles: DataFrame) -> DataFrame:
     asked = found.select("host", F.explode("lost").alias("line")).distinct()
     lines = articles.join(asked.select("host").distinct(), "host", "left_semi").select("n", "host", F.explode("lines").alias("line"))
     # an article is known by the smallest hash among its lines that nobody asks for, so copies count once
-    each = lines.join(asked.withColumn("asked", F.lit(True)), ["host", "line"], "left").groupBy("host", "n").agg(
+    each = materialize(lines.join(asked.withColumn("asked", F.lit(True)), ["host", "line"], "left").groupBy("host", "n").agg(
         F.min(F.when(F.col("asked").isNull(), F.col("line"))).alias("own"),
-        F.collect_set(F.when(F.col("asked"), F.col("line"))).alias("shared"))
+        F.collect_set(F.when(F.col("asked"), F.col("line"))).alias("shared")), "page-articles")
     hosts = each.groupBy("host").agg(F.countDistinct("own").alias("articles"))
     held = each.select("host", "own", F.explode("shared").alias("line")).groupBy("host", "line").agg(F.countDistinct("own").alias("holding"))
     sure = held.join(hosts, "host").where("holding >= 3 AND 2 * holding > articles").select("host", "line")
