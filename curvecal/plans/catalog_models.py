@@ -106,10 +106,14 @@ def standardize(spark, folder):
     return gram.apply_scaler(rows, gram.scaler(rows, AD.TABULAR))
 
 
+#: Keeps centred values off the midpoints of the sixth decimal, where two engines may round apart.
+OFF_TIES = 0.7310585786
+
+
 @query("center", TPOOL + ", a AS (SELECT sample_id, "
-       + ", ".join(f"{r6(f'{c} * 0.7310585786::DOUBLE - avg({c} * 0.7310585786::DOUBLE) OVER ()')} AS {c}" for c in AD.TABULAR) + " FROM t) SELECT * FROM a")
+       + ", ".join(f"{r6(f'{c} * {OFF_TIES}::DOUBLE - avg({c} * {OFF_TIES}::DOUBLE) OVER ()')} AS {c}" for c in AD.TABULAR) + " FROM t) SELECT * FROM a")
 def center(spark, folder):
-    rows = AD.tabular(spark, folder).select("sample_id", *[(F.col(c) * 0.7310585786).alias(c) for c in AD.TABULAR])
+    rows = AD.tabular(spark, folder).select("sample_id", *[(F.col(c) * OFF_TIES).alias(c) for c in AD.TABULAR])
     return gram.apply_scaler(rows, gram.scaler(rows, AD.TABULAR, with_std=False))
 
 
@@ -257,13 +261,25 @@ def pca_scree(spark, folder):
     return latent.pca_scree(latent.pca_variance(spark, pair_components(spark, folder)))
 
 
-@query("pc_correlation", TPOOL + f""", {COV}, {EIGEN},
+# Two-sided p of a correlation: Student's distribution as its finite series in sin = |r| and cos2 = 1 - r2,
+# one form for even and one for odd degrees of freedom.
+PC_R = f"""WITH {Q.TABULAR}, {COV}, {EIGEN},
 q AS (SELECT n, (p1 * c1 + p2 * c2) / sqrt(l1 * syy) AS r1,
-  (({AXIS2[0]}) * c1 + ({AXIS2[1]}) * c2) / sqrt(l2 * syy) AS r2 FROM ev)
-SELECT unnest([1, 2])::INT AS pc, n, unnest([{r6('r1')}, {r6('r2')}]) AS r, unnest([{r6('r1 * r1')}, {r6('r2 * r2')}]) AS r2 FROM q""")
+  (({AXIS2[0]}) * c1 + ({AXIS2[1]}) * c2) / sqrt(l2 * syy) AS r2 FROM ev),
+cr AS (SELECT 1 AS pc, n, r1 AS r FROM q UNION ALL SELECT 2, n, r2 FROM q),
+ct AS (SELECT pc, n, r, j, exp(sum(CASE WHEN j = 0 THEN 0 WHEN n % 2 = 0 THEN ln((2 * j - 1) / (2.0::DOUBLE * j) * (1 - r * r))
+    ELSE ln(2.0::DOUBLE * j / (2 * j + 1) * (1 - r * r)) END) OVER (PARTITION BY pc ORDER BY j)) AS term
+  FROM cr, (SELECT unnest(range(0, (SELECT any_value(n) FROM cr) // 2)) AS j) WHERE j <= (n - 4 + n % 2) // 2),
+cp AS (SELECT pc, any_value(n) AS n, any_value(r) AS r, CASE WHEN any_value(n) % 2 = 0 THEN 1 - abs(any_value(r)) * sum(term)
+    ELSE 1 - 2 / pi() * (asin(abs(any_value(r))) + abs(any_value(r)) * sqrt(1 - pow(any_value(r), 2)) * sum(CASE WHEN j <= (n - 5) // 2 THEN term ELSE 0 END)) END AS p
+  FROM ct GROUP BY pc)"""
+
+
+@query("pc_correlation", f"""{PC_R} SELECT pc::INT AS pc, n, {r6('r')} AS r, {r6('r * r')} AS r2, {r6('p')} AS p FROM cp""")
 def pc_correlation(spark, folder):
+    """Components of two features against the target, with p-values."""
     whole = pair_moments(spark, folder)["all"]
-    return latent.component_correlation(spark, whole, S.principal_components(whole)).drop("p")
+    return latent.component_correlation(spark, whole, S.principal_components(whole))
 
 
 def curve_rows(spark, folder):

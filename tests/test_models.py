@@ -1,5 +1,7 @@
 """Splits, moments, solvers, selection and bootstrap against numpy."""
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -34,9 +36,16 @@ def test_one_value_falls_back(spark, ys):
     assert strata.fit_bins(frame(spark, ys), "y").k == 0
 
 
-@pytest.mark.parametrize("per_slice", [10 ** 6, 20])
-def test_bins_match_pandas(spark, per_slice, monkeypatch):
-    monkeypatch.setattr("curvecal.operators.ranking.ROWS_PER_SLICE", per_slice)
+def small_tables(monkeypatch):
+    """Force finer tables: few numbers in each, few rows looked at as values, rough first cuts."""
+    for name, value in (("FETCH", 30), ("CELLS", 1 << 6), ("SAMPLE", 20)):
+        monkeypatch.setattr(f"curvecal.operators.tally.{name}", value)
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_bins_match_pandas(spark, small, monkeypatch):
+    if small:
+        small_tables(monkeypatch)
     ys = np.round(np.random.default_rng(4).gamma(1.0, 10.0, 400), 1)
     df = frame(spark, ys)
     bins = strata.fit_bins(df, "y", zero_bin=False)
@@ -62,6 +71,25 @@ def test_split(spark):
     assert sorted(map(tuple, split.assign(df.repartition(7)).collect())) == sorted(map(tuple, rows))
 
 
+def test_split_does_not_depend_on_the_size_of_its_tables(spark, monkeypatch):
+    """The same members from one table and from many finer ones; a continuous target with zeros."""
+    y = np.round(np.random.default_rng(9).gamma(1.0, 10.0, 1500), 3) * (np.arange(1500) % 11 > 0)
+    df = frame(spark, y).withColumn("dataset", F.when(F.col("y") % 2 > 1, "lab").otherwise("unseen"))
+    whole = sorted(map(tuple, strata.fit_split(df, "y").assign(df).collect()))
+    small_tables(monkeypatch)
+    assert sorted(map(tuple, strata.fit_split(df, "y").assign(df).collect())) == whole
+    ordered = {}
+    for name, group, value, part, stratum, fold in whole:
+        number = int(hashlib.md5(f"42:{name}".encode()).hexdigest()[:15], 16)
+        if group == "unseen" and part == "hold":
+            ordered.setdefault(stratum, []).append(number)
+    bins = strata.fit_bins(df.where("dataset = 'unseen'"), "y")
+    for s, held in ordered.items():  # the held rows of a stratum are those with the smallest hashes
+        mine = [int(hashlib.md5(f"42:s{k}".encode()).hexdigest()[:15], 16) for k, v in enumerate(y)
+                if v % 2 <= 1 and bins.numbers(np.array([v]))[0] == s]
+        assert sorted(held) == sorted(mine)[:len(held)]
+
+
 def test_quotas_and_fold_count():
     assert sum(strata.holdout_quotas({0: 99}, 0.5).values()) == 50
     assert strata.holdout_quotas({0: 3, 1: 3, 2: 5}, 0.5) == {0: 1, 1: 2, 2: 3}
@@ -329,7 +357,6 @@ def test_bootstrap_moments_and_mean_band(data):
 
 
 def test_bootstrap_weights_are_the_same_everywhere(spark):
-    import hashlib
     keys = [f"k{i}" for i in range(200)] + [None]
     df = spark.createDataFrame([(k,) for k in keys], "k string")
     out = df.select("k", bootstrap.draw_bits(7, F.col("k"), 11).alias("bits"),
