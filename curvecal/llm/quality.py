@@ -51,6 +51,11 @@ def shape(word: str) -> str:
     return found
 
 
+def forget() -> None:
+    """At the end of a task: the worker is reused, and what it remembers would add to what later stages need."""
+    _shapes.clear()
+
+
 def pieces(s: str) -> list[str]:
     """A shape of more than PIECE runs as several shapes."""
     return [s[i:i + PIECE] for i in range(0, len(s), PIECE)]
@@ -223,6 +228,7 @@ def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Model:
         for b in batches:
             for t in b.column("text").to_pylist():
                 found[pattern(votes(t))] += 1
+        forget()
         yield pa.RecordBatch.from_pydict({"pattern": pa.array(list(found), pa.int32()),
                                           "n": pa.array(list(found.values()), pa.int64())})
 
@@ -247,6 +253,7 @@ def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Model:
             yield pa.RecordBatch.from_pydict({
                 "cell": b.column("cell"), "text": b.column("text"), "at": pa.array([o[0] for o in out], pa.list_(pa.int64())), "x": pa.array([o[1] for o in out], pa.list_(pa.float64())),
                 "pattern": pa.array([o[2] for o in out], pa.int32())})
+        forget()
 
     # a text that occurs very often comes once: its copies have one hash and would crowd out the rest
     rows = (chosen.mapInArrow(describe_rows, "cell bigint, text string, at array<bigint>, x array<double>, pattern int")
@@ -267,6 +274,7 @@ def classify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [*b.columns, pa.array(s, pa.float64()), pa.array([v >= 0.5 for v in s], pa.bool_())],
                 names=[*b.schema.names, "quality_score", "keep"])
+        forget()
 
     return docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField("quality_score", T.DoubleType()),
                                               T.StructField("keep", T.BooleanType())]))
