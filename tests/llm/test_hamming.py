@@ -42,3 +42,22 @@ def test_sign_code(spark):
     vector = [1.0] + [-1.0] * 62 + [0.5]
     df = spark.createDataFrame([(vector,), ([0.0] * 64,), (None,)], "v array<double>")
     assert [r[0] for r in df.select(hamming.sign_code("v")).collect()] == [1 - (1 << 63), 0, None]
+
+
+def test_bound_of_a_query_limits_its_search(spark):
+    """Segments of 16 bits: 0xF is 4 bits away in the first, 0xF0001 is 4 in the second and 1 in the first."""
+    index = [0xF, 0xF0001, 0xFF, 0x1F << 48, 1]
+    df = spark.createDataFrame([(c, [c], s, (c >> 16 * s) & 0xFFFF) for c in index for s in range(4)],
+                               "code bigint, ids array<bigint>, seg int, value bigint")
+
+    def found(bound, radius):
+        query = spark.createDataFrame([(0, bound)], "q bigint, bound int")
+        return sorted((r.distance, r.id) for r in hamming.hits(query, df, radius, 4).collect())
+
+    assert found(None, 0) == [(1, 1), (4, 0xF), (5, 0xF0001), (5, 0x1F << 48), (8, 0xFF)]
+    assert found(4, 0) == [(1, 1), (4, 0xF)]
+    assert found(0, 1) == []
+    far = spark.createDataFrame([(c, [c], s, (c >> 16 * s) & 0xFFFF) for c in [0x0001_0001_0001_0003, 0x0001_0003_0003_0003]
+                                 for s in range(4)], "code bigint, ids array<bigint>, seg int, value bigint")
+    query = spark.createDataFrame([(0, 5)], "q bigint, bound int")
+    assert [tuple(r) for r in hamming.hits(query, far, 1, 4).collect()] == [(0, 5, 0x0001_0001_0001_0003)]
