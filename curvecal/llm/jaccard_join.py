@@ -16,7 +16,11 @@ rising scale, packed by hash range, so that hot shingles are counted inside a ta
 row is made per shingle. Each document is first verified against the smallest document of
 its buckets; buckets whose members are then connected are done, and only pairs of different
 components are verified further. Pairs whose parity bitmaps differ in more bits than the
-sets may differ in shingles are out; the others' whole sets of 64-bit hashes are intersected.
+sets may differ in shingles are out, inside the join that finds them; the others' whole sets
+of 64-bit hashes are intersected. A bucket that still holds over FULL sets is split first: if
+two bitmaps differ in at most d bits, they agree in one of d + 1 pieces, so a set goes to one
+smaller bucket per piece, for its own size and for that of a smaller partner. The most common
+component of a bucket is compared with the others only.
 
 Empty and null texts have no set and link with nothing. Rows whose id is null link with
 nothing and get no component. Repeated rows are copies; an id that repeats must repeat its
@@ -35,11 +39,13 @@ from pyspark.sql import functions as F
 
 from curvecal.llm.common import shuffle_files_freed, total_bytes
 from curvecal.llm.components import components
-from curvecal.llm.rolling import shingles
+from curvecal.llm.rolling import mix, shingles
 from curvecal.session import materialize
 
 #: Sets that may hold a shingle of the first class; parts of the classes of pairs and triples.
 FEW = 256
+#: Sets of a bucket that are compared pair by pair; larger buckets are split by pieces of the bitmap.
+FULL = 4096
 #: Bits of the parity bitmap; text bytes a task works on at once.
 BITS = 1024
 PART_BYTES = 12 << 20
@@ -213,6 +219,80 @@ def _may_link(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return both.where(differ * (den + num) <= (F.col("n") + F.col("m")) * (den - num)).select("a", "b")
 
 
+def size_classes(largest: int, num: int, den: int) -> list[int]:
+    """Rising first sizes of classes from size 1 to past ``largest``; partners are in one class or in neighbouring ones."""
+    out = [1]
+    while out[-1] <= largest:
+        out.append(max(out[-1] + 1, out[-1] * den // num + 1))
+    return [*out, out[-1] * den // num + 1]
+
+
+def piece_hashes(bits: np.ndarray, pieces: int) -> np.ndarray:
+    """One number per row and piece of the bitmaps (rows of 0 and 1): equal pieces have equal numbers."""
+    if pieces > BITS:  # a piece may be empty, and empty pieces agree
+        return np.zeros((len(bits), 1), np.uint64)
+    order = np.argsort(np.arange(BITS) % pieces, kind="stable")
+    starts = np.searchsorted((np.arange(BITS) % pieces)[order], np.arange(pieces))
+    weight = np.random.default_rng(1).integers(0, 1 << 64, BITS, np.uint64)[order]
+    return np.add.reduceat(np.where(bits[:, order] > 0, weight, np.uint64(0)), starts, axis=1)
+
+
+def split_buckets(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Rows (signature, id, size, label, bits) dealt to one bucket per bitmap piece: (signature, id, size, label, larger).
+
+    Two rows of a bucket that link meet in a bucket of the smaller one's size class; ``larger`` marks the other's.
+    """
+    def run(batches):
+        for b in batches:
+            size = b.column("size").to_numpy()
+            if not len(size):
+                continue
+            first = size_classes(int(size.max()), num, den)
+            own = np.searchsorted(first, size, side="right") - 1
+            bits = np.unpackbits(b.column("bits").flatten().to_numpy().view(np.uint8).reshape(-1, BITS // 8), axis=1)
+            signature = b.column("signature").to_numpy().view(np.uint64)
+            for larger in (False, True):
+                for c in np.unique(own[own >= larger]) - larger:
+                    at = np.flatnonzero(own == c + larger)
+                    top = first[c + 1] - 1
+                    pieces = (top + top * den // num) * (den - num) // (den + num) + 1
+                    h = piece_hashes(bits[at], pieces)
+                    place = np.arange(h.shape[1], dtype=np.uint64) + (np.uint64(c) << np.uint64(32))
+                    key = mix(mix(signature[at][:, None] + mix(place + np.uint64(1))) ^ h)
+                    again = pa.array(np.repeat(at, h.shape[1]))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(key.ravel().view(np.int64)), *(b.column(x).take(again) for x in ("id", "size", "label")),
+                         pa.array(np.full(key.size, larger))], names=["signature", "id", "size", "label", "larger"])
+
+    return rows.select("signature", "id", "size", "label", "bits").mapInArrow(
+        run, "signature bigint, id bigint, size int, label bigint, larger boolean")
+
+
+def _open_pairs(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of different labels in a bucket that sizes and bitmaps allow to link. rows: signature, id, size, label."""
+    bits = sets.select("id", "bits")
+    full = rows.groupBy("signature").agg(F.count("*").alias("n")).where(F.col("n") > FULL).select("signature")
+    split = split_buckets(rows.join(full, "signature", "left_semi").join(bits, "id"), num, den)
+    rows = materialize(rows.join(full, "signature", "left_anti").withColumn("larger", F.lit(False)).select(split.columns)
+                       .unionByName(split), "jaccard-open")
+    common = (rows.groupBy("signature", "label").agg(F.count("*").alias("n")).groupBy("signature")
+              .agg(F.max_by("label", F.struct("n", "label")).alias("common"), F.count("*").alias("labels")).where("labels > 1")
+              .select("signature", "common"))
+    met = rows.join(common, "signature").join(bits, "id")
+
+    def side(mark):
+        return [F.col(c).alias(c + mark) for c in ("id", "size", "label", "larger", "bits")]
+
+    differ = sum((F.bit_count(F.col("bits_a")[k].bitwiseXOR(F.col("bits_b")[k])) for k in range(BITS // 64)), F.lit(0))
+    a = met.where("label <> common").select("signature", *side("_a"))
+    b = met.select(F.col("signature").alias("signature_b"), "common", *side("_b"))
+    pairs = a.join(b, (F.col("signature") == F.col("signature_b"))
+                   & ((F.col("label_b") == F.col("common")) | (F.col("label_a") < F.col("label_b")))
+                   & ~(F.col("larger_a") & F.col("larger_b")) & _fits("size_a", "size_b", num, den)
+                   & (differ * (den + num) <= (F.col("size_a") + F.col("size_b")) * (den - num)))
+    return pairs.select(F.greatest("id_a", "id_b").alias("a"), F.least("id_a", "id_b").alias("b")).distinct()
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose whole sets link."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
@@ -260,14 +340,8 @@ def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         mixed = (labelled.groupBy("signature").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
                  .select("signature"))
         open_rows = materialize(labelled.join(mixed, "signature", "left_semi"), "jaccard-open")
-        groups = open_rows.select("signature", "label").distinct()
-        meet = (groups.withColumnRenamed("label", "la").join(groups.withColumnRenamed("label", "lb"), "signature").where("la < lb"))
-        pairs = (meet.join(open_rows.select("signature", F.col("label").alias("la"), F.col("id").alias("a"), F.col("size").alias("sa")),
-                           ["signature", "la"])
-                 .join(open_rows.select("signature", F.col("label").alias("lb"), F.col("id").alias("b"), F.col("size").alias("sb")),
-                       ["signature", "lb"])
-                 .where(_fits("sa", "sb", num, den)).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-        second = materialize(_may_link(pairs.join(first, ["a", "b"], "left_anti"), own, num, den), "jaccard-pairs")
+        pairs = _open_pairs(open_rows, own, num, den)
+        second = materialize(pairs.join(first, ["a", "b"], "left_anti"), "jaccard-pairs")
         more = materialize(_verified(second, source, n, num, den), "jaccard-links")
         label = materialize(components(links.union(more)), "jaccard-labels")
     final = keys.join(label, keys.representative == label.id, "left").select(

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from curvecal.llm import jaccard_join
 from curvecal.llm.components import components
@@ -97,3 +98,31 @@ def test_codes_rise():
     counts = jaccard_join.np.arange(1, 200_000)
     codes = jaccard_join.code(counts).astype(int)
     assert (jaccard_join.np.diff(codes) >= 0).all() and codes[0] == 1 and codes[1] == 2 and codes.max() <= 255
+
+
+def test_full_buckets_are_split(spark, monkeypatch):
+    """300 sets share a signature: linked ones still meet, the others are dealt to buckets far smaller."""
+    rng = random.Random(4)
+    passage = [f"p{k}" for k in range(20)]
+    texts = []
+    for _ in range(150):
+        own = [f"w{rng.randrange(10 ** 6)}" for _ in range(rng.randint(20, 40))]
+        texts += [" ".join(passage + own), " ".join(passage + own[:-1])]
+    monkeypatch.setattr(jaccard_join, "FULL", 256)
+    docs = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")
+    sets = jaccard_join.document_sets(docs, 4).drop("key")
+    rows = sets.select(F.lit(7).cast("bigint").alias("signature"), "id", "size", F.col("id").alias("label"))
+    split = jaccard_join.split_buckets(rows.join(sets.select("id", "bits"), "id"), 85, 100)
+    most = max(r["count"] for r in split.groupBy("signature").count().collect())
+    assert most < 100
+    got = {tuple(r) for r in jaccard_join._open_pairs(rows, sets, 85, 100).collect()}
+    assert got >= {(2 * k + 1, 2 * k) for k in range(150)}
+    assert len(got) < 200
+
+
+def test_split_buckets_equal_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "FULL", 1)  # every open bucket is split
+    rows = corpus(5)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = sorted(((r.id, r.n_shingles, r.component) for r in jaccard_join.link_components(df, n=4, num=85, den=100).collect()), key=str)
+    assert got == brute(rows, 4, 85, 100)
