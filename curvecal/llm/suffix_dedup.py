@@ -40,7 +40,7 @@ from curvecal.session import materialize
 LENGTH, GRAM = 50, 20
 BLOCK_BYTES = 1 << 20
 FLUSH = 400_000
-PART_BYTES = 16 << 20
+PART_BYTES = 8 << 20  # text bytes of a group; its records and their sorted copies stand in memory together
 HOT_SAMPLE, HOT_SHARE = 4_000, 0.01
 LOW = np.uint64(0xFFFFFFFF)
 
@@ -146,12 +146,14 @@ def _full(n):
 def split_copies(r: Records) -> tuple[Records, Records]:
     """Records whose hashes a smaller document has too, and the rest, sorted by anchor and context."""
     order = np.lexsort((r.lo, r.doc, r.context, r.anchor))
-    r = r.take(order)
-    new = np.ones(len(order), bool)
-    new[1:] = (r.anchor[1:] != r.anchor[:-1]) | (r.context[1:] != r.context[:-1])
-    least = r.doc[new][np.cumsum(new) - 1] if len(order) else r.doc
-    again = r.doc > least
-    return r.take(again), r.take(~again)
+    doc, new = r.doc[order], np.ones(len(order), bool)
+    for k, column in enumerate((r.anchor, r.context)):
+        own = column[order]
+        differs = own[1:] != own[:-1]
+        new[1:] = differs if k == 0 else new[1:] | differs
+    least = doc[new][np.cumsum(new) - 1] if len(order) else doc
+    again = doc > least
+    return r.take(order[again]), r.take(order[~again])
 
 
 def _dealt(r: Records, keys: np.ndarray, hashes: bool, **constant):

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -92,3 +93,16 @@ def test_hot_windows_have_two_hashes(monkeypatch):
     assert len(set(h.tolist())) == 1 and second[0] == second[2] != second[1] == second[3]
     copies, rest = suffix_dedup.split_copies(suffix_dedup.Records([0, 1, 2], [0, 0, 0], [1, 1, 1], h[:3], second[:3]))
     assert copies.doc.tolist() == [2] and sorted(rest.doc.tolist()) == [0, 1]
+
+
+def test_memory_of_a_group():
+    """Records of one part (about one per 16 bytes of text) are split within 40 MB beside the records themselves."""
+    n = suffix_dedup.PART_BYTES // 16
+    rng = np.random.default_rng(1)
+    r = suffix_dedup.Records(np.arange(n) % 5000, np.arange(n), np.ones(n), rng.integers(0, n, n), rng.integers(0, 3, n))
+    tracemalloc.start()
+    copies, rest = suffix_dedup.split_copies(r)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(copies.doc) + len(rest.doc) == n and len(copies.doc)
+    assert peak < 40e6
