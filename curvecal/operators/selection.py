@@ -1,8 +1,8 @@
 """Cross-validation, winner, grid search and refit over the model zoo.
 
 Linear candidates share one moment pass and one scoring pass, whatever their number.
-Kernel-feature candidates add one of each per kernel width. Trees are fitted by MLlib
-per fold.
+Kernel-feature candidates add one of each per kernel width. Forests share their trees, if a task
+can hold the training rows; other trees are fitted by MLlib per fold.
 """
 
 import itertools
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from curvecal import constants as C
 from curvecal.functions import solvers as S
 from curvecal.operators import ensembles as E
+from curvecal.operators import forests
 from curvecal.operators.gram import add, gram_by_group
 from curvecal.operators.linear import fold_metrics, predict_column, score_folds, train_moments
 
@@ -146,6 +147,12 @@ class Trainer:
         with ThreadPoolExecutor(TREE_FITS) as pool:
             return list(pool.map(one, sorted(self.moments, key=int)))
 
+    def forest_scores(self, candidates) -> list[tuple]:
+        """All forest settings from one set of trees."""
+        settings = {c.label(): forests.setting(c.params) for c in candidates}
+        found = forests.forest_scores(self.rows, self.width, list(settings.values()))
+        return [(label, *line) for label, own in settings.items() for line in found[own]]
+
     def cross_validate(self, candidates: list[Candidate]) -> list[tuple]:
         """(model, fold, n, rmse, mae, r2) for every candidate and fold."""
         out = []
@@ -159,8 +166,13 @@ class Trainer:
         for gamma, group in gammas.items():
             _, mapped, size = self.kernel_rows(gamma)
             out += self.moment_scores(mapped, size, gram_by_group(mapped, size), group)
+        shared = [c for c in candidates if c.kind == "forest" and c.params.keys() <= {"trees", "depth", "min_leaf"}]
+        if self.whole.n * self.width > forests.TASK_CELLS:
+            shared = []
+        if shared:
+            out += self.forest_scores(shared)
         for c in candidates:
-            if c.kind in ("forest", "boosted"):
+            if c.kind in ("forest", "boosted") and c not in shared:
                 out += self.tree_scores(c)
         return out
 
