@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from curvecal.constants import FOREST, SEED
 from curvecal.functions.features import list_matrix
 from curvecal.operators.gram import targets
+from curvecal.session import materialize
 
 BINS = 32  # as MLlib's maxBins
 DEEPEST = 30  # as MLlib's limit
@@ -178,7 +179,7 @@ def block_scores(rows: DataFrame, width: int, trees: int, marks: set[int], depth
         kinds = [pa.int32()] * 5 + [pa.list_(pa.float64())] * 2
         return pa.table({name: pa.array(values, kind) for (name, values), kind in zip(columns.items(), kinds)})
 
-    dealt = (rows.select(F.col("g").cast("int").alias("fold"), "y", "x", F.explode(F.lit(keys)).alias("block"))
+    dealt = (rows.select(F.col("g").cast("int").alias("fold"), "y", "x", F.explode(F.lit(keys).cast("array<bigint>")).alias("block"))
              .repartition(len(keys), "block"))
     return dealt.groupBy("block").applyInArrow(run, SETTING + ", first int, last int, s array<double>, y array<double>")
 
@@ -214,6 +215,41 @@ def forest_scores(rows: DataFrame, width: int, settings: list[tuple[int, int | N
     return {setting: by[want] for setting, want in zip(settings, wanted)}
 
 
+def forest_predict(train: DataFrame, width: int, setting: tuple[int, int | None, int], rows: DataFrame, seed: int = SEED) -> DataFrame:
+    """``rows`` with ``y_pred``, the mean of trees grown on ``train`` (y, x); equal rows ``x`` are looked up once.
+
+    Looked-up rows are dealt into parts that a task can hold; each part meets every block of trees.
+    """
+    trees, depth, leaf = setting
+    asked = materialize(rows.select("x").distinct(), "forest-rows")
+    parts = max(1, -(-asked.count() * width // TASK_CELLS))
+    spans = [(first, min(first + BLOCK, trees)) for first in range(0, trees, BLOCK)]
+    keys = place_keys(train.sparkSession, len(spans) * parts)
+    work = {key: (*spans[k % len(spans)], k // len(spans)) for k, key in enumerate(keys)}
+    blocks = F.lit(keys).cast("array<bigint>")
+
+    def run(key, table):
+        first, last, _ = work[key[0].as_py()]
+        fold, x, y = tree_rows(table, width)
+        bins, known, held = fold_data(fold, x, y, 1)
+        sums = np.zeros(held.shape[1])
+        for tree in range(first, last):
+            weight = np.random.default_rng([seed, tree]).poisson(1.0, len(known))
+            sums += grow(bins, known, weight, held, [DEEPEST if depth is None else depth], leaf)[0]
+        cells = pa.ListArray.from_arrays(pa.array(np.arange(0, len(sums) * width + 1, width, dtype=np.int32)), pa.array(x[fold == 1].ravel()))
+        return pa.table({"x": cells, "first": pa.array([first] * len(sums), pa.int32()), "s": pa.array(sums)})
+
+    by_part = F.lit([[key for key in keys if work[key][2] == part] for part in range(parts)]).cast("array<array<bigint>>")
+    both = (train.select(F.lit(0).alias("fold"), "y", "x", F.explode(blocks).alias("block"))
+            .unionByName(asked.select(F.lit(1).alias("fold"), F.lit(0.0).alias("y"), "x",
+                                      F.explode(F.get(by_part, F.pmod(F.xxhash64("x"), F.lit(parts)).cast("int"))).alias("block"))))
+    sums = both.repartition(len(keys), "block").groupBy("block").applyInArrow(run, "x array<double>, first int, s double")
+    # added up block by block: the same order each time
+    total = F.aggregate(F.array_sort(F.collect_list(F.struct("first", "s"))), F.lit(0.0), lambda a, v: a + v["s"])
+    found = materialize(sums.groupBy("x").agg((total / trees).alias("y_pred")), "forest-predictions")
+    return rows.join(found, "x").select(*rows.columns, "y_pred")
+
+
 def setting(params: dict) -> tuple[int, int | None, int]:
     """(trees, depth, leaf) of a forest candidate's parameters."""
     whole = FOREST | params

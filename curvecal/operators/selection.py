@@ -101,8 +101,11 @@ class Predictor:
     linear: S.LinearFit | None = None
     kernel: E.LandmarkMap | None = None
     trees: object = None
+    grown_on: tuple[DataFrame, int] | None = None  # training rows of a forest that tasks grow, and their width
 
     def predict(self, rows: DataFrame) -> DataFrame:
+        if self.grown_on is not None:
+            return forests.forest_predict(*self.grown_on, forests.setting(self.candidate.params), rows)
         if self.trees is not None:
             return E.predict_trees(self.trees, rows)
         if self.kernel is not None:
@@ -147,6 +150,11 @@ class Trainer:
         with ThreadPoolExecutor(TREE_FITS) as pool:
             return list(pool.map(one, sorted(self.moments, key=int)))
 
+    def shares_trees(self, candidate) -> bool:
+        """Whether tasks grow the forest: it has no settings of MLlib's own, and a task can hold the training rows."""
+        return (candidate.kind == "forest" and candidate.params.keys() <= {"trees", "depth", "min_leaf"}
+                and self.whole.n * self.width <= forests.TASK_CELLS)
+
     def forest_scores(self, candidates) -> list[tuple]:
         """All forest settings from one set of trees."""
         settings = {c.label(): forests.setting(c.params) for c in candidates}
@@ -166,9 +174,7 @@ class Trainer:
         for gamma, group in gammas.items():
             _, mapped, size = self.kernel_rows(gamma)
             out += self.moment_scores(mapped, size, gram_by_group(mapped, size), group)
-        shared = [c for c in candidates if c.kind == "forest" and c.params.keys() <= {"trees", "depth", "min_leaf"}]
-        if self.whole.n * self.width > forests.TASK_CELLS:
-            shared = []
+        shared = [c for c in candidates if self.shares_trees(c)]
         if shared:
             out += self.forest_scores(shared)
         for c in candidates:
@@ -183,6 +189,8 @@ class Trainer:
         if candidate.kind == "rbf":
             kernel, mapped, size = self.kernel_rows(candidate.params.get("gamma", "scale"))
             return Predictor(candidate, candidate.fit(add(gram_by_group(mapped, size).values())), kernel)
+        if self.shares_trees(candidate):
+            return Predictor(candidate, grown_on=(self.rows, self.width))
         return Predictor(candidate, trees=E.fit_trees(candidate.estimator(), self.rows))
 
     def choose(self, zoo: list[Candidate], grids: dict = GRIDS):

@@ -84,3 +84,18 @@ def test_constant_target_has_no_r2(rows):
     found = forests.forest_scores(flat, 3, [(5, None, 1)])[5, None, 1]
     assert [(f, n, e, r) for f, n, e, _, r in found] == [(g, 60, 0.0, None) for g in range(5)]
     assert ensembles.FOREST == {"trees": 300, "depth": 7, "min_leaf": 2} and forests.setting({"depth": None}) == (300, None, 2)
+
+
+def test_refit_predicts_every_row(rows, monkeypatch):
+    """A winning forest predicts from its own trees, equal rows alike, whatever the parts the rows are dealt into."""
+    monkeypatch.setattr(selection.E, "fit_trees", lambda *a: pytest.fail("a fit of its own"))
+    best = selection.Candidate("Random Forest", "forest", {"trees": 30, "depth": None, "min_leaf": 1})
+    predictor = selection.Trainer(rows, 3).refit(best)
+    asked = rows.unionByName(rows).withColumn("sample_id", F.lit(None).cast("string"))
+    whole = predictor.predict(asked)
+    assert whole.columns == [*asked.columns, "y_pred"] and whole.count() == 600
+    assert whole.select(F.corr("y", "y_pred")).first()[0] > 0.95
+    want = {tuple(r["x"]): r["y_pred"] for r in whole.collect()}
+    monkeypatch.setattr(forests, "TASK_CELLS", 300)
+    again = predictor.predict(asked).collect()
+    assert len(again) == 600 and all(r["y_pred"] == pytest.approx(want[tuple(r["x"])], rel=1e-12) for r in again)
