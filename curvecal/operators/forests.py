@@ -3,7 +3,8 @@
 A tree's bag and its best splits depend neither on the depth limit nor on how many trees follow, so
 trees grown once to the largest depth, as many as the largest forest has, serve every depth (cut at that
 level) and every size (the first trees) of one leaf size. Blocks of trees are dealt over the tasks with
-the training rows; a second shuffle brings the blocks of a setting together.
+the training rows, packed there, and grown inside the JVM by ForestKernel.java; a second shuffle brings the
+blocks of a setting together. ``grow`` is the kernel in NumPy, which tests hold it against.
 """
 
 import numpy as np
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from curvecal.constants import FOREST, SEED
 from curvecal.functions.features import list_matrix
 from curvecal.operators.gram import targets
-from curvecal.session import materialize
+from curvecal.session import java_function, materialize
 
 BINS = 32  # as MLlib's maxBins
 DEEPEST = 30  # as MLlib's limit
@@ -22,7 +23,6 @@ BLOCK = 20  # trees
 TIE = 1e-9  # share of a gain below which cuts tie: the first feature and place win
 #: Cells (rows x features) that one task may hold; more rows than that are left to MLlib, which deals them out.
 TASK_CELLS = 2_000_000
-SETTING = "fold int, leaf int, depth int"
 
 
 def thresholds(values: np.ndarray, bins: int = BINS) -> np.ndarray:
@@ -148,11 +148,28 @@ def place_keys(spark, count: int) -> list[int]:
     return sorted(keys + [40 * count + k for k in range(count - len(keys))])
 
 
+def bags(first: int, last: int, n: int, seed: int) -> np.ndarray:
+    """How often each of ``n`` rows is drawn for each tree from ``first`` to before ``last``."""
+    return np.stack([np.random.default_rng([seed, tree]).poisson(1.0, n).astype(np.uint8) for tree in range(first, last)])
+
+
+def packed(bins: np.ndarray, y: np.ndarray, held: np.ndarray, weights: np.ndarray, depths: list[int], leaves: list[int]) -> bytes:
+    """What ForestKernel reads: sizes, settings and targets, then bins and held rows row by row, then each tree's weights."""
+    head = np.array([*bins.shape, held.shape[1], len(weights), len(leaves), len(depths), *leaves, *depths], "<i4")
+    return b"".join(part.tobytes() for part in (head, y.astype("<f8"), bins.T.astype(np.uint8), held.T.astype(np.uint8), weights))
+
+
+def kernel(spark) -> str:
+    """Name of the SQL function that grows a packed record's trees and sums their predictions, as ``grow`` makes them."""
+    return java_function(spark, "curvecal.operators", "ForestKernel", "array<binary>")
+
+
 def block_scores(rows: DataFrame, width: int, trees: int, marks: set[int], depths: list[int], leaves: list[int],
                  seed: int = SEED) -> DataFrame:
-    """Sums of held-out predictions per block of trees: (fold, leaf, depth, first, last, s, y).
+    """Sums of held-out predictions per block of trees: (fold, place, first, last, s, y).
 
-    ``s`` and ``y`` follow the order of ``tree_rows``; only the first block carries ``y``.
+    ``place`` counts the leaf sizes, and within them the depths. ``s`` and ``y`` are the bytes of doubles in
+    the order of ``tree_rows``; only the first block carries ``y``.
     """
     edges = sorted(marks | set(range(0, trees, BLOCK)) | {trees})
     spans = list(zip(edges[:-1], edges[1:]))
@@ -162,42 +179,36 @@ def block_scores(rows: DataFrame, width: int, trees: int, marks: set[int], depth
     def run(key, table):
         first, last = span_of[key[0].as_py()]
         fold, x, y = tree_rows(table, width)
-        columns = {name: [] for name in ("fold", "leaf", "depth", "first", "last", "s", "y")}
+        lines = []
         for g in np.unique(fold):
             bins, known, held = fold_data(fold, x, y, g)
             if not len(known):
                 raise ValueError("a forest needs rows outside the fold it is tested on")
-            sums = np.zeros((len(leaves), len(depths), held.shape[1]))
-            for tree in range(first, last):
-                weight = np.random.default_rng([seed, tree]).poisson(1.0, len(known))
-                for k, leaf in enumerate(leaves):
-                    sums[k] += grow(bins, known, weight, held, depths, leaf)
-            for k, leaf in enumerate(leaves):
-                for j, depth in enumerate(depths):
-                    for name, value in zip(columns, (int(g), leaf, depth, first, last, sums[k, j], y[fold == g] if first == 0 else None)):
-                        columns[name].append(value)
-        kinds = [pa.int32()] * 5 + [pa.list_(pa.float64())] * 2
-        return pa.table({name: pa.array(values, kind) for (name, values), kind in zip(columns.items(), kinds)})
+            record = packed(bins, known, held, bags(first, last, len(known), seed), depths, leaves)
+            lines.append([int(g), first, last, record, y[fold == g].tobytes() if first == 0 else None])
+        return pa.table({f.name: pa.array(v, f.type) for f, v in zip(kinds, zip(*lines))})
 
+    kinds = pa.schema([(n, pa.int32()) for n in ("fold", "first", "last")] + [(n, pa.binary()) for n in ("record", "y")])
     dealt = (rows.select(F.col("g").cast("int").alias("fold"), "y", "x", F.explode(F.lit(keys).cast("array<bigint>")).alias("block"))
              .repartition(len(keys), "block"))
-    return dealt.groupBy("block").applyInArrow(run, SETTING + ", first int, last int, s array<double>, y array<double>")
+    records = dealt.groupBy("block").applyInArrow(run, "fold int, first int, last int, record binary, y binary")
+    return records.select("fold", "first", "last", "y", F.posexplode(F.call_function(kernel(rows.sparkSession), "record")).alias("place", "s"))
 
 
 def forest_scores(rows: DataFrame, width: int, settings: list[tuple[int, int | None, int]]) -> dict[tuple, list[tuple]]:
     """(fold, n, rmse, mae, r2) of every (trees, depth, leaf), on rows (g = fold, y, x)."""
     wanted = [(trees, DEEPEST if depth is None else depth, leaf) for trees, depth, leaf in settings]
     marks = sorted({trees for trees, _, _ in wanted})
-    blocks = block_scores(rows, width, marks[-1], set(marks), sorted({d for _, d, _ in wanted}),
-                          sorted({leaf for _, _, leaf in wanted}))
+    depths, leaves = sorted({d for _, d, _ in wanted}), sorted({leaf for _, _, leaf in wanted})
+    blocks = block_scores(rows, width, marks[-1], set(marks), depths, leaves)
 
     def run(key, table):
-        table = table.sort_by("first").combine_chunks()
-        y = np.array(table.column("y")[0].values)
-        sums = list_matrix(table.column("s").chunk(0), len(y)).cumsum(axis=0)
+        table = table.sort_by("first")
+        y = doubles(table.column("y")[0])
         spread = float(((y - y.mean()) ** 2).sum())
-        lines = []
-        for last, total in zip(table.column("last").to_pylist(), sums):
+        total, lines = np.zeros(len(y)), []
+        for last, part in zip(table.column("last").to_pylist(), table.column("s")):
+            total += doubles(part)
             if last in marks:
                 err = total / last - y
                 sse = float((err ** 2).sum())
@@ -205,16 +216,21 @@ def forest_scores(rows: DataFrame, width: int, settings: list[tuple[int, int | N
                               1 - sse / spread if spread > 0 else None])
         return pa.table({f.name: pa.array(v, f.type) for f, v in zip(found_types, zip(*lines))})
 
-    found_types = pa.schema([(n, pa.int32()) for n in ("fold", "leaf", "depth", "trees")] + [("n", pa.int64())]
+    found_types = pa.schema([(n, pa.int32()) for n in ("fold", "place", "trees")] + [("n", pa.int64())]
                             + [(n, pa.float64()) for n in ("rmse", "mae", "r2")])
-    scored = blocks.groupBy("fold", "leaf", "depth").applyInArrow(
-        run, SETTING + ", trees int, n bigint, rmse double, mae double, r2 double").collect()
+    scored = blocks.groupBy("fold", "place").applyInArrow(
+        run, "fold int, place int, trees int, n bigint, rmse double, mae double, r2 double").collect()
     by = {}
     for r in sorted(scored, key=lambda r: r["fold"]):
-        by.setdefault((r["trees"], r["depth"], r["leaf"]), []).append((r["fold"], r["n"], r["rmse"], r["mae"], r["r2"]))
+        own = (r["trees"], depths[r["place"] % len(depths)], leaves[r["place"] // len(depths)])
+        by.setdefault(own, []).append((r["fold"], r["n"], r["rmse"], r["mae"], r["r2"]))
     return {setting: by[want] for setting, want in zip(settings, wanted)}
 
 
+def doubles(cell: pa.BinaryScalar) -> np.ndarray:
+    return np.frombuffer(cell.as_buffer(), "<f8")
+
+
 def forest_predict(train: DataFrame, width: int, setting: tuple[int, int | None, int], rows: DataFrame, seed: int = SEED) -> DataFrame:
     """``rows`` with ``y_pred``, the mean of trees grown on ``train`` (y, x); equal rows ``x`` are looked up once.
 
@@ -229,24 +245,27 @@ def forest_predict(train: DataFrame, width: int, setting: tuple[int, int | None,
     blocks = F.lit(keys).cast("array<bigint>")
 
     def run(key, table):
-        first, last, _ = work[key[0].as_py()]
+        first, last, part = work[key[0].as_py()]
         fold, x, y = tree_rows(table, width)
         bins, known, held = fold_data(fold, x, y, 1)
-        sums = np.zeros(held.shape[1])
-        for tree in range(first, last):
-            weight = np.random.default_rng([seed, tree]).poisson(1.0, len(known))
-            sums += grow(bins, known, weight, held, [DEEPEST if depth is None else depth], leaf)[0]
-        cells = pa.ListArray.from_arrays(pa.array(np.arange(0, len(sums) * width + 1, width, dtype=np.int32)), pa.array(x[fold == 1].ravel()))
-        return pa.table({"x": cells, "first": pa.array([first] * len(sums), pa.int32()), "s": pa.array(sums)})
+        record = packed(bins, known, held, bags(first, last, len(known), seed), [DEEPEST if depth is None else depth], [leaf])
+        line = [part, first, record, x[fold == 1].tobytes() if first == 0 else None]
+        return pa.table({f.name: pa.array([v], f.type) for f, v in zip(kinds, line)})
+
+    def add(key, table):
+        table = table.sort_by("first")  # added up block by block: the same order each time
+        cells, sums = doubles(table.column("x")[0]), sum(doubles(s) for s in table.column("s"))
+        x = pa.ListArray.from_arrays(pa.array(np.arange(0, len(cells) + 1, width, dtype=np.int32)), pa.array(cells))
+        return pa.table({"x": x, "y_pred": pa.array(sums / trees)})
 
+    kinds = pa.schema([(n, pa.int32()) for n in ("part", "first")] + [(n, pa.binary()) for n in ("record", "x")])
     by_part = F.lit([[key for key in keys if work[key][2] == part] for part in range(parts)]).cast("array<array<bigint>>")
     both = (train.select(F.lit(0).alias("fold"), "y", "x", F.explode(blocks).alias("block"))
             .unionByName(asked.select(F.lit(1).alias("fold"), F.lit(0.0).alias("y"), "x",
                                       F.explode(F.get(by_part, F.pmod(F.xxhash64("x"), F.lit(parts)).cast("int"))).alias("block"))))
-    sums = both.repartition(len(keys), "block").groupBy("block").applyInArrow(run, "x array<double>, first int, s double")
-    # added up block by block: the same order each time
-    total = F.aggregate(F.array_sort(F.collect_list(F.struct("first", "s"))), F.lit(0.0), lambda a, v: a + v["s"])
-    found = materialize(sums.groupBy("x").agg((total / trees).alias("y_pred")), "forest-predictions")
+    records = both.repartition(len(keys), "block").groupBy("block").applyInArrow(run, "part int, first int, record binary, x binary")
+    sums = records.select("part", "first", "x", F.get(F.call_function(kernel(train.sparkSession), "record"), F.lit(0)).alias("s"))
+    found = materialize(sums.groupBy("part").applyInArrow(add, "x array<double>, y_pred double"), "forest-predictions")
     return rows.join(found, "x").select(*rows.columns, "y_pred")
 
 

@@ -1,12 +1,15 @@
 """Session defaults and hand-over tables."""
 
 import os
+import pkgutil
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 BROADCAST_ROWS = 10_000
 
@@ -112,3 +115,30 @@ def ship_package(spark: SparkSession) -> None:
 
 
 _shipped: list = []
+
+
+def java_function(spark: SparkSession, package: str, name: str, returns: str) -> str:
+    """Name for SQL of the Java UDF ``curvecal.<name>``, whose source lies beside the modules of ``package``.
+
+    The compiler that Spark's generated code goes through translates it on the driver; executors get a jar.
+    """
+    context, jvm = spark.sparkContext, spark._jvm
+    if (context, name) not in _compiled:
+        compiler = jvm.org.codehaus.janino.SimpleCompiler()
+        compiler.setParentClassLoader(jvm.java.lang.Thread.currentThread().getContextClassLoader())
+        compiler.cook(pkgutil.get_data(package, f"{name}.java").decode())
+        jar = os.path.join(tempfile.mkdtemp(prefix="curvecal-"), f"{name}-{uuid.uuid4().hex}.jar")
+        classes = compiler.getBytecodes()
+        with zipfile.ZipFile(jar, "w") as out:
+            for found in classes.keySet():
+                out.writestr(found.replace(".", "/") + ".class", bytes(classes.get(found)))
+        context._jsc.addJar(jar)
+        none = context._gateway.new_array(jvm.java.lang.Class, 0), context._gateway.new_array(jvm.java.lang.Object, 0)
+        made = compiler.getClassLoader().loadClass(f"curvecal.{name}").getDeclaredConstructor(none[0]).newInstance(none[1])
+        _compiled[context, name] = made
+    kind = spark._jsparkSession.parseDataType(DataType.fromDDL(returns).json())
+    spark._jsparkSession.udf().register(f"curvecal_{name}", _compiled[context, name], kind)
+    return f"curvecal_{name}"
+
+
+_compiled: dict = {}

@@ -1,5 +1,7 @@
 """Trees shared by all settings of a forest grid."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -99,3 +101,63 @@ def test_refit_predicts_every_row(rows, monkeypatch):
     monkeypatch.setattr(forests, "TASK_CELLS", 300)
     again = predictor.predict(asked).collect()
     assert len(again) == 600 and all(r["y_pred"] == pytest.approx(want[tuple(r["x"])], rel=1e-12) for r in again)
+
+
+def by_kernel(spark, records):
+    """What the kernel returns for packed records, as (record, setting, held row)."""
+    table = spark.createDataFrame([(k, bytearray(r)) for k, r in enumerate(records)], "k int, record binary")
+    found = table.select("k", F.call_function(forests.kernel(spark), "record").alias("s")).orderBy("k").collect()
+    return [np.array([np.frombuffer(bytes(cell)) for cell in r["s"]]) for r in found]
+
+
+def case(rng, n, m, width, kinds, trees=3):
+    weight = rng.poisson(1.0, (trees, n)).astype(np.uint8)
+    return rng.integers(0, 32, (width, n)), rng.integers(0, kinds, n) * 3.38, rng.integers(0, 32, (width, m)), weight
+
+
+def test_kernel_grows_the_trees_of_numpy(spark):
+    rng = np.random.default_rng(3)
+    cases = [case(rng, *sizes) for sizes in ((400, 90, 5, 10), (37, 11, 2, 3), (50, 0, 3, 4), (1, 4, 1, 2), (200, 30, 3, 1), (300, 40, 40, 90))]
+    cases[1][-1][1] = 0  # an empty bag
+    cases.append((np.zeros((2, 9), int), np.arange(9.0) + 1e6, np.zeros((2, 3), int), np.ones((1, 9), np.uint8)))  # nothing to cut
+    depths, leaves = [0, 2, 5, 30], [1, 2, 4, 9]
+    found = by_kernel(spark, [forests.packed(b, y, h, w, depths, leaves) for b, y, h, w in cases])
+    for (bins, y, held, weight), got in zip(cases, found):
+        want = [sum(forests.grow(bins, y, w, held, depths, leaf) for w in weight) for leaf in leaves]
+        np.testing.assert_allclose(got, np.concatenate(want), rtol=1e-10, atol=1e-10)
+
+
+def test_kernel_is_much_faster_than_numpy(spark):
+    """12,000 trees in NumPy, one at a time, took longer than a study may."""
+    bins, y, held, weight = case(np.random.default_rng(4), 8000, 2000, 14, 10, 10)
+    record = forests.packed(bins, y, held, weight, [9, 30], [1, 2])
+    by_kernel(spark, [record])
+    began = time.perf_counter()
+    by_kernel(spark, [record])
+    took = (time.perf_counter() - began) / 20
+    began = time.perf_counter()
+    for tree in weight[:3]:
+        forests.grow(bins, y, tree, held, [9, 30], 1)
+    assert took < (time.perf_counter() - began) / 3 / 2
+
+
+def test_scores_are_those_of_every_tree(rows):
+    """Blocks, depths and leaf sizes come back at their places: scores equal those of trees grown one by one."""
+    settings = [(trees, depth, leaf) for trees in (4, 23) for depth in (3, None) for leaf in (1, 5)]
+    found = forests.forest_scores(rows, 3, settings)
+    fold, x, y = forests.tree_rows(rows.select(F.col("g").cast("int").alias("fold"), "x", "y").toArrow(), 3)
+    for trees, depth, leaf in settings:
+        for g, n, rmse, mae, _ in found[trees, depth, leaf]:
+            bins, known, held = forests.fold_data(fold, x, y, g)
+            total = sum(forests.grow(bins, known, w, held, [depth or 30], leaf)[0] for w in forests.bags(0, trees, len(known), forests.SEED))
+            err = total / trees - y[fold == g]
+            assert (n, rmse, mae) == (60, pytest.approx((err ** 2).mean() ** 0.5), pytest.approx(np.abs(err).mean()))
+
+
+def test_kernel_is_known_to_every_session(spark, rows):
+    other = spark.newSession()
+    record = bytearray(forests.packed(*case(np.random.default_rng(1), 20, 5, 2, 3), [30], [1]))
+    for session in (spark, other, other):
+        table = session.createDataFrame([(record,), (None,)], "r binary")
+        found = table.select(F.call_function(forests.kernel(session), "r").alias("s")).collect()
+        assert sorted(r["s"] is None for r in found) == [False, True]
