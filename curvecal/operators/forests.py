@@ -17,7 +17,7 @@ from curvecal.functions.features import list_matrix
 from curvecal.operators.gram import targets
 from curvecal.session import java_function, materialize
 
-BINS = 32  # as MLlib's maxBins
+BINS = 32  # as MLlib's maxBins, and as ForestKernel has room for
 DEEPEST = 30  # as MLlib's limit
 BLOCK = 20  # trees
 TIE = 1e-9  # share of a gain below which cuts tie: the first feature and place win
